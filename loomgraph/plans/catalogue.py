@@ -1,6 +1,6 @@
 """Loads every module of the catalogue."""
 
-from loomgraph.plans import graph_queries  # noqa: F401
+from loomgraph.plans import graph_queries, upkeep_queries  # noqa: F401
 from loomgraph.plans.registry import CATALOGUE, callables, sql_texts
 
 __all__ = ["CATALOGUE", "callables", "sql_texts"]

@@ -21,6 +21,7 @@ def local_session(name: str = "loomgraph", cpus: str | int = "*", **conf: str) -
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LOOMGRAPH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(threads))
         .config("spark.sql.adaptive.enabled", "true")
