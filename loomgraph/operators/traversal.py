@@ -12,10 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.plan import small_side
 from loomgraph.graph import PropertyGraph, node_id, union_all
 from loomgraph.operators.ranking import top_k, top_k_per
-from loomgraph.session import cut_lineage
+from loomgraph.session import settle
 
 MAX_NEIGHBOURHOOD_DEPTH = 3
 MAX_PATH_DEPTH = 10
@@ -28,6 +27,17 @@ class Frontier:
     rows: DataFrame
     labels: frozenset[str]
 
+    def settled(self) -> Frontier:
+        """The same rows as a stored table, split by label.
+
+        The next expansion then reads, per edge type, just the rows of one
+        label, with their true size known to the planner; labels that did not
+        occur are dropped.
+        """
+        rows = settle(self.rows, "label")
+        present = [r["label"] for r in rows.select("label").distinct().collect()]  # at most one per label
+        return Frontier(rows, frozenset(present))
+
 
 def split_id(composite: str) -> tuple[str, str]:
     label, sep, key = composite.partition("_")
@@ -51,6 +61,8 @@ def expand(g: PropertyGraph, frontier: Frontier, carry: tuple[str, ...] = ()) ->
     """
     frames, labels = [], set()
     for name, source, target in g.edge_keys:
+        if source not in frontier.labels and target not in frontier.labels:
+            continue
         edges = g.edges(name, source, target)
         for here, near, there, far in (("src", source, "dst", target), ("dst", target, "src", source)):
             if near not in frontier.labels:
@@ -64,7 +76,7 @@ def expand(g: PropertyGraph, frontier: Frontier, carry: tuple[str, ...] = ()) ->
             )
             frames.append(
                 edges.select("src", "dst")
-                .join(small_side(at), here)
+                .join(at, here)
                 .select(
                     "from_label",
                     "from_key",
@@ -97,21 +109,26 @@ def neighbourhood_nodes(g: PropertyGraph, composite_id: str, depth: int = 1) ->
     anchor = start_at(g, label, F.col("id").cast("string") == key)
     if anchor.rows.isEmpty():
         raise KeyError(f"node not found: {composite_id}")
-    level, labels = anchor, set(anchor.labels)
-    seen: DataFrame | None = None
-    for i in range(depth):
+    level, levels = anchor, []
+    for _ in range(depth):
+        if not level.labels:
+            break
         reached = expand(g, level)
-        labels |= reached.labels
-        nodes = reached.rows.select("label", "key").distinct()
-        if seen is None:
+        nodes = reached.rows.select("label", "key")
+        if not levels:
             # the anchor belongs to the result once it has a neighbour
-            nodes = nodes.unionByName(reached.rows.select(F.col("from_label").alias("label"), F.col("from_key").alias("key"))).distinct()
+            own = reached.rows.select(F.col("from_label").alias("label"), F.col("from_key").alias("key"))
+            nodes, labels = nodes.unionByName(own), reached.labels | anchor.labels
         else:
-            nodes = nodes.join(seen, ["label", "key"], "left_anti")
-        fresh = cut_lineage(nodes) if i + 1 < depth else nodes
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        level = Frontier(fresh, frozenset(reached.labels) | (anchor.labels if i == 0 else frozenset()))
-    return Frontier(cut_lineage(seen), frozenset(labels))
+            labels = reached.labels
+        nodes = nodes.distinct()
+        for seen in levels:
+            nodes = nodes.join(seen.rows, ["label", "key"], "left_anti")
+        level = Frontier(nodes, labels).settled()
+        levels.append(level)
+    return Frontier(
+        union_all([l.rows for l in levels]), frozenset().union(*[l.labels for l in levels])
+    )
 
 
 def induced_edges(g: PropertyGraph, nodes: Frontier) -> DataFrame:
@@ -125,7 +142,7 @@ def induced_edges(g: PropertyGraph, nodes: Frontier) -> DataFrame:
             keys = nodes.rows.where(F.col("label") == label).select(
                 F.col("key").try_cast(edges.schema[side].dataType).alias(side)
             )
-            edges = edges.join(small_side(keys), side, "left_semi")
+            edges = edges.join(keys, side, "left_semi")
         frames.append(
             edges.select(
                 node_id(source, F.col("src")).alias("src"),
@@ -166,15 +183,26 @@ def hop_lists(g: PropertyGraph, label: str, condition: Column, depth: int = 2) -
     """
     if not 1 <= depth <= MAX_NEIGHBOURHOOD_DEPTH:
         raise ValueError("depth must be 1, 2 or 3")
-    start = start_at(g, label, condition)
-    start = Frontier(start.rows.withColumn("anchor", composite()), start.labels)
+    return hop_lists_from(g, start_at(g, label, condition), depth)
+
+
+def hop_lists_from(g: PropertyGraph, start: Frontier, depth: int = 1) -> DataFrame:
+    """``hop_lists`` around given (label, key) rows."""
+    start = Frontier(start.rows.withColumn("anchor", composite()), start.labels).settled()
+    if not start.labels:
+        return start.rows.select("anchor", F.lit(1).alias("hop"), composite().alias("id"), "label", F.lit("").alias("rel"))
     one = expand(g, start, ("anchor",))
-    first = one.rows.select("anchor", "label", "key", "rel").distinct()
+    one = Frontier(one.rows.select("anchor", "label", "key", "rel").distinct(), one.labels).settled()
+    first = one.rows
     out = [first.select("anchor", F.lit(1).alias("hop"), composite().alias("id"), "label", "rel")]
     if depth >= 2:
         level1 = Frontier(first.select("anchor", "label", "key").distinct(), one.labels)
         two = expand(g, level1, ("anchor",))
-        pairs = two.rows.where(composite() != F.col("anchor"))
+        pairs = two.rows.where(composite() != F.col("anchor")).distinct()
+        two = Frontier(pairs, two.labels)
+        if depth >= 3:
+            two = two.settled()
+            pairs = two.rows
         second = pairs.select("anchor", "label", "key", "rel").distinct()
         out.append(second.select("anchor", F.lit(2).alias("hop"), composite().alias("id"), "label", "rel"))
     if depth >= 3:
@@ -183,7 +211,7 @@ def hop_lists(g: PropertyGraph, label: str, condition: Column, depth: int = 2) -
             F.min(composite("from_label", "from_key")).alias("p_min"),
             F.max(composite("from_label", "from_key")).alias("p_max"),
         )
-        three = expand(g, Frontier(parents, two.labels), ("anchor", "p_min", "p_max"))
+        three = expand(g, Frontier(parents, two.labels).settled(), ("anchor", "p_min", "p_max"))
         third = three.rows.where(
             (composite() != F.col("anchor")) & ((composite() != F.col("p_min")) | (composite() != F.col("p_max")))
         )
@@ -194,7 +222,7 @@ def hop_lists(g: PropertyGraph, label: str, condition: Column, depth: int = 2) -
 
 def with_names(g: PropertyGraph, rows: DataFrame, labels: frozenset[str] | None = None) -> DataFrame:
     """Add the stored name of composite ids in column ``id``."""
-    frames = []
+    frames, rows = [], settle(rows, "label")
     for label in labels or g.labels:
         part = rows.where(F.col("label") == label)
         names = g.nodes(label).select(node_id(label, F.col("id")).alias("id"), F.col("name"))
@@ -261,31 +289,29 @@ def shortest_path(
 
     Breadth-first, level by level.  Each level keeps one path per newly reached
     node: the smallest prefix stays smallest when extended by equal steps.
-    Levels are checkpointed; the frontier itself never visits the driver.
+    Levels are stored as tables; the frontier never visits the driver.
     """
     if not 1 <= max_depth <= MAX_PATH_DEPTH:
         raise ValueError("max_depth must be between 1 and 10")
-    goal = start_at(g, to_label, to_condition)
+    goal = start_at(g, to_label, to_condition).rows
     start = start_at(g, from_label, from_condition)
-    rows = start.rows.withColumn("path", F.array(composite()))
-    level = Frontier(cut_lineage(rows), start.labels)
-    visited = level.rows.select("label", "key")
-    found = level.rows.join(goal.rows, ["label", "key"], "left_semi")
+    level = Frontier(start.rows.withColumn("path", F.array(composite())), start.labels).settled()
+    visited = [level.rows.select("label", "key")]
+    found = level.rows.join(goal, ["label", "key"], "left_semi")
     for _ in range(max_depth):
-        if to_label in level.labels and not found.isEmpty():
+        if not level.labels or (to_label in level.labels and not found.isEmpty()):
             break
         nxt = expand(g, level, ("path",))
         fresh = (
             nxt.rows.withColumn("path", F.concat("path", F.array(composite())))
             .groupBy("label", "key")
             .agg(F.min("path").alias("path"))
-            .join(visited, ["label", "key"], "left_anti")
         )
-        level = Frontier(cut_lineage(fresh.select("label", "key", "path")), nxt.labels)
-        if level.rows.isEmpty():
-            break
-        visited = visited.unionByName(level.rows.select("label", "key"))
-        found = level.rows.join(goal.rows, ["label", "key"], "left_semi")
+        for seen in visited:
+            fresh = fresh.join(seen, ["label", "key"], "left_anti")
+        level = Frontier(fresh.select("label", "key", "path"), nxt.labels).settled()
+        visited.append(level.rows.select("label", "key"))
+        found = level.rows.join(goal, ["label", "key"], "left_semi")
     return top_k(found, 1, F.size("path").asc(), F.asc("path")).select(
         "path", (F.size("path") - 1).cast("long").alias("hops")
     )

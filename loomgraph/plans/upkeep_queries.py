@@ -299,11 +299,14 @@ def _q3(w):
 
 @checked(
     "q4_orphan_nodes",
-    f"""SELECT id, label, display_name AS name FROM {q.NODES} v
-        WHERE id NOT IN (SELECT src FROM {q.EDGES} a) AND id NOT IN (SELECT dst FROM {q.EDGES} b)""",
+    f"""WITH e AS (SELECT src, dst FROM {q.EDGES} x WHERE rel_type IN ('WROTE', 'REVIEWS'))
+        SELECT id, label, display_name AS name FROM {q.NODES} v WHERE label IN ('Customer', 'Event', 'Part')
+          AND id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)""",
 )
 def _q4(w):
-    return quality.orphan_nodes(w.graph)
+    g = w.graph
+    reviews = g.restrict(["Customer", "Event", "Part"], [k for k in g.edge_keys if k[0] in ("WROTE", "REVIEWS")])
+    return quality.orphan_nodes(reviews)
 
 
 @checked(

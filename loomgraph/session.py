@@ -64,3 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a table below the checkpoint folder and read it back.
+
+    Unlike a checkpoint the result carries file sizes, so the planner can judge
+    joins against it; with ``partition_by`` it can do so per value.
+    """
+    path = shared_dir(df.sparkSession, "level")
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
