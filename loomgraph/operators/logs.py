@@ -134,7 +134,7 @@ def trailing_counts(hits: DataFrame, key: str, ts: str, seconds: int = 60) -> Da
     Each hit also joins the next time slot as context, and windows run per
     (key, slot): a key with a third of all hits is spread over its slots.
     """
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     slot = F.floor(micros / width)
     copies = hits.withColumn("_us", micros).withColumn(

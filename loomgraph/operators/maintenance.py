@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, project_edges, union_all
+from loomgraph.session import settle
 from loomgraph.spec import GraphSpec
 
 
@@ -103,43 +104,43 @@ def read_graph(spark: SparkSession, spec: GraphSpec, folder: str) -> PropertyGra
     )
 
 
-def write_chunks(chunks: DataFrame, folder: str) -> None:
+CHUNK_BUCKETS = 64
+
+
+def write_chunks(chunks: DataFrame, folder: str, buckets: int = CHUNK_BUCKETS) -> None:
     """Store chunk rows by tenant and document bucket, replacing the touched documents.
 
     ``chunks`` has tenant_id, doc_id, chunk_index, text and what else is known.
     A (tenant, bucket) partition is the unit of replacement: rows of other
     documents in it are carried over, so repeating a write changes nothing.
+    ``buckets`` must stay the same for one folder.
     """
     spark = chunks.sparkSession
-    fresh = with_storage_columns(chunks)
+    fresh = chunks.withColumn("char_count", F.length("text").cast("long")).withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    )
     if path_exists(spark, folder):
         stored = spark.read.parquet(folder)
         touched = fresh.select("tenant_id", "bucket").distinct()
-        carried = (
-            stored.join(touched, ["tenant_id", "bucket"], "left_semi")
-            .join(fresh.select("tenant_id", "doc_id").distinct(), ["tenant_id", "doc_id"], "left_anti")
+        carried = stored.join(touched, ["tenant_id", "bucket"], "left_semi").join(
+            fresh.select("tenant_id", "doc_id").distinct(), ["tenant_id", "doc_id"], "left_anti"
         )
-        from loomgraph.session import cut_lineage
+        # the partitions read here are about to be replaced
+        fresh = settle(carried.unionByName(fresh, allowMissingColumns=True))
+    replace_partitions(fresh, folder, "tenant_id", "bucket")
+
 
-        # the input partitions are about to be replaced
-        fresh = cut_lineage(carried.unionByName(fresh, allowMissingColumns=True))
+def replace_partitions(df: DataFrame, folder: str, *columns: str) -> None:
+    """Overwrite only the partitions that occur in ``df``; one file per partition."""
     (
-        fresh.write.mode("overwrite")
+        df.repartition(*columns)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("tenant_id", "bucket")
+        .partitionBy(*columns)
         .parquet(folder)
     )
 
 
-CHUNK_BUCKETS = 64
-
-
-def with_storage_columns(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("char_count", F.length("text").cast("long")).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNK_BUCKETS)).cast("int")
-    )
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

@@ -279,7 +279,8 @@ def blend_scores(
     """
     head = top_k_per(hits, [group], first, order, "_r").select(*keys, F.lit(True).alias("_head"))
     rated = hits.join(head, list(keys), "left").join(scores.select(*keys, "rating"), list(keys), "left")
-    blended = F.round(F.col("rerank_score") * 0.5 + F.col("rating") / 10 * 0.5, 4)
+    # in whole ten-thousandths: halves are common here and must round alike everywhere
+    blended = F.round((F.round(F.col("rerank_score") * 10_000) + F.round(F.col("rating") * 1_000)) / 2) / 10_000
     return rated.withColumn(
         "rerank_score", F.when(F.col("_head") & F.col("rating").isNotNull(), blended).otherwise(F.col("rerank_score"))
     ).drop("_head", "rating")

@@ -626,8 +626,8 @@ def _v5(w):
 @checked(
     "v6_blend_external_scores",
     f"""{_HITS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS r FROM rr)
-        SELECT query_id, chunk_id, CASE WHEN r <= 3 AND chunk_index % 2 = 0 THEN round(rerank_score * 0.5
-          + (doc_id % 11) / 10.0::DOUBLE * 0.5, 4) ELSE rerank_score END AS rerank_score FROM b""",
+        SELECT query_id, chunk_id, CASE WHEN r <= 3 AND chunk_index % 2 = 0 THEN round((round(rerank_score * 10000)
+          + (doc_id % 11) * 1000) / 2) / 10000 ELSE rerank_score END AS rerank_score FROM b""",
 )
 def _v6(w):
     hits = settle(vectors.keyword_rerank(_hits(w)))
@@ -766,8 +766,8 @@ def _s10(w):
     folder = shared_dir(w.spark, "chunks")
     first = ch.fixed_chunks(docs.select("doc_id", "text"), "text", 1000, 200).join(owner, "doc_id")
     again = ch.fixed_chunks(docs.where("lang = 'en'").select("doc_id", "text"), "text", 500, 100).join(owner, "doc_id")
-    maintenance.write_chunks(first, folder)
-    maintenance.write_chunks(again, folder)
+    maintenance.write_chunks(first, folder, buckets=4)
+    maintenance.write_chunks(again, folder, buckets=4)
     return w.spark.read.parquet(folder).select("doc_id", "chunk_index", "text", "char_count", "tenant_id")
 
 
