@@ -44,6 +44,21 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of an input too small to fill one split per core.
+
+    For work that is heavy per row (parsing, chunking, matching).  Larger
+    inputs already have a split per core and are left alone, so the shuffle
+    added here never moves more than one split per core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if estimated_bytes(df) >= cores * split:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

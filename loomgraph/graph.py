@@ -75,6 +75,17 @@ def project_edges(spec: EdgeSpec, table: DataFrame) -> DataFrame:
     )
 
 
+def unchecked_sides(spec: EdgeSpec, graph_spec: GraphSpec) -> dict[str, str]:
+    """Endpoints (side -> label) that rows of the edge's table do not prove to exist."""
+    sides = {"src": (spec.source, spec.source_key), "dst": (spec.target, spec.target_key)}
+    out = {}
+    for side, (label, column) in sides.items():
+        node = graph_spec.node(label)
+        if not (node.table == spec.table and node.key == column):
+            out[side] = label
+    return out
+
+
 def build_edges(spec: EdgeSpec, table: DataFrame, graph_spec: GraphSpec, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Edges of one type: merged to one row per (src, dst), endpoints must exist.
 
@@ -88,10 +99,8 @@ def build_edges(spec: EdgeSpec, table: DataFrame, graph_spec: GraphSpec, tables:
         order = [F.col(f"_o{i}") for i in range(len(spec.merge_order))]
         rows = merge_rows(rows, ["src", "dst"], order, props)
     rows = rows.select("src", "dst", *props)
-    for side, label, column in (("src", spec.source, spec.source_key), ("dst", spec.target, spec.target_key)):
+    for side, label in unchecked_sides(spec, graph_spec).items():
         node = graph_spec.node(label)
-        if node.table == spec.table and node.key == column:
-            continue
         keys = tables[node.table].select(F.col(node.key).alias(side)).where(F.col(side).isNotNull())
         rows = rows.join(keys, side, "left_semi").select("src", "dst", *props)
     return rows
@@ -113,10 +122,12 @@ class PropertyGraph:
         spec: GraphSpec,
         nodes: Mapping[str, DataFrame | Callable[[], DataFrame]],
         edges: Mapping[tuple[str, str, str], DataFrame | Callable[[], DataFrame]],
+        tables: Mapping[str, DataFrame] | None = None,
     ) -> None:
         self.spec = spec
         self._nodes = dict(nodes)
         self._edges = dict(edges)
+        self._tables = tables
 
     @staticmethod
     def build(spec: GraphSpec, tables: Mapping[str, DataFrame]) -> PropertyGraph:
@@ -129,7 +140,7 @@ class PropertyGraph:
             for e in spec.edges
             if e.table in tables and e.source in nodes and e.target in nodes
         }
-        return PropertyGraph(spec, nodes, edges)
+        return PropertyGraph(spec, nodes, edges, tables)
 
     @property
     def labels(self) -> list[str]:
@@ -152,11 +163,25 @@ class PropertyGraph:
             frame = self._edges[key] = frame()
         return frame
 
+    def links(self, name: str, source: str | None = None, target: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+        """(src, dst) rows for a traversal, and the endpoints still to be checked.
+
+        A traversal starts from few nodes and folds what it reaches, so it
+        reads the rows of the edge's table as they are: pairs may repeat, and
+        only the nodes reached need to be looked up.  Stored or inferred edges
+        are returned as they are.
+        """
+        spec = self.spec.edge(name, source, target)
+        if self._tables is None or isinstance(self._edges[spec.key], DataFrame) and "inferred" in spec.props:
+            return self.edges(*spec.key).select("src", "dst"), {}
+        rows = project_edges(spec, self._tables[spec.table]).select("src", "dst")
+        return rows, unchecked_sides(spec, self.spec)
+
     def with_edges(self, spec: EdgeSpec, frame: DataFrame) -> PropertyGraph:
         """A graph with one more edge type (or a replaced one)."""
         kept = tuple(e for e in self.spec.edges if e.key != spec.key)
         return PropertyGraph(
-            GraphSpec(self.spec.nodes, (*kept, spec)), self._nodes, {**self._edges, spec.key: frame}
+            GraphSpec(self.spec.nodes, (*kept, spec)), self._nodes, {**self._edges, spec.key: frame}, self._tables
         )
 
     def restrict(self, labels: Sequence[str], edge_keys: Sequence[tuple[str, str, str]]) -> PropertyGraph:
@@ -167,6 +192,7 @@ class PropertyGraph:
             ),
             {k: v for k, v in self._nodes.items() if k in labels},
             {k: v for k, v in self._edges.items() if k in edge_keys},
+            self._tables,
         )
 
     # ---- label-agnostic views -------------------------------------------------

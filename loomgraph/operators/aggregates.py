@@ -225,33 +225,33 @@ def supplier_dependency(g: PropertyGraph) -> DataFrame:
 
     ``revenue`` counts an order once per product of the supplier it contains
     (the fan-out figure); ``revenue_distinct`` counts it once per supplier.
+    Suppliers sharing a name count as one: the smallest key stands for them,
+    so the large intermediate carries numbers instead of names.
     """
-    per_order = supplier_orders(g)
-    per_name = per_order.groupBy("supplier").agg(
+    suppliers = prop_of(g, "Supplier", "name", "dst", "supplier")
+    heads = suppliers.groupBy("supplier").agg(F.min("dst").alias("head"))
+    supply = (
+        g.edges("SUPPLIED_BY")
+        .join(suppliers.join(heads, "supplier").select("dst", "head"), "dst")
+        .select(F.col("src").alias("part"), "head")
+    )
+    amounts = g.nodes("Order").select(F.col("id").alias("order"), cents("total_amount").alias("c"))
+    contains = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
+    # the amount travels with the row: one shuffle on (supplier, order), none after it
+    per_order = (
+        contains.join(amounts, "order").join(supply, "part")
+        .groupBy("head", "order").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
+    )
+    sums = per_order.groupBy("head").agg(
         F.count(F.lit(1)).alias("orders"),
         F.round(F.sum(F.col("c") * F.col("n")) / 100).alias("revenue"),
         F.round(F.sum("c") / 100).alias("revenue_distinct"),
     )
-    contained = g.edges("CONTAINS").select(F.col("dst").alias("src")).distinct()
     products = (
-        g.edges("SUPPLIED_BY").join(contained, "src", "left_semi")
-        .join(prop_of(g, "Supplier", "name", "dst", "supplier"), "dst")
-        .select("supplier", "src").distinct()
-        .groupBy("supplier").agg(F.count(F.lit(1)).alias("products"))
+        supply.distinct().join(contains.select("part").distinct(), "part", "left_semi")
+        .groupBy("head").agg(F.count(F.lit(1)).alias("products"))
     )
-    return per_name.join(products, "supplier")
-
-
-def supplier_orders(g: PropertyGraph) -> DataFrame:
-    """(supplier name, order) with the order amount in cents and its number of products there."""
-    supply = (
-        g.edges("SUPPLIED_BY").join(prop_of(g, "Supplier", "name", "dst", "supplier"), "dst")
-        .select(F.col("src").alias("part"), "supplier")
-    )
-    rows = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part")).join(supply, "part")
-    folded = rows.groupBy("supplier", "order").agg(F.count(F.lit(1)).alias("n"))
-    amounts = g.nodes("Order").select(F.col("id").alias("order"), cents("total_amount").alias("c"))
-    return folded.join(amounts, "order")
+    return sums.join(products, "head").join(heads, "head").drop("head")
 
 
 def review_quality(g: PropertyGraph) -> DataFrame:

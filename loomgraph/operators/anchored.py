@@ -35,11 +35,15 @@ def _part_brand(g: PropertyGraph) -> DataFrame:
 def _customer_parts(g: PropertyGraph, condition: Column) -> DataFrame:
     """(customer, order, part) of the anchored customers; name and key of the customer."""
     who = small_side(_anchors(g, "Customer", condition, "src", "customer"))
-    orders = g.edges("PLACED").join(who, "src").select(
-        F.col("src").alias("customer_id"), "customer", F.col("dst").alias("order")
-    )
-    contains = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
-    return contains.join(small_side(orders), "order")
+    placed, _ = g.links("PLACED")  # one row per order
+    orders = placed.join(who, "src").select(F.col("src").alias("customer_id"), "customer", F.col("dst").alias("order"))
+    rows, unchecked = g.links("CONTAINS")
+    contains = rows.select(F.col("src").alias("order"), F.col("dst").alias("part"))
+    # anchored first, merged after: the fold sees only the anchors' rows
+    found = contains.join(small_side(orders), "order").distinct()
+    if "dst" in unchecked:
+        found = found.join(g.nodes(unchecked["dst"]).select(F.col("id").alias("part")), "part", "left_semi")
+    return found
 
 
 def customer_orders(g: PropertyGraph, condition: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.plan import running_total
+from loomgraph.functions.plan import running_total, spread
 from loomgraph.functions.text import strip
 
 # Sentence ends (with a space, or a line break) and paragraph breaks.
@@ -130,6 +130,7 @@ def chunk_documents(
     ``char_end - char_start`` may exceed ``char_count``.
     """
     _check(size, overlap, strategy)
+    df = spread(df, *[c for c in df.columns if c != text])
     if strategy == "fixed":
         return fixed_chunks(df, text, size, overlap)
     keep = [c for c in df.columns if c != text]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.plan import spread
 from loomgraph.functions.strings import has_hangul
 from loomgraph.functions.text import html_text, markdown_text, strip
 from loomgraph.graph import PropertyGraph, union_all
@@ -72,9 +73,10 @@ def ingest(
 
     ``documents`` ends with status ``ready`` or ``failed`` and the reason.
     """
-    parsed = parse_documents(docs)
+    # both stages feed several outputs: each is stored once instead of being parsed again
+    parsed = settle(parse_documents(spread(docs, "doc_id")).drop("content"))
     good = parsed.where("error IS NULL").select("doc_id", "text")
-    pieces = chunk_documents(good, "text", strategy, size, overlap)
+    pieces = settle(chunk_documents(good, "text", strategy, size, overlap))
     embedded = vectors.hashed_vectors(pieces, ["doc_id", "chunk_index"], "text")
     chunks = embedded.withColumn("tenant_id", F.lit(tenant)).withColumn(
         "chunk_id", F.concat_ws(":", "doc_id", "chunk_index")

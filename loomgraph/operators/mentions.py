@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.plan import bounded_rows
+from loomgraph.functions.plan import bounded_rows, spread
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.ranking import longest_match, top_k_per
 
@@ -126,7 +126,7 @@ def match_dictionary(
     def fold(col: Column) -> Column:
         return F.lower(col) if ignore_case else col
 
-    bodies = texts.select(*keys, fold(F.col(text)).alias("_t"))
+    bodies = spread(texts.select(*keys, text), *keys).select(*keys, fold(F.col(text)).alias("_t"))
     folded = names.select(fold(F.col("name")).alias("_f")).where("_f <> ''").distinct()
     size = folded.limit(max_rows + 1).agg(F.count("_f").alias("n"), F.sum(F.length("_f")).alias("c")).first()
     if size["n"] <= max_rows and (size["c"] or 0) <= MAX_DICTIONARY_CHARS:

@@ -103,20 +103,26 @@ def anchor_ids(g: PropertyGraph, label: str, condition: Column) -> DataFrame:
     return g.nodes(label).where(condition).select(F.col("id").alias("at"))
 
 
-def step(g: PropertyGraph, frontier: DataFrame, hop: Hop) -> DataFrame:
+def step(g: PropertyGraph, frontier: DataFrame, hop: Hop, check: bool = True) -> DataFrame:
     """Advance a frontier of ids ``at``; arrivals are distinct.
 
     Only the returned property is distinct in a pattern query, so arriving at
-    one node over many paths adds nothing and is folded at once.
+    one node over many paths adds nothing and is folded at once.  ``check``
+    looks arrivals up among the nodes where the edge rows do not prove them.
     """
     here, there = ("src", "dst") if hop.forward else ("dst", "src")
-    edges = g.edges(hop.rel, hop.source, hop.target).select(F.col(here).alias("at"), F.col(there).alias("next"))
-    return small_side(frontier).join(edges, "at").select(F.col("next").alias("at")).distinct()
-
-
-def walk(g: PropertyGraph, frontier: DataFrame, hops: Sequence[Hop]) -> DataFrame:
-    for hop in hops:
-        frontier = step(g, frontier, hop)
+    rows, unchecked = g.links(hop.rel, hop.source, hop.target)
+    edges = rows.select(F.col(here).alias("at"), F.col(there).alias("next"))
+    arrived = small_side(frontier).join(edges, "at").select(F.col("next").alias("at")).distinct()
+    if check and there in unchecked:
+        known = g.nodes(unchecked[there]).select(F.col("id").alias("at"))
+        arrived = small_side(arrived).join(known, "at")
+    return arrived
+
+
+def walk(g: PropertyGraph, frontier: DataFrame, hops: Sequence[Hop], check_last: bool = True) -> DataFrame:
+    for i, hop in enumerate(hops):
+        frontier = step(g, frontier, hop, check_last or i + 1 < len(hops))
     return frontier
 
 
@@ -137,7 +143,7 @@ def reach(
     One to three hops in any direction cover the one-hop, two-hop, three-hop,
     reverse, filtered and status-filtered patterns.
     """
-    arrived = walk(g, anchor_ids(g, label, condition), hops)
+    arrived = walk(g, anchor_ids(g, label, condition), hops, check_last=False)
     end = g.nodes(endpoint_label(g, hops[-1]))
     return (
         end.join(small_side(arrived).withColumnRenamed("at", "id"), "id", "left_semi")
@@ -150,8 +156,8 @@ def common_neighbor(
     g: PropertyGraph, label: str, prop: str, first: object, second: object, hops: Sequence[Hop], returns: str
 ) -> DataFrame:
     """Distinct property of the nodes both anchors reach."""
-    a = walk(g, anchor_ids(g, label, F.col(prop) == F.lit(first)), hops)
-    b = walk(g, anchor_ids(g, label, F.col(prop) == F.lit(second)), hops)
+    a = walk(g, anchor_ids(g, label, F.col(prop) == F.lit(first)), hops, check_last=False)
+    b = walk(g, anchor_ids(g, label, F.col(prop) == F.lit(second)), hops, check_last=False)
     both = a.join(b, "at", "left_semi").withColumnRenamed("at", "id")
     end = g.nodes(endpoint_label(g, hops[-1]))
     return end.join(both, "id", "left_semi").select(F.col(returns).alias("result")).distinct()

@@ -63,7 +63,7 @@ def expand(g: PropertyGraph, frontier: Frontier, carry: tuple[str, ...] = ()) ->
     for name, source, target in g.edge_keys:
         if source not in frontier.labels and target not in frontier.labels:
             continue
-        edges = g.edges(name, source, target)
+        edges, unchecked = g.links(name, source, target)
         for here, near, there, far in (("src", source, "dst", target), ("dst", target, "src", source)):
             if near not in frontier.labels:
                 continue
@@ -74,10 +74,11 @@ def expand(g: PropertyGraph, frontier: Frontier, carry: tuple[str, ...] = ()) ->
                 F.col("key").alias("from_key"),
                 *carry,
             )
+            reached = edges.join(at, here).select("from_label", "from_key", there, *carry).distinct()
+            if there in unchecked:
+                reached = reached.join(g.nodes(far).select(F.col("id").alias(there)), there)
             frames.append(
-                edges.select("src", "dst")
-                .join(at, here)
-                .select(
+                reached.select(
                     "from_label",
                     "from_key",
                     F.lit(far).alias("label"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.plan import bounded_rows
+from loomgraph.functions.plan import bounded_rows, spread
 from loomgraph.functions.strings import keywords
 from loomgraph.graph import union_all
 from loomgraph.operators.ranking import top_k_per
@@ -35,7 +35,7 @@ def hashed_counts(df: DataFrame, keys: Sequence[str], text: str, dimensions: int
     anything is shuffled.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{Nd}_]+)"), 1)
-    rows = df.select(*keys, F.explode(tokens).alias("_w"))
+    rows = spread(df.select(*keys, text), *keys).select(*keys, F.explode(tokens).alias("_w"))
     return rows.groupBy(*keys, bucket_of(F.col("_w"), dimensions).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

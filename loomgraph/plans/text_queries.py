@@ -8,7 +8,7 @@ from loomgraph.functions import strings as st
 from loomgraph.functions import text as tx
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators import chunks as ch
-from loomgraph.operators import hybrid, maintenance, mentions, setops, vectors
+from loomgraph.operators import hybrid, maintenance, mentions, ranking, setops, vectors
 from loomgraph.plans.registry import checked
 from loomgraph.session import settle, shared_dir
 from loomgraph.sources.text import file_type, routing_error
@@ -122,6 +122,18 @@ def _f10(w):
     return w.t("documents").select("doc_id", F.array_join(F.array_sort(st.keywords(F.col("text"))), " ").alias("words"))
 
 
+@checked(
+    "f2_to_float",
+    """SELECT page_id, TRY_CAST(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS DOUBLE) AS page,
+         TRY_CAST(url AS DOUBLE) AS broken FROM pages""",
+)
+def _f2(w):
+    page = F.regexp_extract("url", "page=([0-9]+)", 1)
+    return w.t("pages").select(
+        "page_id", page.try_cast("double").alias("page"), F.col("url").try_cast("double").alias("broken")
+    )
+
+
 @checked("f11_preview", "SELECT doc_id, left(text, 200) AS p200, left(text, 3000) AS p3000 FROM documents")
 def _f11(w):
     text = F.col("text")
@@ -441,6 +453,16 @@ def _t13(w):
     return mentions.question_entities(_questions(w), "qid", "question", names, ["Customer", "Supplier", "Part"])
 
 
+@checked(
+    "w4_longest_match",
+    f"""SELECT doc_id, name, 'Term' AS label FROM documents JOIN {_TERMS} t ON contains(lower(text), name)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) = 1""",
+)
+def _w4(w):
+    hits = mentions.match_dictionary(w.t("documents"), ["doc_id"], "text", _terms(w))
+    return ranking.longest_match(hits, "doc_id", F.lit(1))
+
+
 def _rules_sql() -> str:
     cases, fields = [], {p: [] for p in tx.QUESTION_PARAMS}
     for template, pattern, params in tx.QUESTION_RULES:

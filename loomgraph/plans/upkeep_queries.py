@@ -744,7 +744,7 @@ def _l6(w):
 
 
 @checked(
-    "f1_rounding_f2_to_float",
+    "f1_rounding",
     f"""SELECT o_orderpriority AS method, round(CAST({q.sum_cents('o_totalprice')} AS DOUBLE) / 100, 2) AS total_2dp,
           round(CAST({q.sum_cents('o_totalprice')} AS DOUBLE) / 100) AS total_whole FROM orders GROUP BY 1""",
 )
