@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, settle
 
 MAX_BROADCAST_ROWS = 200_000
 
@@ -38,6 +38,16 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` with a size the planner can trust.
+
+    After a join or two the optimiser's estimate says nothing.  If it is below
+    the broadcast threshold it is good enough; otherwise the frame is stored,
+    so the next join is planned on its true size and nothing is computed twice.
+    """
+    return df if estimated_bytes(df) <= auto_broadcast_bytes(df) else settle(df)
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     """Rows of ``df`` on the driver, or None when there are more than ``max_rows``."""
     rows = df.limit(max_rows + 1).collect()

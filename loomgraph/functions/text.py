@@ -163,19 +163,32 @@ QUESTION_PARAMS = ("name", "other", "target", "limit")
 
 
 def classify_question(col: Column) -> Column:
-    """``struct(template, route, name, other, target, limit)`` of the first matching rule."""
+    """``struct(template, route, name, other, target, limit)`` of the first matching rule.
+
+    The number of the first matching rule is decided once; parameters are then
+    extracted with the pattern of that rule only.
+    """
     text = F.coalesce(col, F.lit(""))
-    out = F.when(F.lit(False), F.lit(None).cast("struct<template:string,name:string,other:string,target:string,limit:string>"))
-    for template, pattern, params in QUESTION_RULES:
-        flagged = "(?i)" + pattern
-        fields = []
+    rule = F.when(F.lit(False), F.lit(0))
+    for i, (_, pattern, _) in enumerate(QUESTION_RULES):
+        rule = rule.when(text.rlike("(?i)" + pattern), i)
+    rule = rule.otherwise(-1)
+
+    def fields(number: Column) -> Column:
+        known = number >= 0
+        names = F.when(known, F.get(F.array(*[F.lit(t) for t, _, _ in QUESTION_RULES]), number))
+        params = []
         for p in QUESTION_PARAMS:
-            groups = [F.nullif(F.regexp_extract(text, flagged, i), F.lit("")) for i in params.get(p, ())]
-            fields.append((F.coalesce(*groups) if groups else F.lit(None).cast("string")).alias(p))
-        out = out.when(text.rlike(flagged), F.struct(F.lit(template).alias("template"), *fields))
-    route = F.when(out["template"].isNull(), "unsupported").when(
-        out["template"].isin(AGGREGATE_TEMPLATES), "cypher_agg"
-    ).otherwise("cypher_traverse")
-    return F.struct(
-        out["template"].alias("template"), route.alias("route"), *[out[p].alias(p) for p in QUESTION_PARAMS]
-    )
+            value = F.when(F.lit(False), F.lit(""))
+            for i, (_, pattern, groups) in enumerate(QUESTION_RULES):
+                if p in groups:
+                    found = [F.nullif(F.regexp_extract(text, "(?i)" + pattern, k), F.lit("")) for k in groups[p]]
+                    value = value.when(number == i, F.coalesce(*found))
+            params.append(value.alias(p))
+        route = F.when(~known, "unsupported").when(names.isin(AGGREGATE_TEMPLATES), "cypher_agg").otherwise(
+            "cypher_traverse"
+        )
+        return F.struct(names.alias("template"), route.alias("route"), *params)
+
+    # a one-element array binds the rule number to a variable
+    return F.transform(F.array(rule), fields)[0]

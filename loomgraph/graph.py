@@ -51,7 +51,8 @@ def build_nodes(spec: NodeSpec, table: DataFrame) -> DataFrame:
     if not spec.unique:
         order = [F.col(f"_o{i}") for i in range(len(spec.merge_order))]
         projected = merge_rows(projected, ["id"], order, list(spec.props))
-    return ensure_name(projected.select("id", *spec.props), spec.label, spec.name_template)
+    projected = projected.select("id", *spec.props)
+    return projected if spec.named else ensure_name(projected, spec.label, spec.name_template)
 
 
 def ensure_name(df: DataFrame, label: str, template: str | None = None) -> DataFrame:
@@ -128,6 +129,16 @@ class PropertyGraph:
         self._nodes = dict(nodes)
         self._edges = dict(edges)
         self._tables = tables
+        self._opened: dict[object, DataFrame] = {}
+
+    def _frame(self, kind: Mapping, key) -> DataFrame:
+        """The frame of a label or edge key, built once if it was given as a function."""
+        frame = kind[key]
+        if isinstance(frame, DataFrame):
+            return frame
+        if key not in self._opened:
+            self._opened[key] = frame()
+        return self._opened[key]
 
     @staticmethod
     def build(spec: GraphSpec, tables: Mapping[str, DataFrame]) -> PropertyGraph:
@@ -151,17 +162,10 @@ class PropertyGraph:
         return list(self._edges)
 
     def nodes(self, label: str) -> DataFrame:
-        frame = self._nodes[label]
-        if not isinstance(frame, DataFrame):
-            frame = self._nodes[label] = frame()
-        return frame
+        return self._frame(self._nodes, label)
 
     def edges(self, name: str, source: str | None = None, target: str | None = None) -> DataFrame:
-        key = self.spec.edge(name, source, target).key
-        frame = self._edges[key]
-        if not isinstance(frame, DataFrame):
-            frame = self._edges[key] = frame()
-        return frame
+        return self._frame(self._edges, self.spec.edge(name, source, target).key)
 
     def links(self, name: str, source: str | None = None, target: str | None = None) -> tuple[DataFrame, dict[str, str]]:
         """(src, dst) rows for a traversal, and the endpoints still to be checked.
@@ -172,7 +176,7 @@ class PropertyGraph:
         are returned as they are.
         """
         spec = self.spec.edge(name, source, target)
-        if self._tables is None or isinstance(self._edges[spec.key], DataFrame) and "inferred" in spec.props:
+        if self._tables is None or isinstance(self._edges[spec.key], DataFrame):
             return self.edges(*spec.key).select("src", "dst"), {}
         rows = project_edges(spec, self._tables[spec.table]).select("src", "dst")
         return rows, unchecked_sides(spec, self.spec)

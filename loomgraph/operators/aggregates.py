@@ -17,6 +17,7 @@ from loomgraph.functions.plan import running_total, small_side
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.patterns import anchor_ids, out, walk
 from loomgraph.operators.ranking import top_k
+from loomgraph.session import settle
 
 
 def prop_of(g: PropertyGraph, label: str, prop: str, key: str, alias: str) -> DataFrame:
@@ -295,25 +296,49 @@ def pair_support(g: PropertyGraph, block: int = PAIR_BLOCK) -> DataFrame:
     blocks only counts per product name meet, so a basket of n products and v
     names costs about n * v, never n * n.
     """
-    names = prop_of(g, "Part", "name", "dst", "item")
-    baskets = g.edges("CONTAINS").select("src", "dst")
-    large = baskets.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("src")
-    items = baskets.join(names, "dst")
-    direct = _pairs_within(items.join(large, "src", "left_anti"), ["src"])
-    ranked = running_total(items.join(large, "src", "left_semi"), ["src"], "dst", F.lit(1), "_rank")
-    blocked = ranked.withColumn("blk", F.floor(F.col("_rank") / block))
-    return (
-        union_all([direct, _pairs_within(blocked, ["src", "blk"]), _pairs_across(blocked)])
-        .groupBy("product_1", "product_2")
-        .agg(F.sum("n").alias("co_purchase_count"))
-    )
+    names = prop_of(g, "Part", "name", "dst", "name")
+    # the smallest key stands for a name, so pairs are pairs of numbers
+    heads = names.groupBy("name").agg(F.min("dst").alias("item"))
+    coded = names.join(heads, "name").select("dst", "item")
+    # read several times below: stored once instead of being merged again
+    items = settle(g.edges("CONTAINS").select("src", "dst").join(coded, "dst").select("src", "dst", "item"))
+    large = settle(items.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("src"))
+    if large.isEmpty():
+        parts = [_pairs_within(items, ["src"])]
+    else:
+        ranked = running_total(items.join(large, "src", "left_semi"), ["src"], "dst", F.lit(1), "_rank")
+        blocked = settle(ranked.select("src", "dst", "item", F.floor(F.col("_rank") / block).alias("blk")))
+        parts = [
+            _pairs_within(items.join(large, "src", "left_anti"), ["src"]),
+            _pairs_within(blocked, ["src", "blk"]),
+            _pairs_across(blocked),
+        ]
+    support = union_all(parts).groupBy("product_1", "product_2").agg(F.sum("n").alias("co_purchase_count"))
+    for side in ("product_1", "product_2"):
+        spelled = heads.select(F.col("item").alias(side), F.col("name").alias("_name"))
+        support = support.join(spelled, side).drop(side).withColumnRenamed("_name", side)
+    return support.select("product_1", "product_2", "co_purchase_count")
 
 
 def _pairs_within(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs inside groups of bounded size, folded to name pairs at once."""
-    a = items.select(*keys, F.col("dst").alias("k1"), F.col("item").alias("product_1"))
-    b = items.select(*keys, F.col("dst").alias("k2"), F.col("item").alias("product_2"))
-    return a.join(b, keys).where("k1 < k2").groupBy("product_1", "product_2").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs inside groups of at most ``PAIR_BLOCK`` products, folded at once.
+
+    A group fits one small array, so it is gathered once instead of joined
+    with itself.
+    """
+    packed = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dst", "item"))).alias("l"))
+    pairs = F.flatten(
+        F.transform(
+            "l",
+            lambda x, i: F.transform(
+                F.slice("l", i + 2, F.size("l")),
+                lambda y: F.struct(x["item"].alias("product_1"), y["item"].alias("product_2")),
+            ),
+        )
+    )
+    return packed.select(F.explode(pairs).alias("p")).groupBy("p.product_1", "p.product_2").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def _pairs_across(blocked: DataFrame) -> DataFrame:

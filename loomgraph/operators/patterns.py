@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.plan import small_side
-from loomgraph.graph import PropertyGraph, node_id, union_all
+from loomgraph.functions.plan import sized, small_side
+from loomgraph.graph import PropertyGraph, node_id
 
 # The comparison operators a caller may name.
 COMPARISONS = {
@@ -100,7 +100,7 @@ def back(rel: str) -> Hop:
 
 
 def anchor_ids(g: PropertyGraph, label: str, condition: Column) -> DataFrame:
-    return g.nodes(label).where(condition).select(F.col("id").alias("at"))
+    return small_side(g.nodes(label).where(condition).select(F.col("id").alias("at")))
 
 
 def step(g: PropertyGraph, frontier: DataFrame, hop: Hop, check: bool = True) -> DataFrame:
@@ -113,15 +113,18 @@ def step(g: PropertyGraph, frontier: DataFrame, hop: Hop, check: bool = True) ->
     here, there = ("src", "dst") if hop.forward else ("dst", "src")
     rows, unchecked = g.links(hop.rel, hop.source, hop.target)
     edges = rows.select(F.col(here).alias("at"), F.col(there).alias("next"))
-    arrived = small_side(frontier).join(edges, "at").select(F.col("next").alias("at")).distinct()
+    arrived = frontier.join(edges, "at").select(F.col("next").alias("at")).distinct()
+    arrived = sized(arrived)
     if check and there in unchecked:
         known = g.nodes(unchecked[there]).select(F.col("id").alias("at"))
-        arrived = small_side(arrived).join(known, "at")
+        arrived = arrived.join(known, "at")
     return arrived
 
 
 def walk(g: PropertyGraph, frontier: DataFrame, hops: Sequence[Hop], check_last: bool = True) -> DataFrame:
     for i, hop in enumerate(hops):
+        if i:
+            frontier = sized(frontier)
         frontier = step(g, frontier, hop, check_last or i + 1 < len(hops))
     return frontier
 
@@ -146,7 +149,7 @@ def reach(
     arrived = walk(g, anchor_ids(g, label, condition), hops, check_last=False)
     end = g.nodes(endpoint_label(g, hops[-1]))
     return (
-        end.join(small_side(arrived).withColumnRenamed("at", "id"), "id", "left_semi")
+        end.join(arrived.withColumnRenamed("at", "id"), "id", "left_semi")
         .select(F.col(returns).alias("result"))
         .distinct()
     )
@@ -185,14 +188,14 @@ def edge_property_of_anchor(
     middle = walk(g, anchor_ids(g, label, condition), [first]).withColumnRenamed("at", "src")
     return (
         g.edges(rel)
-        .join(small_side(middle), "src", "left_semi")
+        .join(middle, "src", "left_semi")
         .select(F.col("src").alias("order_id"), F.col(prop).alias("result"))
     )
 
 
 def orders_with_payment(g: PropertyGraph, customer: str) -> DataFrame:
     orders = walk(g, anchor_ids(g, "Customer", F.col("name") == customer), [out("PLACED")])
-    paid = g.edges("PAID_BY").join(small_side(orders).withColumnRenamed("at", "src"), "src", "left_semi")
+    paid = g.edges("PAID_BY").join(orders.withColumnRenamed("at", "src"), "src", "left_semi")
     return paid.join(g.nodes("Payment").select(F.col("id").alias("dst"), "method"), "dst").select(
         F.col("src").alias("order_id"), F.col("method").alias("result")
     )
@@ -219,35 +222,3 @@ def evidence_paths(rows: DataFrame, pieces: Sequence[str | Column]) -> DataFrame
     """One readable path per row from literals and columns."""
     parts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in pieces]
     return rows.select(F.concat(*parts).alias("path"))
-
-
-def full_sample(g: PropertyGraph, limit: int = 500) -> DataFrame:
-    """The first ``limit`` nodes by id, the edges among them, and the totals.
-
-    One row per node and edge, plus three rows ``total_nodes``, ``total_edges``
-    and ``truncated`` that carry their number in ``value``.
-    """
-    if not 1 <= limit <= 5000:
-        raise ValueError("limit must be between 1 and 5000")
-    vertices, edges = g.vertices(), g.connections()
-    picked = vertices.select("id", "label").orderBy("id").limit(limit)
-    # at most 5000 ids
-    ids = F.broadcast(picked.select("id"))
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    )
-    n_nodes = vertices.agg(F.count(F.lit(1)).alias("value"))
-    return union_all(
-        [
-            picked.select(F.lit("node").alias("kind"), "id", F.col("label").alias("type")),
-            inside.select(
-                F.lit("edge").alias("kind"),
-                F.col("src").alias("id"),
-                F.col("rel_type").alias("type"),
-                F.col("dst").alias("target"),
-            ),
-            n_nodes.select(F.lit("total_nodes").alias("kind"), "value"),
-            edges.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_edges").alias("kind"), "value"),
-            n_nodes.select(F.lit("truncated").alias("kind"), (F.col("value") > limit).cast("long").alias("value")),
-        ]
-    )

@@ -138,29 +138,55 @@ def induced_edges(g: PropertyGraph, nodes: Frontier) -> DataFrame:
     for name, source, target in g.edge_keys:
         if source not in nodes.labels or target not in nodes.labels:
             continue
-        edges = g.edges(name, source, target).select("src", "dst")
+        # both ends are known nodes: filter the raw rows first, fold what is left
+        edges, _ = g.links(name, source, target)
         for side, label in (("src", source), ("dst", target)):
             keys = nodes.rows.where(F.col("label") == label).select(
                 F.col("key").try_cast(edges.schema[side].dataType).alias(side)
             )
             edges = edges.join(keys, side, "left_semi")
         frames.append(
-            edges.select(
+            edges.distinct().select(
                 node_id(source, F.col("src")).alias("src"),
                 node_id(target, F.col("dst")).alias("dst"),
                 F.lit(name).alias("rel_type"),
             )
         )
+    if not frames:
+        nothing = nodes.rows.where(F.lit(False))
+        return nothing.select(composite().alias("src"), composite().alias("dst"), F.lit("").alias("rel_type"))
     return union_all(frames)
 
 
-def neighbourhood(g: PropertyGraph, composite_id: str, depth: int = 1) -> DataFrame:
-    """Nodes and induced edges as one listing: (kind, id, type, target)."""
-    nodes = neighbourhood_nodes(g, composite_id, depth)
+def full_sample(g: PropertyGraph, limit: int = 500) -> DataFrame:
+    """The first ``limit`` nodes by id, the edges among them, and the totals.
+
+    One row per node and edge, plus three rows ``total_nodes``, ``total_edges``
+    and ``truncated`` that carry their number in ``value``.
+    """
+    if not 1 <= limit <= 5000:
+        raise ValueError("limit must be between 1 and 5000")
+    picked = g.vertices().select("id", "label").orderBy("id").limit(limit)
+    key = F.expr("substring(id, length(label) + 2)")
+    shown = Frontier(picked.select("label", key.alias("key")), frozenset(g.labels)).settled()
+    # no columns are read for the totals
+    counted = union_all(
+        [g.nodes(l).select(F.lit("total_nodes").alias("kind")) for l in g.labels]
+        + [g.edges(*k).select(F.lit("total_edges").alias("kind")) for k in g.edge_keys]
+    )
+    totals = settle(counted.groupBy("kind").agg(F.count(F.lit(1)).alias("value")))
+    cut = totals.where("kind = 'total_nodes'").select(
+        F.lit("truncated").alias("kind"), (F.col("value") > limit).cast("long").alias("value")
+    )
+    return union_all([listing(shown, induced_edges(g, shown)), totals, cut])
+
+
+def listing(nodes: Frontier, edges: DataFrame) -> DataFrame:
+    """Nodes and edges in one frame: (kind, id, type, target)."""
     return union_all(
         [
             nodes.rows.select(F.lit("node").alias("kind"), composite().alias("id"), F.col("label").alias("type")),
-            induced_edges(g, nodes).select(
+            edges.select(
                 F.lit("edge").alias("kind"),
                 F.col("src").alias("id"),
                 F.col("rel_type").alias("type"),
@@ -170,6 +196,12 @@ def neighbourhood(g: PropertyGraph, composite_id: str, depth: int = 1) -> DataFr
     )
 
 
+def neighbourhood(g: PropertyGraph, composite_id: str, depth: int = 1) -> DataFrame:
+    """Nodes and induced edges as one listing: (kind, id, type, target)."""
+    nodes = neighbourhood_nodes(g, composite_id, depth)
+    return listing(nodes, induced_edges(g, nodes))
+
+
 def merge_view(current: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Union of the current view with newly found rows; known rows stay."""
     fresh = found.join(current.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))

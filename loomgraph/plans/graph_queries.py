@@ -8,6 +8,7 @@ from loomgraph.graph import node_id, union_all
 from loomgraph.operators import aggregates as agg
 from loomgraph.operators import anchored, ranking, setops
 from loomgraph.operators import patterns as pat
+from loomgraph.operators import traversal as tr
 from loomgraph.operators.patterns import back, out
 from loomgraph.plans import sqlparts as q
 from loomgraph.plans.registry import checked
@@ -310,7 +311,7 @@ def _j16(w):
         UNION ALL SELECT 'truncated', NULL, NULL, NULL, CAST(count(*) > 500 AS BIGINT) FROM v""",
 )
 def _j17(w):
-    return pat.full_sample(w.graph, 500)
+    return tr.full_sample(w.graph, 500)
 
 
 # ---- aggregates ---------------------------------------------------------------------

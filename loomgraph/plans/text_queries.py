@@ -8,7 +8,7 @@ from loomgraph.functions import strings as st
 from loomgraph.functions import text as tx
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators import chunks as ch
-from loomgraph.operators import hybrid, maintenance, mentions, ranking, setops, vectors
+from loomgraph.operators import hybrid, maintenance, mentions, questions, ranking, setops, vectors
 from loomgraph.plans.registry import checked
 from loomgraph.session import settle, shared_dir
 from loomgraph.sources.text import file_type, routing_error
@@ -481,7 +481,7 @@ def _rules_sql() -> str:
 
 @checked("t14_question_classification", _rules_sql())
 def _t14(w):
-    return _questions(w).select("qid", tx.classify_question(F.col("question")).alias("c")).select("qid", "c.*")
+    return questions.classify(_questions(w), "qid", "question")
 
 
 def _any_sql(patterns) -> str:
@@ -630,14 +630,14 @@ def _ready(w):
     """Ready chunks with vectors, their documents, and the passages as questions."""
     got = _ingested(w)
     asked = w.t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    questions = vectors.hashed_vectors(asked, ["query_id"], "question")
+    embedded = vectors.hashed_vectors(asked, ["query_id"], "question")
     # both are read twice, by the search and by the lookup of the found chunks
-    return settle(got.chunks), settle(got.documents), questions
+    return settle(got.chunks), settle(got.documents), embedded
 
 
 def _hits(w):
-    chunks, documents, questions = _ready(w)
-    return hybrid.retrieve(questions, chunks, documents)
+    chunks, documents, asked = _ready(w)
+    return hybrid.retrieve(asked, chunks, documents)
 
 
 @checked("v5_keyword_rerank", f"{_HITS} SELECT query_id, chunk_id, score, rank, rerank_score FROM rr")
@@ -767,8 +767,8 @@ def _v11(w):
         FROM benchmark LEFT JOIN gc ON gc.query_id = item_id LEFT JOIN dc ON dc.query_id = item_id""",
 )
 def _v12(w):
-    chunks, documents, questions = _ready(w)
-    return hybrid.hybrid(questions, chunks, documents, _text_graph(w), _text_names(w), _TEXT_LABELS)
+    chunks, documents, asked = _ready(w)
+    return hybrid.hybrid(asked, chunks, documents, _text_graph(w), _text_names(w), _TEXT_LABELS)
 
 
 # ---- chunk storage ------------------------------------------------------------------------------------

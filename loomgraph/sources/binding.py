@@ -17,22 +17,26 @@ TABLES = (
 
 SALES_GRAPH = GraphSpec(
     nodes=(
-        NodeSpec("Region", "region", "r_regionkey", {"name": "r_name"}, unique=True),
-        NodeSpec("Nation", "nation", "n_nationkey", {"name": "n_name"}, unique=True),
+        NodeSpec("Region", "region", "r_regionkey", {"name": "r_name"}, unique=True, named=True),
+        NodeSpec("Nation", "nation", "n_nationkey", {"name": "n_name"}, unique=True, named=True),
         NodeSpec(
             "Customer",
             "customer",
             "c_custkey",
             {"name": "c_name", "acctbal": "c_acctbal", "segment": "c_mktsegment"},
             unique=True,
+            named=True,
+        ),
+        NodeSpec(
+            "Supplier", "supplier", "s_suppkey", {"name": "s_name", "acctbal": "s_acctbal"}, unique=True, named=True
         ),
-        NodeSpec("Supplier", "supplier", "s_suppkey", {"name": "s_name", "acctbal": "s_acctbal"}, unique=True),
         NodeSpec(
             "Part",
             "part",
             "p_partkey",
             {"name": "p_name", "type": "p_type", "size": "p_size", "price": "p_retailprice"},
             unique=True,
+            named=True,
         ),
         NodeSpec("Brand", "part", "p_brand", name_template="{id}"),
         NodeSpec(

@@ -85,6 +85,8 @@ class NodeSpec:
 
     ``unique`` declares that the key column is a primary key of the table, so
     the upsert needs no shuffle; ``key_violations`` is the check for the claim.
+    ``named`` declares that the ``name`` property is never null, so filters on
+    it reach the scan instead of stopping at the name enrichment.
     """
 
     label: str
@@ -94,6 +96,7 @@ class NodeSpec:
     merge_order: tuple[str, ...] = ()
     unique: bool = False
     name_template: str | None = None
+    named: bool = False
 
     def __post_init__(self) -> None:
         if "_" in self.label:
