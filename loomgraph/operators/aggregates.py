@@ -285,6 +285,7 @@ def review_quality(g: PropertyGraph) -> DataFrame:
 # ---- pair support ------------------------------------------------------------
 
 PAIR_BLOCK = 64
+GRID_SALTS = 32
 
 
 def pair_support(g: PropertyGraph, block: int = PAIR_BLOCK) -> DataFrame:
@@ -347,8 +348,12 @@ def _pairs_across(blocked: DataFrame) -> DataFrame:
     For each block and name: how many products of that name lie in earlier
     blocks.  A block's own names then meet those running counts.
     """
-    counts = blocked.groupBy("src", "blk", "item").agg(F.count(F.lit(1)).alias("c"))
-    grid = counts.select("src", "item").distinct().join(counts.select("src", "blk").distinct(), "src")
+    counts = settle(blocked.groupBy("src", "blk", "item").agg(F.count(F.lit(1)).alias("c")))
+    # salted: the names and blocks of one huge basket meet in many tasks
+    salts = F.array(*map(F.lit, range(GRID_SALTS)))
+    names = counts.select("src", "item").distinct().withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(GRID_SALTS)).cast("int"))
+    blocks = counts.select("src", "blk").distinct().withColumn("salt", F.explode(salts))
+    grid = names.join(blocks, ["src", "salt"]).drop("salt")
     earlier = Window.partitionBy("src", "item").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         grid.join(counts, ["src", "blk", "item"], "left")

@@ -106,11 +106,12 @@ def retrieve(
     """
     usable = vectors.searchable(chunks, documents)
     ranked = vectors.cosine_topk(questions, usable, k, "query_id", "chunk_id")
-    kept = vectors.above(ranked, minimum)
-    return (
-        usable.select("chunk_id", "doc_id", "chunk_index", "text", "filename")
-        .join(kept, "chunk_id")
-        .join(questions.select("query_id", "question"), "query_id")
+    # k rows per question: text and file name are looked up for these only
+    kept = settle(vectors.above(ranked, minimum))
+    texts = chunks.select("chunk_id", "doc_id", "tenant_id", "chunk_index", "text").join(kept, "chunk_id")
+    ready = documents.where("status = 'ready'").select("doc_id", "tenant_id", "filename")
+    return texts.join(ready, ["doc_id", "tenant_id"]).drop("tenant_id").join(
+        questions.select("query_id", "question"), "query_id"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.plan import bounded_rows, spread
+from loomgraph.functions.plan import bounded_rows, sized, spread
 from loomgraph.functions.strings import keywords
 from loomgraph.graph import union_all
 from loomgraph.operators.ranking import top_k_per
@@ -20,42 +21,50 @@ DIMENSIONS = 64
 MAX_EMBED_CHARS = 8000
 QUERY_BLOCK = 4096
 SCORE_DIGITS = 6
+REMEMBERED_TOKENS = 200_000
 Embedder = Callable[[pd.Series], Sequence]
 
 
-def bucket_of(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Stable bucket of a token: the first 32 bits of its MD5."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(dimensions))
+def token_hasher(dimensions: int):
+    """Arrow UDF: blank-separated tokens to unit-length vectors of hashed token counts.
 
+    The bucket of a token is the first 32 bits of its MD5; buckets of words
+    already seen are remembered within a task.
+    """
 
-def hashed_counts(df: DataFrame, keys: Sequence[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(keys, bucket, n): token counts by bucket; at most ``dimensions`` rows per text.
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
 
-    The tokens of a text are exploded and folded inside its own task before
-    anything is shuffled.
-    """
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{Nd}_]+)"), 1)
-    rows = spread(df.select(*keys, text), *keys).select(*keys, F.explode(tokens).alias("_w"))
-    return rows.groupBy(*keys, bucket_of(F.col("_w"), dimensions).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        def bucket(token: str) -> int:
+            found = known.get(token)
+            if found is None:
+                if len(known) >= REMEMBERED_TOKENS:
+                    known.clear()
+                found = known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
+            return found
+
+        def vector(tokens: str | None) -> np.ndarray:
+            if not tokens:
+                return np.zeros(dimensions)
+            counts = np.bincount([bucket(t) for t in tokens.split(" ")], minlength=dimensions)
+            return counts / np.sqrt(float((counts * counts).sum()))
+
+        for batch in batches:
+            yield pd.Series([vector(tokens) for tokens in batch])
+
+    # a repeated evaluation costs more than any rewrite could win
+    return hashed.asNondeterministic()
 
 
 def hashed_vectors(df: DataFrame, keys: Sequence[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Adds ``embedding``: unit-length hashed token counts; texts without tokens get zeros.
 
-    Stands in for a model.  Only bounded rows are gathered: one per bucket.
+    Stands in for a model.  Every row is embedded where it is; nothing is
+    shuffled.
     """
-    counts = hashed_counts(df, keys, text, dimensions)
-    folded = counts.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_m"),
-        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")),
-        lambda i: F.coalesce(F.try_element_at("_m", i) / F.col("_norm"), F.lit(0.0)),
-    )
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    vectors = folded.select(*keys, dense.alias("embedding"))
-    return df.join(vectors, list(keys), "left").withColumn("embedding", F.coalesce("embedding", zero))
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{Nd}_]+)"), 1)
+    return spread(df, *keys).withColumn("embedding", token_hasher(dimensions)(F.array_join(tokens, " ")))
 
 
 def embed_with(df: DataFrame, keys: Sequence[str], text: str, embedder: Embedder, dimensions: int) -> DataFrame:
@@ -87,9 +96,13 @@ def nonzero(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def searchable(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks of ready documents of the same tenant, with their file name."""
-    ready = documents.where("status = 'ready'").select("doc_id", "tenant_id", "filename")
-    return nonzero(chunks).join(ready, ["doc_id", "tenant_id"])
+    """Chunks with a usable vector whose document, of the same tenant, is ready.
+
+    Every stored chunk has its document, and documents that are not ready are
+    few: they are taken out, so the chunks need not be shuffled to all the others.
+    """
+    waiting = documents.where("status <> 'ready' OR status IS NULL").select("doc_id", "tenant_id")
+    return nonzero(chunks).join(sized(waiting), ["doc_id", "tenant_id"], "left_anti")
 
 
 def cosine_topk(
