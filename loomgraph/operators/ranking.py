@@ -17,7 +17,8 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def top_k_per(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Top-k per key.  The rank filter lets Spark cut each group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    best = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return best.withColumn(rank, F.col(rank).cast("long"))
 
 
 def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
@@ -26,7 +27,9 @@ def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
 
 def ranked_top(df: DataFrame, k: int, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Top-k with its 1-based positions; only k rows reach the numbering window."""
-    return top_k(df, k, *order).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    return top_k(df, k, *order).withColumn(
+        rank, F.row_number().over(Window.orderBy(*order)).cast("long")
+    )
 
 
 def keep_newest_finished(
