@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import quality
+from loomgraph.llm import decontaminate, quality
 from loomgraph.llm.tables import table
 
 
@@ -14,10 +14,16 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
+    "op8_benchmark_decontamination": decontaminate.SQL,
 }
