@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, quality
+from loomgraph.llm import bpe, decontaminate, quality, tokens
 from loomgraph.llm.tables import table
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count(table(spark, folder, "documents"), keep=["doc_id"])
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
@@ -18,9 +22,15 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_byte_level_bpe": op9_byte_level_bpe,
 }
 
 SQL: dict[str, str] = {
