@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontaminate, quality, tokens
+from loomgraph.llm import bpe, decontaminate, quality, tokens, warc
 from loomgraph.llm.tables import table
 
 
@@ -26,14 +26,20 @@ def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digests(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_byte_level_bpe": op9_byte_level_bpe,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op10_warc": warc.SQL,
 }
