@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontaminate, quality, tokens, warc
+from loomgraph.llm import bpe, decontaminate, quality, tokens, toxicity, warc
 from loomgraph.llm.tables import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count(table(spark, folder, "documents"), keep=["doc_id"])
 
@@ -31,6 +35,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
