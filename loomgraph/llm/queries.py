@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontaminate, jaccard, quality, tokens, toxicity, warc
+from loomgraph.llm import bpe, decontaminate, jaccard, quality, tokens, toxicity, urls, warc
 from loomgraph.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
     "op4_ngram_jaccard": jaccard.SQL,
     "op7_quality_rules": quality.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
