@@ -169,15 +169,15 @@ def payment_summary(g: PropertyGraph) -> DataFrame:
     )
 
 
-def endpoint_summary(g: PropertyGraph, rel: str, limit: int = 20) -> DataFrame:
-    """Edges of one type by (source label, target label)."""
+def endpoint_summary(g: PropertyGraph, rel: str, limit: int | None = None) -> DataFrame:
+    """Edges of one type by (source label, target label); with ``limit`` only the most frequent pairs."""
     frames = [
         g.edges(*key).select(F.lit(key[1]).alias("source_type"), F.lit(key[2]).alias("target_type"))
         for key in g.edge_keys
         if key[0] == rel
     ]
     counted = union_all(frames).groupBy("source_type", "target_type").agg(F.count(F.lit(1)).alias("count"))
-    return top_k(counted, limit, F.desc("count"), F.asc("source_type"), F.asc("target_type"))
+    return counted if limit is None else top_k(counted, limit, F.desc("count"), F.asc("source_type"), F.asc("target_type"))
 
 
 def customer_segments(g: PropertyGraph, vip: float = 5_000_000, regular: float = 2_000_000) -> DataFrame:

@@ -20,11 +20,10 @@ from loomgraph.operators.traversal import Frontier, hop_lists_from, with_names
 from loomgraph.session import settle
 from loomgraph.sources.text import file_type, routing_error
 
+DEFAULT_TENANT = "_default_"
 SOURCES = 5
 ENTITIES = 3
 NEIGHBOURS = 10
-PASSAGE_CHARS = 500
-ANSWER_CHARS = 2000
 # Headings and fallback answers.
 DOCUMENT_HEADING = "[문서 검색 결과]"
 GRAPH_HEADING = "[그래프 컨텍스트]"
@@ -67,17 +66,22 @@ def ingest(
     strategy: str = "recursive",
     size: int = 1000,
     overlap: int = 200,
-    tenant: str = "_default_",
+    tenant: str = DEFAULT_TENANT,
+    embedder: vectors.Embedder | None = None,
 ) -> Ingested:
     """Parse, chunk, embed and link documents in one flow, without a loop over documents.
 
     ``documents`` ends with status ``ready`` or ``failed`` and the reason.
+    Vectors are hashed token counts, or those of ``embedder``.
     """
     # both stages feed several outputs: each is stored once instead of being parsed again
     parsed = settle(parse_documents(spread(docs, "doc_id")).drop("content"))
     good = parsed.where("error IS NULL").select("doc_id", "text")
     pieces = settle(chunk_documents(good, "text", strategy, size, overlap))
-    embedded = vectors.hashed_vectors(pieces, ["doc_id", "chunk_index"], "text")
+    if embedder is None:
+        embedded = vectors.hashed_vectors(pieces, ["doc_id", "chunk_index"], "text")
+    else:
+        embedded = vectors.embed_with(pieces, "text", embedder)
     chunks = embedded.withColumn("tenant_id", F.lit(tenant)).withColumn(
         "chunk_id", F.concat_ws(":", "doc_id", "chunk_index")
     )
@@ -102,17 +106,20 @@ def retrieve(
 ) -> DataFrame:
     """Top-k chunks per question above the threshold, with text and file name.
 
-    ``questions``: query_id, question, embedding.
+    ``questions``: query_id, question, embedding and tenant_id; without the last
+    they belong to the default tenant.  Only chunks of the question's tenant
+    whose document is ready are searched.
     """
+    if "tenant_id" not in questions.columns:
+        questions = questions.withColumn("tenant_id", F.lit(DEFAULT_TENANT))
     usable = vectors.searchable(chunks, documents)
-    ranked = vectors.cosine_topk(questions, usable, k, "query_id", "chunk_id")
+    ranked = vectors.cosine_topk(questions, usable, k, "query_id", "chunk_id", within=["tenant_id"])
+    asked = questions.select("query_id", "question", "tenant_id")
     # k rows per question: text and file name are looked up for these only
-    kept = settle(vectors.above(ranked, minimum))
-    texts = chunks.select("chunk_id", "doc_id", "tenant_id", "chunk_index", "text").join(kept, "chunk_id")
+    kept = settle(vectors.above(ranked, minimum).join(asked, "query_id"))
+    texts = chunks.select("chunk_id", "doc_id", "tenant_id", "chunk_index", "text").join(kept, ["chunk_id", "tenant_id"])
     ready = documents.where("status = 'ready'").select("doc_id", "tenant_id", "filename")
-    return texts.join(ready, ["doc_id", "tenant_id"]).drop("tenant_id").join(
-        questions.select("query_id", "question"), "query_id"
-    )
+    return texts.join(ready, ["doc_id", "tenant_id"]).drop("tenant_id")
 
 
 def rerank(hits: DataFrame, k: int = SOURCES) -> DataFrame:
@@ -122,12 +129,11 @@ def rerank(hits: DataFrame, k: int = SOURCES) -> DataFrame:
 def hit_entities(
     hits: DataFrame, names: DataFrame, label_order: Sequence[str], limit: int = ENTITIES
 ) -> DataFrame:
-    """Up to ``limit`` entities named in the joined top texts of a question.
+    """Up to ``limit`` entities named in the joined texts of a question's hits.
 
-    Label order first, longer names first.  At most five texts are joined.
+    Label order first, longer names first.
     """
-    top = hits.where(F.col("position") <= SOURCES)
-    joined = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_l"))
+    joined = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_l"))
     texts = joined.select("query_id", F.array_join(F.transform("_l", lambda s: s["text"]), " ").alias("text"))
     found = match_dictionary(texts, ["query_id"], "text", names, ignore_case=False)
     rank = F.array_position(F.array(*map(F.lit, label_order)), F.col("label"))
@@ -170,9 +176,9 @@ def graph_lines(g: PropertyGraph, entities: DataFrame, limit: int = NEIGHBOURS)
     return head.unionByName(body.select(*head.columns)).select("query_id", "entity_rank", "position", "line")
 
 
-def graph_context(g: PropertyGraph, entities: DataFrame) -> DataFrame:
-    """One text per question; at most three entities with ten neighbours each."""
-    lines = graph_lines(g, entities)
+def graph_context(g: PropertyGraph, entities: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """One text per question: its entities with their nearest neighbours."""
+    lines = graph_lines(g, entities, neighbours)
     packed = lines.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("entity_rank", "position", "line"))).alias("_l")
     )
@@ -204,7 +210,7 @@ def citations(hits: DataFrame, limit: int = SOURCES) -> DataFrame:
         "position",
         F.col("doc_id").alias("document_id"),
         F.coalesce("filename", F.lit("unknown")).alias("filename"),
-        F.left("text", F.lit(PASSAGE_CHARS)).alias("chunk_text"),
+        F.col("text").alias("chunk_text"),
         F.round("score", 3).alias("relevance_score"),
         "chunk_index",
     )
@@ -217,14 +223,23 @@ def hybrid(
     g: PropertyGraph,
     names: DataFrame,
     label_order: Sequence[str],
+    k: int = 10,
+    minimum: float = 0.3,
+    sources: int = SOURCES,
+    entities: int = ENTITIES,
+    neighbours: int = NEIGHBOURS,
 ) -> DataFrame:
-    """Retrieval, rerank, graph and document context: one row per question."""
-    hits = settle(rerank(retrieve(questions, chunks, documents)))
-    about = graph_context(g, hit_entities(hits, names, label_order))
+    """Retrieval, rerank, graph and document context: one row per question.
+
+    ``k`` chunks are found, ``sources`` of them kept after reranking; ``entities``
+    named in these are shown with ``neighbours`` each.  Texts are never cut.
+    """
+    hits = settle(rerank(retrieve(questions, chunks, documents, k, minimum), sources))
+    about = graph_context(g, hit_entities(hits, names, label_order, entities), neighbours)
     cited = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("sources"))
     joined = (
         questions.select("query_id", "question")
-        .join(document_context(hits), "query_id", "left")
+        .join(document_context(hits, sources), "query_id", "left")
         .join(about, "query_id", "left")
         .join(cited, "query_id", "left")
     )
@@ -235,7 +250,7 @@ def hybrid(
         return F.when(ko, F.lit(pair[0])).otherwise(F.lit(pair[1]))
 
     answer = F.when(context.isNull(), worded(NO_CONTEXT)).otherwise(
-        F.concat(worded(NO_MODEL), F.left(context, F.lit(ANSWER_CHARS)))
+        F.concat(worded(NO_MODEL), context)
     )
     return joined.select(
         "query_id",

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomgraph.functions.plan import bounded_rows, spread
 from loomgraph.graph import PropertyGraph, union_all
-from loomgraph.operators.ranking import longest_match, top_k_per
-
-try:
-    import ahocorasick
-except ImportError:  # the plain search below gives the same result
-    ahocorasick = None
+from loomgraph.operators.ranking import longest_match
 
 MAX_DICTIONARY_ROWS = 50_000
 MAX_DICTIONARY_CHARS = 20_000_000
 GRAMS = (8, 4, 2, 1)
-MAX_MENTIONS = 20
 
 
 def entity_dictionary(g: PropertyGraph, labels: Sequence[str] | None = None) -> DataFrame:
@@ -35,11 +31,11 @@ def entity_dictionary(g: PropertyGraph, labels: Sequence[str] | None = None) ->
 
 def _finder(names: Sequence[str]):
     """``text -> [(position in names, first start)]``."""
-    if ahocorasick is None:
-        return lambda text: [(i, text.find(n)) for i, n in enumerate(names) if n in text]
     automaton = ahocorasick.Automaton()
     for i, name in enumerate(names):
         automaton.add_word(name, (i, len(name)))
+    if not names:
+        return lambda text: ()
     automaton.make_automaton()
 
     def find(text: str):
@@ -141,13 +137,16 @@ def match_dictionary(
 
 
 def mentions(
-    chunks: DataFrame, keys: Sequence[str], names: DataFrame, text: str = "text", limit: int = MAX_MENTIONS
+    chunks: DataFrame, keys: Sequence[str], names: DataFrame, text: str = "text", limit: int | None = None
 ) -> DataFrame:
-    """At most ``limit`` entities per text, in order of first position."""
+    """The entities of every text in order of first position; with ``limit`` only so many."""
     hits = match_dictionary(chunks, keys, text, names)
     # order among equal positions: label, longer name first
     order = [F.asc("char_start"), F.asc("label"), F.desc(F.length("name")), F.asc("name")]
-    return top_k_per(hits, keys, limit, order, "position").select(
+    placed = hits.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if limit is not None:
+        placed = placed.where(F.col("position") <= limit)
+    return placed.select(
         *keys,
         "name",
         "label",
@@ -173,7 +172,7 @@ def link_documents(
     return {
         "Document": documents.select(F.col("doc_id").alias("id"), "filename", "file_type").dropDuplicates(["id"]),
         "Chunk": chunks.select(
-            ref.alias("id"), "doc_id", "chunk_index", F.left("text", F.lit(200)).alias("text_preview")
+            ref.alias("id"), "doc_id", "chunk_index", "text", F.left("text", F.lit(200)).alias("text_preview")
         ).dropDuplicates(["id"]),
         "HAS_CHUNK": chunks.select(F.col("doc_id").alias("src"), ref.alias("dst")).distinct(),
         "MENTIONS": sure.select(

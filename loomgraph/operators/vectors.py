@@ -18,7 +18,6 @@ from loomgraph.operators.ranking import top_k_per
 from loomgraph.session import settle
 
 DIMENSIONS = 64
-MAX_EMBED_CHARS = 8000
 QUERY_BLOCK = 4096
 SCORE_DIGITS = 6
 REMEMBERED_TOKENS = 200_000
@@ -67,21 +66,38 @@ def hashed_vectors(df: DataFrame, keys: Sequence[str], text: str, dimensions: in
     return spread(df, *keys).withColumn("embedding", token_hasher(dimensions)(F.array_join(tokens, " ")))
 
 
-def embed_with(df: DataFrame, keys: Sequence[str], text: str, embedder: Embedder, dimensions: int) -> DataFrame:
-    """Adds ``embedding`` from a user's function over batches of texts.
+def embed_with(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
+    """Adds ``embedding`` and ``embedding_error`` from a user's function over batches of whole texts.
 
-    Texts are handed over in order and cut to the model's input limit; a batch
-    that fails gets zero vectors, which search ignores.
+    A limit on the input belongs to the embedder.  If a batch fails, its rows
+    are tried one by one; a row that fails has no vector, which search leaves
+    out, and the reason in ``embedding_error``.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("embedding", T.ArrayType(T.DoubleType())),
+            T.StructField("embedding_error", T.StringType()),
+        ]
+    )
+
+    def one(texts: pd.Series) -> tuple[list | None, str | None]:
+        try:
+            return list(map(float, embedder(texts)[0])), None
+        except Exception as exc:  # noqa: BLE001 - the user's function may raise anything
+            return None, f"{type(exc).__name__}: {exc}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = batch[text].fillna("")
             try:
-                vectors = [list(map(float, v)) for v in embedder(batch[text].fillna("").str.slice(0, MAX_EMBED_CHARS))]
-            except Exception:  # noqa: BLE001 - the user's function may raise anything
-                vectors = [[0.0] * dimensions for _ in range(len(batch))]
-            yield batch.assign(embedding=vectors)
+                vectors = [list(map(float, v)) for v in embedder(texts)]
+                if len(vectors) != len(batch):
+                    raise ValueError(f"{len(vectors)} vectors for {len(batch)} texts")
+                errors = [None] * len(batch)
+            except Exception:  # noqa: BLE001
+                vectors, errors = zip(*(one(texts.iloc[i : i + 1]) for i in range(len(batch))), strict=True)
+            yield batch.assign(embedding=list(vectors), embedding_error=list(errors))
 
     return df.mapInPandas(run, schema)
 
@@ -96,13 +112,9 @@ def nonzero(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def searchable(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with a usable vector whose document, of the same tenant, is ready.
-
-    Every stored chunk has its document, and documents that are not ready are
-    few: they are taken out, so the chunks need not be shuffled to all the others.
-    """
-    waiting = documents.where("status <> 'ready' OR status IS NULL").select("doc_id", "tenant_id")
-    return nonzero(chunks).join(sized(waiting), ["doc_id", "tenant_id"], "left_anti")
+    """Chunks with a usable vector whose document, of the same tenant, is there and ready."""
+    ready = documents.where("status = 'ready'").select("doc_id", "tenant_id")
+    return nonzero(chunks).join(sized(ready), ["doc_id", "tenant_id"], "left_semi")
 
 
 def cosine_topk(
@@ -112,18 +124,22 @@ def cosine_topk(
     query_key: str = "query_id",
     item_key: str = "item_id",
     vector: str = "embedding",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Exact top-k by cosine: (query key, item key, score, rank).
 
     Queries travel to the data in blocks of bounded size; each task multiplies
-    its Arrow batches with the block and keeps k candidates per query, so only
-    k rows per query and batch are shuffled.  More queries than one block
-    simply mean more passes.  Scores are rounded before ranking, ties go to
-    the smaller item key.
+    its Arrow batches with the block and keeps a running top k per query, so
+    only k rows per query and task are shuffled.  More queries than one block
+    mean more passes over the items, one broadcast block each.  ``within``
+    names columns of both sides that must agree (a tenant).  Scores are rounded
+    before ranking, ties go to the smaller item key.
     """
-    usable = nonzero(queries, vector).select(query_key, vector)
+    tag = F.to_json(F.struct(*within)) if within else F.lit("")
+    usable = nonzero(queries, vector).select(query_key, vector, tag.alias("_tag"))
+    items = corpus.where(F.col(vector).isNotNull()).select(item_key, vector, tag.alias("_tag"))
     blocks = _query_blocks(usable, query_key, vector)
-    parts = [_block_topk(ids, matrix, corpus, k, usable.schema[query_key], item_key, vector) for ids, matrix in blocks]
+    parts = [_block_topk(block, items, k, usable.schema[query_key], item_key, vector) for block in blocks]
     if not parts:
         empty = corpus.select(item_key).limit(0).withColumn("score", F.lit(0.0))
         best = empty.withColumn(query_key, F.lit(None).cast(usable.schema[query_key].dataType))
@@ -133,16 +149,16 @@ def cosine_topk(
     return ranked.select(query_key, item_key, "score", "rank")
 
 
-def _query_blocks(usable: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and unit vectors in blocks of at most ``QUERY_BLOCK`` rows.
+def _query_blocks(usable: DataFrame, key: str, vector: str) -> Iterator[tuple[list, list, np.ndarray]]:
+    """Query ids, tags and unit vectors in blocks of at most ``QUERY_BLOCK`` rows.
 
     A query set that fits one block is read at once.  A larger one is stored
-    as a table split into blocks, and the driver holds one block at a time.
+    as a table split into blocks, read one after the other.
     """
 
-    def pull(rows: list) -> tuple[list, np.ndarray]:
+    def pull(rows: list) -> tuple[list, list, np.ndarray]:
         matrix = np.array([r[vector] for r in rows], dtype=np.float64)
-        return [r[key] for r in rows], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        return [r[key] for r in rows], [r["_tag"] for r in rows], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
     rows = bounded_rows(usable, QUERY_BLOCK)
     if rows is not None:
@@ -160,51 +176,48 @@ def _query_blocks(usable: DataFrame, key: str, vector: str) -> Iterator[tuple[li
             yield pull(block)
 
 
-def _block_topk(
-    ids: list,
-    matrix: np.ndarray,
-    corpus: DataFrame,
-    k: int,
-    key_field: T.StructField,
-    item_key: str,
-    vector: str,
-    planes: np.ndarray | None = None,
-) -> DataFrame:
-    """Best k per query within every batch; with ``planes`` only signature mates count."""
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix, planes))
+SLICE = 1024
+
+
+def _block_topk(block: tuple, items: DataFrame, k: int, key_field: T.StructField, item_key: str, vector: str) -> DataFrame:
+    """Best k per query of the block within every task."""
+    shared = items.sparkSession.sparkContext.broadcast(block)
     schema = T.StructType(
-        [T.StructField(key_field.name, key_field.dataType), corpus.schema[item_key], T.StructField("score", T.DoubleType())]
+        [T.StructField(key_field.name, key_field.dataType), items.schema[item_key], T.StructField("score", T.DoubleType())]
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, unit, sides = shared.value
-        own = _signatures(unit, sides) if sides is not None else None
+        names, tags, unit = shared.value
+        tags = np.array(tags, dtype=object)
+        best = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
         for batch in batches:
-            if batch.empty:
-                continue
-            items = batch[item_key].to_numpy()
-            block = np.array(batch[vector].tolist(), dtype=np.float64)
-            lengths = np.linalg.norm(block, axis=1, keepdims=True)
-            alive = lengths[:, 0] > 0
-            block, items = block[alive] / lengths[alive], items[alive]
-            scores = np.round(unit @ block.T, SCORE_DIGITS)
-            order = np.argsort(items, kind="stable")
-            items, scores = items[order], scores[:, order]
-            if own is not None:
-                mates = _shared_signature(own, _signatures(block[order], sides))
-                scores = np.where(mates, scores, -np.inf)
-            take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(scores, take, axis=1).ravel()
-            found = pd.DataFrame(
-                {
-                    key_field.name: np.repeat(np.array(names, dtype=object), take.shape[1]),
-                    item_key: items[take].ravel(),
-                    "score": best,
-                }
-            )
-            yield found[np.isfinite(best)]
-
-    return corpus.where(F.col(vector).isNotNull()).select(item_key, vector).mapInPandas(search, schema)
+            for first in range(0, len(batch), SLICE):
+                part = batch.iloc[first : first + SLICE]
+                matrix = np.array(part[vector].tolist(), dtype=np.float64)
+                lengths = np.linalg.norm(matrix, axis=1)
+                alive = lengths > 0
+                if not alive.any():
+                    continue
+                keys = part[item_key].to_numpy()[alive]
+                scores = np.round(unit @ (matrix[alive] / lengths[alive, None]).T, SCORE_DIGITS)
+                own = part["_tag"].to_numpy()[alive]
+                scores[tags[:, None] != own[None, :]] = -np.inf
+                for q, row in enumerate(scores):
+                    if len(row) > k:  # everything that ties with the k-th stays in
+                        floor = np.partition(row, -k)[-k]
+                        near = np.flatnonzero(row >= floor)
+                    else:
+                        near = np.arange(len(row))
+                    near = near[np.isfinite(row[near])]
+                    s = np.concatenate([best[q][0], row[near]])
+                    i = np.concatenate([best[q][1], keys[near].astype(object)])
+                    order = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k]
+                    best[q] = (s[order], i[order])
+        for q, (s, i) in enumerate(best):
+            if len(s):
+                yield pd.DataFrame({key_field.name: [names[q]] * len(s), item_key: list(i), "score": s})
+
+    return items.mapInPandas(search, schema)
 
 
 def above(ranked: DataFrame, minimum: float = 0.3, score: str = "score") -> DataFrame:
@@ -215,48 +228,66 @@ def above(ranked: DataFrame, minimum: float = 0.3, score: str = "score") -> Data
 # ---- approximate search ------------------------------------------------------------
 
 
+def _signer(dimensions: int, tables: int, bits: int, flips: int, seed: int):
+    """Arrow UDF: the cells of a vector, table and sides of the table's planes in one long.
+
+    With ``flips`` also the neighbouring cells across the planes the vector lies
+    closest to, one or two at a time.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = np.random.default_rng(seed).standard_normal((tables * bits, dimensions))
+        power = 1 << np.arange(bits, dtype=np.int64)
+        base = np.arange(tables, dtype=np.int64) << bits
+        for batch in batches:
+            if not len(batch):
+                yield pd.Series([], dtype=object)
+                continue
+            margin = (np.array(batch.tolist(), dtype=np.float64) @ planes.T).reshape(len(batch), tables, bits)
+            cells = [base + ((margin >= 0) @ power)]
+            near = power[np.argsort(np.abs(margin), axis=2)[:, :, :flips]]
+            for a in range(near.shape[2]):
+                cells.append(cells[0] ^ near[:, :, a])
+                cells += [cells[0] ^ near[:, :, a] ^ near[:, :, b] for b in range(a)]
+            yield pd.Series(list(np.concatenate(cells, axis=1)))
+
+    return sign
+
+
 def approx_topk(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
     dimensions: int,
-    tables: int = 8,
-    bits: int = 6,
+    tables: int = 16,
+    bits: int = 8,
+    flips: int = 4,
     query_key: str = "query_id",
     item_key: str = "item_id",
     vector: str = "embedding",
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate top-k: only items sharing a random-plane signature are scored.
+    """Approximate top-k: only items in a cell that the query probes are scored, by equi-joins.
 
-    Works like ``cosine_topk``, but a batch is grouped by signature and each
-    group meets only the queries of the same signature.  Every task still
-    keeps k candidates per query, so a crowded signature is never joined out.
+    Every item lies in one cell of each table; the narrow index (cell, item key)
+    is stored once.  Queries probe their own and neighbouring cells.  Pairs that
+    meet are made distinct, then joined with both vectors and scored exactly;
+    crowded cells are left to AQE's skew handling.  Keys must be distinct.
     """
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dimensions))
-    usable = nonzero(queries, vector).select(query_key, vector)
-    blocks = _query_blocks(usable, query_key, vector)
-    parts = [
-        _block_topk(ids, matrix, corpus, k, usable.schema[query_key], item_key, vector, planes)
-        for ids, matrix in blocks
-    ]
-    return top_k_per(union_all(parts), [query_key], k, [F.desc("score"), F.asc(item_key)])
-
-
-def _signatures(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """(rows, tables) integers: the sides of each table's planes a vector lies on."""
-    sides = np.einsum("rd,tbd->rtb", unit, planes) >= 0
-    return sides @ (1 << np.arange(planes.shape[1]))
-
-
-def _shared_signature(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Boolean (queries, items): some table puts both on the same side of all planes."""
-    out = np.zeros((len(queries), len(items)), dtype=bool)
-    for t in range(queries.shape[1]):
-        for s in np.intersect1d(queries[:, t], items[:, t]):
-            out[np.ix_(queries[:, t] == s, items[:, t] == s)] = True
-    return out
+    items = nonzero(corpus, vector).select(item_key, vector)
+    asked = nonzero(queries, vector).select(query_key, vector)
+    index = settle(items.select(item_key, F.explode(_signer(dimensions, tables, bits, 0, seed)(vector)).alias("_cell")))
+    probes = asked.select(query_key, F.explode(_signer(dimensions, tables, bits, flips, seed)(vector)).alias("_cell"))
+    met = probes.join(index, "_cell").select(query_key, item_key).distinct()
+    both = met.join(items, item_key).join(asked.withColumnRenamed(vector, "_asked"), query_key)
+    dot = F.aggregate(
+        F.zip_with(vector, "_asked", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x
+    )
+    scored = both.select(
+        query_key, item_key, F.round(dot / (norm(F.col(vector)) * norm(F.col("_asked"))), SCORE_DIGITS).alias("score")
+    )
+    return top_k_per(scored, [query_key], k, [F.desc("score"), F.asc(item_key)])
 
 
 def recall(approx: DataFrame, exact: DataFrame, query_key: str = "query_id", item_key: str = "item_id") -> DataFrame:
@@ -283,14 +314,14 @@ def keyword_rerank(hits: DataFrame, question: str = "question", text: str = "tex
 
 
 def blend_scores(
-    hits: DataFrame, scores: DataFrame, keys: Sequence[str], group: str, order: Sequence[Column], first: int = 10
+    hits: DataFrame, scores: DataFrame, keys: Sequence[str], group: str, order: Sequence[Column], first: int | None = None
 ) -> DataFrame:
-    """Average the rerank score with an external 0..10 rating.
+    """Average the rerank score with an external 0..10 rating, where a rating exists.
 
-    Only the first rows of a question are blended, and only where a rating
-    exists.  ``scores`` has the keys and ``rating``.
+    With ``first`` only that many first rows of a question are blended.  ``scores`` has the keys and ``rating``.
     """
-    head = top_k_per(hits, [group], first, order, "_r").select(*keys, F.lit(True).alias("_head"))
+    head = hits if first is None else top_k_per(hits, [group], first, order, "_r")
+    head = head.select(*keys, F.lit(True).alias("_head"))
     rated = hits.join(head, list(keys), "left").join(scores.select(*keys, "rating"), list(keys), "left")
     # in whole ten-thousandths: halves are common here and must round alike everywhere
     blended = F.round((F.round(F.col("rerank_score") * 10_000) + F.round(F.col("rating") * 1_000)) / 2) / 10_000

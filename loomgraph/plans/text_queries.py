@@ -355,7 +355,7 @@ def _doc_chunks(w):
     "t11_entity_mentions",
     f"""SELECT doc_id, chunk_index, name, label, 1.0::DOUBLE AS confidence, 'kg_match' AS source, char_start,
           char_start + n AS char_end, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY char_start, label,
-          n DESC, name) AS position FROM {_MENTIONS} m QUALIFY position <= 20""",
+          n DESC, name) AS position FROM {_MENTIONS} m""",
 )
 def _t11(w):
     return mentions.mentions(_doc_chunks(w), ["doc_id", "chunk_index"], _passages(w))
@@ -575,25 +575,41 @@ def _v3(w):
     return vectors.nonzero(w.t("embeddings").select("vec_id", blank.alias("embedding"))).select("vec_id")
 
 
-@checked("v4_approximate_knn")
+@checked(
+    "v4_approximate_knn",
+    """SELECT true AS recall_reached, 0::BIGINT AS wrong_scores, count(*) AS queries FROM (SELECT DISTINCT label FROM embeddings)""",
+)
 def _v4(w):
+    """Whether nine tenths of the exact result are found, and how many scores differ from the exact ones."""
     queries, corpus = _exemplars(w), _corpus(w)
     exact = vectors.cosine_topk(queries, corpus, 10)
-    return vectors.recall(vectors.approx_topk(queries, corpus, 10, 64), exact)
+    near = settle(vectors.approx_topk(queries, corpus, 10, 64))
+    share = vectors.recall(near, exact).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    both = near.join(exact.withColumnRenamed("score", "exact_score"), ["query_id", "item_id"])
+    wrong = both.agg(F.count_if(F.col("score") != F.col("exact_score")).alias("wrong_scores"))
+    asked = near.agg(F.count_distinct("query_id").alias("queries"))
+    return share.join(wrong).join(asked)  # three frames of one row
 
 
-@checked("y3_pluggable_embedder", "SELECT doc_id, length(text)::DOUBLE AS chars FROM documents")
+@checked(
+    "y3_pluggable_embedder",
+    """SELECT doc_id, length(text)::DOUBLE AS chars, length(regexp_replace(text, '[^aeiou]', '', 'g'))::DOUBLE AS vowels,
+         CASE WHEN contains(text, 'the') THEN 'ValueError: refused' END AS error FROM documents WHERE NOT contains(text, 'the')
+       UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: refused' FROM documents WHERE contains(text, 'the')""",
+)
 def _y3(w):
-    def lengths(batch):
-        return [[float(len(t)), 1.0] for t in batch]
+    """Vectors of a user's function that refuses some texts."""
+
+    def counted(batch):
+        if batch.str.contains("the", regex=False).any():
+            raise ValueError("refused")
+        return [[float(len(t)), float(sum(map(t.count, "aeiou")))] for t in batch]
 
-    docs = w.t("documents").select("doc_id", F.col("text").alias("full_text"))
-    pieces = docs.withColumn("text", F.col("full_text")).select("doc_id", "text")
-    rows = vectors.embed_with(
-        ch.fixed_chunks(pieces, "text", 4000, 0).withColumn("text", F.col("text")), ["doc_id"], "text", lengths, 2
+    rows = vectors.embed_with(w.t("documents").select("doc_id", "text"), "text", counted)
+    return rows.select(
+        "doc_id", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("vowels"),
+        F.col("embedding_error").alias("error"),
     )
-    # stripped windows lose white space: count it back from the offsets
-    return rows.groupBy("doc_id").agg(F.max("char_end").cast("double").alias("chars"))
 
 
 @checked(
@@ -747,7 +763,7 @@ def _v10(w):
 
 @checked(
     "v11_source_citations",
-    f"""{_HITS} SELECT query_id, position, doc_id AS document_id, filename, left(text, 500) AS chunk_text,
+    f"""{_HITS} SELECT query_id, position, doc_id AS document_id, filename, text AS chunk_text,
           round(score, 3) AS relevance_score, chunk_index FROM cut""",
 )
 def _v11(w):
@@ -762,7 +778,7 @@ def _v11(w):
         SELECT item_id AS query_id, CASE WHEN document_context IS NULL AND graph_context IS NULL
             THEN 'No relevant documents or graph data found.'
             ELSE 'No LLM configured. Returning raw context.' || chr(10) || chr(10)
-              || left(coalesce(document_context, graph_context), 2000) END AS answer, graph_context, document_context,
+              || coalesce(document_context, graph_context) END AS answer, graph_context, document_context,
           coalesce(sources, 0) AS sources, document_context IS NULL AND graph_context IS NULL AS no_context
         FROM benchmark LEFT JOIN gc ON gc.query_id = item_id LEFT JOIN dc ON dc.query_id = item_id""",
 )

@@ -186,7 +186,7 @@ def test_approximate_search_has_recall(spark):
     _, queries = _vectors(spark, 20, 5, "query_id")
     _, corpus = _vectors(spark, 300, 6, "item_id")
     exact = vectors.cosine_topk(queries, corpus, 5)
-    near = vectors.approx_topk(queries, corpus, 5, 8, tables=12, bits=3)
+    near = vectors.approx_topk(queries, corpus, 5, 8, tables=12, bits=4, flips=2)
     assert vectors.recall(near, exact).first()["recall"] > 0.9
 
 
@@ -197,14 +197,42 @@ def test_rerank_formula(spark):
     assert got == [0.86, 0.45, 0.4]
 
 
-def test_failing_embedder_gives_zero_vectors(spark):
-    def broken(_):
-        raise RuntimeError("no model")
+def test_failing_embedder_leaves_errors_per_row(spark):
+    def picky(batch):
+        if (batch == "bad").any():
+            raise RuntimeError("no model")
+        return [[float(len(t)), 0.0] for t in batch]
 
-    df = spark.createDataFrame([(1, "x")], "id long, text string")
-    rows = vectors.embed_with(df, ["id"], "text", broken, 3)
-    assert rows.first()["embedding"] == [0.0, 0.0, 0.0]
-    assert vectors.nonzero(rows).count() == 0
+    df = spark.createDataFrame([(1, "x" * 20_000), (2, "bad"), (3, None)], "id long, text string").coalesce(1)
+    rows = {r["id"]: r for r in vectors.embed_with(df, "text", picky).collect()}
+    assert rows[1]["embedding"] == [20_000.0, 0.0] and rows[1]["embedding_error"] is None
+    assert rows[2]["embedding"] is None and rows[2]["embedding_error"] == "RuntimeError: no model"
+    assert vectors.nonzero(vectors.embed_with(df, "text", picky)).count() == 1
+
+
+def test_every_entity_of_a_chunk_is_kept(spark):
+    names = spark.createDataFrame([(f"Name{i:02d}", "Person") for i in range(25)], "name string, label string")
+    chunk = spark.createDataFrame([(1, " ".join(f"Name{i:02d}" for i in range(25)))], "id long, text string")
+    assert mentions.mentions(chunk, ["id"], names).count() == 25
+    assert mentions.mentions(chunk, ["id"], names, limit=3).count() == 3
+
+
+def test_search_stays_within_the_tenant(spark):
+    chunks = spark.createDataFrame(
+        [("1:0", 1, 0, "a", "t1", [1.0, 0.0]), ("1:0", 1, 0, "b", "t2", [1.0, 0.0]), ("2:0", 2, 0, "c", "t1", [1.0, 0.0]),
+         ("3:0", 3, 0, "d", "t1", [1.0, 0.0])],
+        "chunk_id string, doc_id long, chunk_index int, text string, tenant_id string, embedding array<double>",
+    )
+    documents = spark.createDataFrame(
+        [(1, "t1", "a.txt", "ready"), (1, "t2", "b.txt", "ready"), (2, "t1", "c.txt", "failed")],
+        "doc_id long, tenant_id string, filename string, status string",
+    )
+    asked = spark.createDataFrame(
+        [(7, "who", [1.0, 0.1], "t1"), (8, "who", [1.0, 0.1], "t2"), (9, "who", [1.0, 0.1], "t3")],
+        "query_id long, question string, embedding array<double>, tenant_id string",
+    )
+    got = hybrid.retrieve(asked, chunks, documents, k=1)  # 2 is not ready, 3 has no document
+    assert {(r["query_id"], r["text"], r["filename"]) for r in got.collect()} == {(7, "a", "a.txt"), (8, "b", "b.txt")}
 
 
 def test_ingest_statuses(spark):
