@@ -25,18 +25,24 @@ from loomgraph.spec import ColumnSpec, ForeignKey, GraphSpec, NodeSpec, TableSpe
 
 def _csv_folder(w, name, frame):
     path = f"{shared_dir(w.spark, 'csv')}/{name}.csv"
-    frame.write.option("header", True).csv(path)
+    frame.write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
 @checked(
     "s1_typed_csv_load",
-    "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer",
+    """SELECT c_custkey, c_name || ' "q", ' || chr(10) || c_mktsegment AS c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal
+       FROM customer""",
 )
 def _s1(w):
+    """Names with quotes, commas and line breaks, keys padded with tabs."""
     spec = SALES_TABLES["customer"]
     narrow = replace(spec, columns=tuple(c for c in spec.columns if c.name != "c_mktsegment"))
-    path = _csv_folder(w, "customer", w.t("customer"))
+    rows = w.t("customer").withColumns({
+        "c_name": F.concat("c_name", F.lit(' "q", \n'), "c_mktsegment"),
+        "c_custkey": F.concat(F.lit("\t"), F.col("c_custkey").cast("string"), F.lit("\t")),
+    })
+    path = _csv_folder(w, "customer", rows)
     raw, _ = csv.load_csv(w.spark, path, narrow)
     return csv.coerce(raw, narrow)[0]
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.text import strip
 from loomgraph.graph import union_all
+from loomgraph.sources.text import decode_text
 from loomgraph.spec import ColumnSpec, TableSpec
 
 # Accepted words and number forms.
@@ -19,22 +22,82 @@ INTEGER_FORM = r"^[+-]?\d+$"
 FLOAT_FORM = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
 
 
+class LoadError(ValueError):
+    """Why a file cannot be loaded; ``load_all`` turns it into a row."""
+
+    def __init__(self, path: str, reason: str) -> None:
+        super().__init__(f"{path}: {reason}")
+        self.path, self.reason = path, reason
+
+
 def table_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv").lower()
 
 
-def load_csv(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, list[str]]:
-    """Header CSV as text columns of the spec, and warnings about unknown columns.
+def file_encodings(spark: SparkSession, path: str) -> list[str]:
+    """The encodings of the files below ``path``, found on all their bytes, line by line.
 
-    Columns missing from the file are left out; coercion treats only the
-    columns that are there.
+    The text source hands over the bytes as they are; a line that is not UTF-8
+    but fits a legacy encoding makes the file a legacy one.
     """
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    raw = F.col("value").cast("binary")
+    odd = lines.where(F.try_validate_utf8(raw.cast("string")).isNull()).select(decode_text(raw)["encoding"].alias("e"))
+    counted = odd.groupBy("e").count().collect()  # one row per known encoding
+    return sorted((r["e"] or "unknown" for r in counted)) or ["utf-8"]
+
+
+def _decoder(encoding: str):
+    @F.pandas_udf(T.StringType())
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda raw: None if raw is None else bytes(raw).decode(encoding), na_action="ignore")
+
+    return decode
+
+
+def load_csv(
+    spark: SparkSession, path: str, spec: TableSpec, multi_line: bool = True
+) -> tuple[DataFrame, list[str]]:
+    """Header CSV as text columns of the spec, and warnings.
+
+    Quotes inside quoted fields are doubled; quoted fields may hold line breaks
+    (``multi_line=False`` lets Spark split large files, but then they may not).
+    Files that are not UTF-8 are read in the legacy encoding that fits.  Columns
+    missing from the file are left out; coercion treats only the columns that
+    are there.  Raises ``LoadError`` for files without rows, header or key.
+    """
+    if not path.rstrip("/").lower().endswith(".csv"):
+        raise LoadError(path, "not a .csv file")
+    encodings = file_encodings(spark, path)
+    warnings = []
+    if encodings != ["utf-8"]:
+        if encodings == ["unknown"] or len(encodings) > 1:
+            raise LoadError(path, f"no single known encoding: {', '.join(encodings)}")
+        warnings.append(f"read as {encodings[0]}")
+    legacy = None if encodings == ["utf-8"] else encodings[0]
+    raw = (
+        spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+        .option("encoding", "ISO-8859-1" if legacy else "UTF-8").csv(path)
+    )
+    if not raw.columns:
+        raise LoadError(path, "empty file")
+    if legacy:  # delimiters and quotes are ASCII in these encodings, so the cells can be decoded one by one
+        decode = _decoder(legacy)
+        raw = raw.select(
+            *[decode(F.encode(F.col(f"`{c}`"), "ISO-8859-1")).alias(c.encode("latin-1").decode(legacy)) for c in raw.columns]
+        )
+    raw = raw.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in raw.columns})
+    if raw.isEmpty():
+        raise LoadError(path, "header without rows")
+    missing = [c.name for c in spec.columns if not c.nullable and c.name not in {n.strip() for n in raw.columns}]
+    if missing:
+        raise LoadError(path, f"missing required column(s): {', '.join(missing)}")
     known = [c for c in raw.columns if spec.column(c.strip()) is not None]
     unknown = [c for c in raw.columns if c not in known]
     if not known:
-        raise ValueError(f"{path}: no column of table '{spec.name}'")
-    warnings = [f"column '{c}' is not part of table '{spec.name}' and is ignored" for c in unknown]
+        raise LoadError(path, f"no column of table '{spec.name}'")
+    warnings += [f"column '{c}' is not part of table '{spec.name}' and is ignored" for c in unknown]
     return raw.select(*[F.col(f"`{c}`").alias(spec.column(c.strip()).name) for c in known]), warnings
 
 
@@ -55,7 +118,7 @@ def _converted(text: Column, kind: str) -> Column:
 
 def _cell(column: ColumnSpec) -> tuple[Column, Column]:
     """(value, error message or null) of one text cell."""
-    text = F.trim(F.coalesce(F.col(column.name), F.lit("")))
+    text = strip(F.coalesce(F.col(column.name), F.lit("")))
     empty = (text == "") | (F.upper(text) == "NULL")
     value = F.when(~empty, _converted(text, column.kind))
     problem = F.when(
@@ -87,6 +150,27 @@ def coerce(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     return good, bad.select("table", "row", "p.column", "p.message")
 
 
+def load_all(
+    spark: SparkSession, paths: Sequence[str], specs: Sequence[TableSpec]
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables that can be read, and one row (file, table, message) per warning or error."""
+    by_name = {s.name.lower(): s for s in specs}
+    loaded: dict[str, DataFrame] = {}
+    notes: list[tuple[str, str, str, str]] = []
+    for path in paths:
+        name = table_name(path)
+        try:
+            if name not in by_name:
+                raise LoadError(path, "no declared table has this name")
+            if name in loaded:
+                raise LoadError(path, "table given twice")
+            loaded[name], warnings = load_csv(spark, path, by_name[name])
+            notes += [(path, name, "warning", w) for w in warnings]
+        except LoadError as problem:
+            notes.append((path, name, "error", problem.reason))
+    return loaded, spark.createDataFrame(notes, "file string, table string, level string, message string")
+
+
 def load_summary(
     loaded: Mapping[str, DataFrame],
     specs: Sequence[TableSpec],

@@ -209,3 +209,40 @@ def test_ranking_helpers(spark):
     assert rows_of(kept, "id") == [(2,), (3,), (4,)]
     assert ranking.latest_where(df.withColumn("t", F.lit("x")), ["t"], "id", F.col("s") == "done").first()["id"] == 4
     assert SPEC.node("Customer").table == "customers"
+
+
+PEOPLE = TableSpec("people", (ColumnSpec("id", "BIGINT", nullable=False), ColumnSpec("name", "TEXT")))
+
+
+def test_csv_quotes_breaks_and_tabs(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_bytes(b'\xef\xbb\xbfid,name\n1,"say ""hi"", ok"\n\t2\t,"two\nlines"\n3,plain\n')
+    raw, warnings = csv.load_csv(spark, str(path), PEOPLE)
+    good, bad = csv.coerce(raw, PEOPLE)
+    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, 'say "hi", ok'), (2, "two\nlines"), (3, "plain")]
+    assert bad.count() == 0 and warnings == []
+
+
+def test_csv_in_a_legacy_encoding(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_bytes('id,name\n1,"주문, 하나"\n2,둘\n'.encode("cp949"))
+    raw, warnings = csv.load_csv(spark, str(path), PEOPLE)
+    good, _ = csv.coerce(raw, PEOPLE)
+    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, "주문, 하나"), (2, "둘")]
+    assert warnings == ["read as cp949"]
+
+
+def test_csv_load_errors_are_rows(spark, tmp_path):
+    given = {"people.csv": "id,name\n1,a\n", "empty.csv": "", "head.csv": "id,name\n", "key.csv": "name\nx\n", "odd.txt": "id\n1\n", "other.csv": "x\n1\n"}
+    paths = []
+    for name, text in given.items():
+        (tmp_path / name).write_text(text)
+        paths.append(str(tmp_path / name))
+    specs = [TableSpec(n, PEOPLE.columns) for n in ("people", "empty", "head", "key", "odd.txt")]
+    loaded, notes = csv.load_all(spark, paths + paths[:1], specs)
+    got = {(r["table"], r["message"]) for r in notes.where("level = 'error'").collect()}
+    assert got == {
+        ("empty", "empty file"), ("head", "header without rows"), ("key", "missing required column(s): id"),
+        ("odd.txt", "not a .csv file"), ("other", "no declared table has this name"), ("people", "table given twice"),
+    }
+    assert set(loaded) == {"people"}
