@@ -17,15 +17,17 @@ of the lists, weighted with the cost of a scanned entry, over the histogram of
 set sizes.
 
 Keys (pairs and shingles alike) are sorted in Spark, and each key's members are
-compared with the smallest one whose size allows a link (a star, not all pairs).
-Verified links give components; then only members of *different* components
-that share a key are compared, so copies never meet pairwise and no link
-between different components is lost.  A position bound discards pairs that
-cannot overlap enough.  Verification computes both sets anew from the texts.
-
-The order only steers the work: shingles repeated within a task's texts are
-counted, and the ``MAX_FREQUENT`` most frequent of them (eight-byte hashes, a
-fixed bound) are broadcast.  Any order gives the same links.
+paired with the smallest one whose size allows a link (a star, not all pairs).
+A few rounds verify, for every document, the centre it shares most keys with
+among those of other components, and join components over the links found.
+Then every pair of members of *different* components that share a key is
+verified, so copies never meet pairwise and no link between different components
+is lost.  A position bound discards pairs that cannot overlap enough.
+Verification computes both sets anew from the texts.
+
+The order only steers the work: shingles repeated within a group of a task's
+texts are counted, and up to ``MAX_FREQUENT`` of them (eight-byte hashes, a fixed
+bound), the most frequent ones, are broadcast.  Any order gives the same links.
 
 Shingles are 64-bit hashes of the words' bytes.  Equal sets form classes by
 size and two independent digests; a class is compared through its smallest
@@ -58,6 +60,7 @@ MAX_FREQUENT = 1 << 20
 SCAN_COST = 3.0
 LARGEST_BOUNDARY = 64
 BLOCK = 64
+ROUNDS = 3
 
 
 # --- sets
@@ -122,8 +125,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held=held, hashes=hashes, counts=counts) -> None:
             if held:
                 u, c = np.unique(np.concatenate(held), return_counts=True)
-                hashes.append(u[c > 2])
-                counts.append(c[c > 2])
+                hashes.append(u[c > 1])
+                counts.append(c[c > 1])
                 held.clear()
 
         for _, s in shingle_sets(batch.column(1)):
@@ -210,7 +213,9 @@ def may_link(pair_key, n, i, m, j):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, place): pairs (a, b) of a star per key, and the rows of keys with three or more.
+    """From rows sorted by (key, place): centre and member of a star per key, and the rows of keys with three or more.
+
+    A pair comes as (null, centre, member, how many keys), a row as (key, document, size and position, null).
 
     A run may span batches: only its key, its current centre and its length so far are carried over.
     """
@@ -262,17 +267,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cd = np.where(centre >= 0, doc[centre], base_doc)
         ci = np.where(centre >= 0, i[centre], base_i)
         ok = ~starts & (cd != doc) & may_link((key & 1).astype(bool), cn, ci, n, i)
-        pairs = np.unique(np.stack([np.minimum(cd, doc)[ok], np.maximum(cd, doc)[ok]]), axis=1)
         many = total >= 3
-        k = pairs.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key[many])]),
-                pa.array(np.concatenate([pairs[0], doc[many]])),
-                pa.array(np.concatenate([pairs[1], place[many]])),
-            ],
-            names=["key", "a", "b"],
-        )
+        cd_ok, doc_ok = cd[ok], doc[ok]
+        order = np.lexsort((doc_ok, cd_ok))
+        cd_ok, doc_ok = cd_ok[order], doc_ok[order]
+        at = np.flatnonzero(np.append(True, (cd_ok[1:] != cd_ok[:-1]) | (doc_ok[1:] != doc_ok[:-1]))[: len(cd_ok)])
+        yield _found(cd_ok[at], doc_ok[at], np.diff(np.append(at, len(cd_ok))), key[many], doc[many], place[many])
         if not open_short:
             key0, length0 = key[-1], int(total[-1])
             doc0, n0, i0 = int(cd[-1]), int(cn[-1]), int(ci[-1])
@@ -281,9 +281,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(key) == 2 and doc[0] != doc[1]:
             n, i = place >> 32, place & 0xFFFFFFFF
             if may_link(bool(key[0] & 1), n[0], i[0], n[1], i[1]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.array([int(min(doc))]), pa.array([int(max(doc))])], names=["key", "a", "b"]
-                )
+                none = key[:0]
+                yield _found(doc[:1], doc[1:], np.ones(1, dtype=np.int64), none, none, none)
+
+
+def _found(centre, member, keys, key, doc, place) -> pa.RecordBatch:
+    k, r = len(centre), len(key)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key, pa.int64())]),
+            pa.array(np.concatenate([centre, doc])),
+            pa.array(np.concatenate([member, place])),
+            pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(r, pa.int64())]),
+        ],
+        names=["key", "a", "b", "c"],
+    )
 
 
 # --- verification
@@ -336,19 +348,29 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # --- the join
 
 
+def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent rows (d1, c), at most ``MAX_FREQUENT``."""
+    top = 1 << 12
+    histogram = counted.groupBy(F.least("c", F.lit(top)).alias("c")).count().collect()  # one row per count
+    taken, least = 0, top + 1
+    for c, k in sorted(map(tuple, histogram), reverse=True):
+        if taken + k > MAX_FREQUENT:
+            break
+        taken, least = taken + k, c
+    rows = counted.where(F.col("c") >= least).toArrow()
+    hashes = rows.column("d1").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows.column("c").to_numpy()[order]
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     mixed = settle(texts.mapInArrow(_profile, "doc_id bigint, n bigint, d1 bigint, d2 bigint"))
     profile = mixed.where("n IS NOT NULL")
-    counted = (
-        mixed.where("n IS NULL").groupBy("d1").agg(F.sum("d2").alias("c")).where("c >= 4")
-        .orderBy(F.desc("c"), "d1").limit(MAX_FREQUENT).collect()
-    )
-    hashes = np.array([r.d1 for r in counted], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[order], np.array([r.c for r in counted], dtype=np.int64)[order]))
+    counted = settle(mixed.where("n IS NULL").groupBy("d1").agg(F.sum("d2").alias("c")))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(counted))
     sizes = dict(
         profile.where("n > 0").groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY))).agg(F.count(F.lit(1))).collect()
     )
@@ -362,54 +384,79 @@ def link_components(docs: DataFrame) -> DataFrame:
     named = settle(
         profile.join(several, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     )
+    used = named.where("doc_id IS NOT NULL AND n > 0")
+    other = used.where("doc_id <> rep").select(F.col("doc_id").alias("_doc")).distinct()
+    owner = settle(
+        used.join(other, F.col("doc_id") == F.col("_doc"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep")).distinct()
+    )
+    # a doc_id with several texts binds their classes
+    bonds = settle(
+        owner.groupBy("_doc").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_z")).where("a < _z")
+        .join(owner, "_doc").select("a", F.col("_rep").alias("b"))
+    )
 
     offered = texts.mapInArrow(lambda b: _offer(b, frequent, limit), "key bigint, doc bigint, place bigint")
     found = settle(
         offered.repartition("key").sortWithinPartitions("key", "place", "doc")
-        .mapInArrow(_stars, "key bigint, a bigint, b bigint")
+        .mapInArrow(_stars, "key bigint, a bigint, b bigint, c bigint")
     )
-    tested = settle(found.where("key IS NULL").select("a", "b").distinct())
-    links = settle(verify(tested, texts))
-
-    shared = named.where("doc_id IS NOT NULL AND n > 0")
-    owner = shared.where("doc_id <> rep").select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep")).distinct()
-    same = owner.select(F.col("_doc").alias("a"), F.col("_rep").alias("b"))
-    used = links.select(F.col("a").alias("_doc")).union(links.select(F.col("b").alias("_doc"))).distinct()
-    # members of classes enter the graph only where a link names them or a doc_id has several texts
-    doubled = settle(shared.groupBy("doc_id").agg(F.count_distinct("rep").alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_doc")))
-    joints = owner.join(used.union(doubled).distinct(), "_doc", "left_semi").select(F.col("_doc").alias("a"), F.col("_rep").alias("b"))
-    first = components(links.union(joints), "a", "b")
-    first = settle(first)
-
-    rest = settle(_across(found.where("key IS NOT NULL"), first, same).join(tested, ["a", "b"], "left_anti"))
-    more = settle(verify(rest, texts))
-    if not more.isEmpty():
-        used = more.select(F.col("a").alias("_doc")).union(more.select(F.col("b").alias("_doc"))).distinct()
-        extra = owner.join(used, "_doc", "left_semi").select(F.col("_doc").alias("a"), F.col("_rep").alias("b"))
-        first = settle(components(links.union(joints).union(more).union(extra), "a", "b"))
-    roots = first.select(F.col("node").alias("rep"), "root")
-    return named.join(roots, "rep", "left").select(
+
+    def named_as(df: DataFrame, column: str) -> DataFrame:
+        joined = df.join(owner, F.col(column) == F.col("_doc"), "left")
+        return joined.withColumn(column, F.coalesce("_rep", column)).drop("_doc", "_rep")
+
+    stars = named_as(named_as(found.where("key IS NULL").select("a", "b", "c"), "a"), "b")
+    stars = settle(stars.where("a <> b").groupBy("a", "b").agg(F.sum("c").alias("c")))
+    tested = None
+    links = bonds
+    roots = settle(components(links, "a", "b"))
+    for _ in range(ROUNDS):
+        best = _apart(stars, roots).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+        if tested is not None:
+            best = best.join(tested, ["a", "b"], "left_anti")
+        best = settle(best)
+        if best.isEmpty():
+            break
+        tested = best if tested is None else tested.union(best)
+        linked = settle(verify(best, texts))
+        links = links.union(linked)
+        roots = settle(components(links, "a", "b"))
+        stars = settle(_apart(stars, roots).join(best, ["a", "b"], "left_anti"))
+
+    rows = named_as(found.where("key IS NOT NULL").select("key", F.col("a").alias("doc"), F.col("b").alias("place")), "doc")
+    rest = _across(rows, roots).union(_apart(stars, roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    if tested is not None:
+        once = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = rest.join(once, ["a", "b"], "left_anti")
+    rest = settle(rest.distinct())
+    if not rest.isEmpty():
+        more = settle(verify(rest, texts))
+        if not more.isEmpty():
+            roots = settle(components(links.union(more), "a", "b"))
+    return named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
         .otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
-def _across(rows: DataFrame, roots: DataFrame, same: DataFrame) -> DataFrame:
-    """Untested pairs of different components on one key; ``rows``: key, a (document), b (size and position).
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends lie in different components."""
+    one = roots.select(F.col("node").alias("_x"), F.col("root").alias("_rx"))
+    two = roots.select(F.col("node").alias("_y"), F.col("root").alias("_ry"))
+    joined = pairs.join(one, F.col("a") == F.col("_x"), "left").join(two, F.col("b") == F.col("_y"), "left")
+    return joined.where(F.coalesce("_rx", "a") != F.coalesce("_ry", "b")).select(*pairs.columns)
+
+
+def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components on one key; ``rows``: key, doc, place (size and position).
 
     Of each key the members outside its largest component meet all others, so a
     key held by one component costs nothing and a hot component never meets itself.
     """
-    owner = same.select(F.col("a").alias("_doc"), F.col("b").alias("_rep"))
-    placed = (
-        rows.select("key", F.col("a").alias("doc"), F.col("b").alias("place"))
-        .join(owner, F.col("doc") == F.col("_doc"), "left")
-        .withColumn("_rep", F.coalesce("_rep", "doc"))
-        .join(roots, F.col("_rep") == F.col("node"), "left")
-        .select("key", "doc", "place", F.coalesce("root", "_rep").alias("root"))
+    placed = settle(
+        rows.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", "place", F.coalesce("root", "doc").alias("root"))
     )
-    placed = settle(placed)
     split = settle(
         placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
     )
@@ -418,15 +465,15 @@ def _across(rows: DataFrame, roots: DataFrame, same: DataFrame) -> DataFrame:
         placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("_top"))
     )
     placed = settle(placed.join(largest, "key"))
-    outer = placed.where("root <> _top").select("key", "doc", "place", "root")
     n, i = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
+    outer = placed.where("root <> _top").select("key", "doc", "root", n.alias("n"), i.alias("i"))
     other = placed.select(
         "key", F.col("doc").alias("doc2"), F.col("root").alias("root2"), F.col("_top"), n.alias("m"), i.alias("j")
     )
     most = F.when(F.col("key").bitwiseAND(1) == 1, 2).otherwise(1) + F.least(
         F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")
     )
-    met = outer.select("key", "doc", "root", n.alias("n"), i.alias("i")).join(other, "key").where(
+    met = outer.join(other, "key").where(
         (F.col("root") != F.col("root2"))
         & ((F.col("root2") == F.col("_top")) | (F.col("doc") < F.col("doc2")))
         & (7 * most >= 3 * (F.col("n") + F.col("m")))
