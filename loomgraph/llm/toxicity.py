@@ -40,6 +40,7 @@ import itertools
 import math
 import re
 import string
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -303,37 +304,50 @@ def fit_sigmoid(raw: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float
     return max(float(a), 1e-6), float(b)
 
 
-def contexts(docs: Iterable[list[list[str]]]) -> dict[tuple[str, str], int]:
-    """Distinct (word before, word) pairs with the first text that has them, so that copied passages count once."""
-    found: dict[tuple[str, str], int] = {}
+@dataclass
+class Contexts:
+    """Distinct (word before, word) pairs of a class, so that copied passages count once."""
+
+    pairs: int
+    count: Counter  # pairs by word
+    bringers: Counter  # texts that brought a new pair, by word
+
+
+def contexts(docs: Iterable[list[list[str]]]) -> Contexts:
+    seen: set[int] = set()
+    count, bringers, last = Counter(), Counter(), {}
     for d, sents in enumerate(docs):
         for s in sents:
-            words = [forms(t)[0] for t in s]
-            for pair in zip(["", *words], words, strict=False):
-                found.setdefault(pair, d)
-    return found
+            before = ""
+            for t in s:
+                word = forms(t)[0]
+                pair = hash((before, word))
+                before = word
+                if pair in seen or len(word) < 3:
+                    continue
+                seen.add(pair)
+                count[word] += 1
+                if last.get(word) != d:
+                    last[word] = d
+                    bringers[word] += 1
+    return Contexts(max(1, len(seen)), count, bringers)
 
 
-def choose_landmarks(pairs: dict[bool, dict[tuple[str, str], int]]) -> tuple[list[str], dict[str, float]]:
+def choose_landmarks(toxic: Contexts, clean: Contexts) -> tuple[list[str], dict[str, float]]:
     """Landmarks, and how much each of the telling words speaks for a toxic sentence.
 
-    ``pairs``: the contexts of each class.  A word tells if it follows at least four different words in toxic
-    documents, brought by at least three of them, far more often than in clean ones.
+    A word tells if it follows at least four different words in toxic documents, brought by at least three of
+    them, far more often than in clean ones.
     """
-    bringers: dict[str, set[int]] = defaultdict(set)
-    for (_, w), d in pairs[True].items():
-        bringers[w].add(d)
-    n = {c: max(1, len(pairs[c])) for c in pairs}
-    count = {c: Counter(w for _, w in pairs[c] if len(w) >= 3) for c in pairs}
     evidence, strength = {}, {}
-    for w, k in count[True].items():
-        other = count[False][w]
-        p = (k + other) / (n[True] + n[False])
-        strength[w] = (k / n[True] - other / n[False]) / math.sqrt(
-            max(p * (1 - p), 1e-12) * (1 / n[True] + 1 / n[False])
+    for w, k in toxic.count.items():
+        other = clean.count[w]
+        p = (k + other) / (toxic.pairs + clean.pairs)
+        strength[w] = (k / toxic.pairs - other / clean.pairs) / math.sqrt(
+            max(p * (1 - p), 1e-12) * (1 / toxic.pairs + 1 / clean.pairs)
         )
-        lift = math.log((k + 0.5) / n[True]) - math.log((other + 0.5) / n[False])
-        if k >= 4 and len(bringers[w]) >= 3 and strength[w] >= 4 and lift >= 2:
+        lift = math.log((k + 0.5) / toxic.pairs) - math.log((other + 0.5) / clean.pairs)
+        if k >= 4 and toxic.bringers[w] >= 3 and strength[w] >= 4 and lift >= 2:
             evidence[w] = lift
     chosen: list[str] = []
     for w in sorted(evidence, key=lambda w: (-strength[w], w))[:1000]:
@@ -346,9 +360,9 @@ def choose_landmarks(pairs: dict[bool, dict[tuple[str, str], int]]) -> tuple[lis
         evidence = {w: 1.0 for w in chosen}
     if not chosen:
         return [], evidence
-    clean = [w for w, k in count[False].items() if k >= 2 and w not in evidence and w not in chosen]
-    near = LandmarkKernel(chosen).values(clean)
-    alike = sorted(near, key=lambda w: (-count[False][w] * float(near[w].max()), w))
+    common = [w for w, k in clean.count.items() if k >= 2 and w not in evidence and w not in chosen]
+    near = LandmarkKernel(chosen).values(common)
+    alike = sorted(near, key=lambda w: (-clean.count[w] * float(near[w].max()), w))
     return chosen + alike[:LOOKALIKES], evidence
 
 
@@ -370,7 +384,7 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
     if {toxic for _, toxic, _ in docs} != {True, False}:
         return None
     landmarks, evidence = choose_landmarks(
-        {c: contexts(sents for kept, toxic, sents in docs if toxic == c and not kept) for c in (True, False)}
+        *(contexts(sents for kept, toxic, sents in docs if toxic == c and not kept) for c in (True, False))
     )
     if not landmarks:
         return None
@@ -467,7 +481,9 @@ def train(
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(cut, f"doc_id {kind}, toxic boolean, sentences array<string>").collect()
-    sample = sorted((r.doc_id, r.toxic, [s.split(" ") for s in r.sentences]) for r in rows)
+    share = sys.intern  # one object per distinct token
+    sample = sorted((r.doc_id, r.toxic, [[share(t) for t in s.split(" ")] for s in r.sentences]) for r in rows)
+    del rows
     return fit(sample, counts[True] / (counts[True] + counts[False]))
 
 
