@@ -95,7 +95,7 @@ def ingest(
         .withColumn("tenant_id", F.lit(tenant))
     )
     found = mentions(pieces.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"], names)
-    return Ingested(documents, chunks, found)
+    return Ingested(documents, chunks, found.withColumn("tenant_id", F.lit(tenant)))
 
 
 # ---- retrieval -----------------------------------------------------------------------

@@ -107,10 +107,14 @@ def read_graph(spark: SparkSession, spec: GraphSpec, folder: str) -> PropertyGra
 CHUNK_BUCKETS = 64
 
 
-def write_chunks(chunks: DataFrame, folder: str, buckets: int = CHUNK_BUCKETS) -> None:
+def write_chunks(
+    chunks: DataFrame, folder: str, buckets: int = CHUNK_BUCKETS, documents: DataFrame | None = None
+) -> None:
     """Store chunk rows by tenant and document bucket, replacing the touched documents.
 
     ``chunks`` has tenant_id, doc_id, chunk_index, text and what else is known.
+    ``documents`` (tenant_id, doc_id) names the documents that were written: one
+    of them without chunks loses its old ones.  By default those with chunks.
     A (tenant, bucket) partition is the unit of replacement: rows of other
     documents in it are carried over, so repeating a write changes nothing.
     ``buckets`` must stay the same for one folder.
@@ -121,15 +125,30 @@ def write_chunks(chunks: DataFrame, folder: str, buckets: int = CHUNK_BUCKETS) -
     )
     if path_exists(spark, folder):
         stored = spark.read.parquet(folder)
-        touched = fresh.select("tenant_id", "bucket").distinct()
+        written = (fresh if documents is None else documents).select("tenant_id", "doc_id").distinct()
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+        touched = written.select("tenant_id", bucket.alias("bucket")).distinct()
         carried = stored.join(touched, ["tenant_id", "bucket"], "left_semi").join(
-            fresh.select("tenant_id", "doc_id").distinct(), ["tenant_id", "doc_id"], "left_anti"
+            written, ["tenant_id", "doc_id"], "left_anti"
         )
         # the partitions read here are about to be replaced
         fresh = settle(carried.unionByName(fresh, allowMissingColumns=True))
+        emptied = settle(touched.join(fresh.select("tenant_id", "bucket").distinct(), ["tenant_id", "bucket"], "left_anti"))
+        if not emptied.isEmpty():  # a partition left without rows is not written, so it has to go
+            drop_partitions(spark, folder, emptied)
     replace_partitions(fresh, folder, "tenant_id", "bucket")
 
 
+def drop_partitions(spark: SparkSession, folder: str, partitions: DataFrame) -> None:
+    """Delete the folders of the (tenant_id, bucket) rows; at most as many as one write touches."""
+    files = spark.read.parquet(folder).select("tenant_id", "bucket", F.col("_metadata.file_path").alias("path")).distinct()
+    gone = files.join(partitions, ["tenant_id", "bucket"], "left_semi").select("path").collect()
+    folders = {r["path"].rsplit("/", 1)[0] for r in gone}
+    for path in folders:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def replace_partitions(df: DataFrame, folder: str, *columns: str) -> None:
     """Overwrite only the partitions that occur in ``df``; one file per partition."""
     (

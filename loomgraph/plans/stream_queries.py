@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.graph import union_all
 from loomgraph.operators import logs
 from loomgraph.plans import sqlparts as q
 from loomgraph.plans.registry import checked
-from loomgraph.plans.text_queries import _CHUNKS, _MENTIONS, _filename, _passages
+from loomgraph.plans.text_queries import _passages, _sql_fixed
 from loomgraph.session import shared_dir
 from loomgraph.streaming import ingest, ratelimit, windows
 
@@ -131,19 +132,43 @@ def _x5(w):
     return _wall(ingest.upsert_graph(rows, shared_dir(w.spark, "edges"), ["src", "dst"], ["ts"], buckets=8))
 
 
+_FINAL = """(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN left(text, length(text) // 2) ELSE text END AS body FROM documents
+  WHERE doc_id % 3 <> 1)"""
+_FINAL_CHUNKS = _sql_fixed(_FINAL, 1000, 200)
+
+
 @checked(
     "x6_streaming_document_ingest",
-    f"""SELECT 'documents' AS element, count(*) AS cnt FROM documents UNION ALL SELECT 'chunks', count(*) FROM {_CHUNKS} c
-          JOIN documents USING (doc_id) WHERE lang = 'en' UNION ALL SELECT 'mentions', count(*) FROM {_MENTIONS} m
-          JOIN documents USING (doc_id) WHERE lang = 'en'""",
+    f"""WITH c AS (SELECT * FROM {_FINAL_CHUNKS} x),
+         m AS (SELECT c.doc_id, c.chunk_index, b.text AS name FROM c JOIN benchmark b ON contains(lower(c.text), lower(b.text)))
+       SELECT 'documents' AS element, count(*) AS cnt, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents
+       UNION ALL SELECT 'failed', count(*), CAST(coalesce(sum(doc_id), 0) AS BIGINT) FROM documents
+         WHERE doc_id % 3 = 1 OR doc_id NOT IN (SELECT doc_id FROM c)
+       UNION ALL SELECT 'chunks', count(*), CAST(coalesce(sum(doc_id * 1000 + chunk_index), 0) AS BIGINT) FROM c
+       UNION ALL SELECT 'mentions', count(*), CAST(coalesce(sum(doc_id * 1000 + chunk_index), 0) AS BIGINT) FROM m""",
 )
 def _x6(w):
-    """English documents arrive as text files, the others under an unknown extension."""
-    name = F.when(F.col("lang") == "en", _filename()).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".bin")))
-    docs = _stream(w, "documents").select("doc_id", name.alias("filename"), F.col("text").alias("content"))
-    got = ingest.ingest_documents(docs, _passages(w), shared_dir(w.spark, "ingest"), strategy="fixed")
-    rows = [df.select(F.lit(n).alias("element")) for n, df in got.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("element").agg(F.count(F.lit(1)).alias("cnt"))
+    """All documents arrive; then a third comes again at half its length, a third under an unknown extension."""
+    stream = _stream(w, "documents")
+    text_file = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    third = F.col("doc_id") % 3
+    first = stream.select("doc_id", text_file.alias("filename"), F.col("text").alias("content"))
+    again = stream.where(third < 2).select(
+        "doc_id",
+        F.when(third == 0, text_file).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".bin"))).alias("filename"),
+        F.when(third == 0, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text")).alias("content"),
+    )
+    folder = shared_dir(w.spark, "ingest")
+    ingest.ingest_documents(first, _passages(w), folder, strategy="fixed")
+    got = ingest.ingest_documents(again, _passages(w), folder, generation=1, strategy="fixed")
+    place = F.col("doc_id") * 1000 + F.col("chunk_index")
+    rows = [
+        got["documents"].select(F.lit("documents").alias("element"), F.col("doc_id").alias("i")),
+        got["documents"].where("status = 'failed'").select(F.lit("failed").alias("element"), F.col("doc_id").alias("i")),
+        got["chunks"].select(F.lit("chunks").alias("element"), place.alias("i")),
+        got["mentions"].select(F.lit("mentions").alias("element"), place.alias("i")),
+    ]
+    return union_all(rows).groupBy("element").agg(F.count(F.lit(1)).alias("cnt"), F.sum("i").alias("ids"))
 
 
 @checked(

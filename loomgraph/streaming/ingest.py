@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.graph import merge_rows
 from loomgraph.operators.hybrid import ingest
-from loomgraph.operators.maintenance import path_exists, replace_partitions, write_chunks
+from loomgraph.operators.maintenance import path_exists, replace_partitions
 from loomgraph.session import settle, shared_dir
 
 BUCKETS = 64
@@ -48,19 +49,37 @@ def upsert_graph(
     return stream.sparkSession.read.parquet(folder).drop("bucket")
 
 
-def ingest_documents(stream: DataFrame, names: DataFrame, folder: str, **options) -> dict[str, DataFrame]:
+DOCUMENT_TABLES = ("documents", "chunks", "mentions")
+
+
+def ingest_documents(
+    stream: DataFrame, names: DataFrame, folder: str, order: Sequence[str] = (), generation: int = 0, **options
+) -> dict[str, DataFrame]:
     """Drain a stream of (doc_id, filename, content) into documents, chunks and mentions.
 
-    Every table is replaced per document, so a repeated batch leaves the same
-    rows.  ``options`` go to ``ingest``.
+    Every micro-batch appends rows under its own version, and ``stored_documents``
+    shows of each document what its newest version left: a document that shrank,
+    failed or lost entities keeps nothing of older versions, whatever the batch
+    did not touch stays, and no stored file is rewritten.  A repeated batch
+    replaces its own version.  Within a batch the last row of a document along
+    ``order`` counts.  A later drain into the same folder needs a higher
+    ``generation``.  ``options`` go to ``ingest``.
     """
     spark = stream.sparkSession
+    schemas: dict[str, T.StructType] = {}
 
-    def store(batch: DataFrame, _: int) -> None:
-        got = ingest(settle(batch), names, **options)
-        upsert(got.documents, f"{folder}/documents", ["doc_id"], ["filename"], buckets=8)
-        write_chunks(got.chunks, f"{folder}/chunks", buckets=8)
-        upsert(got.found, f"{folder}/mentions", ["doc_id", "chunk_index", "name", "label"], ["position"], buckets=8)
+    def store(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c != "doc_id"]
+        last = F.max(F.struct(*order, *(c for c in rest if c not in order))).alias("_d")
+        newest = batch.groupBy("doc_id").agg(last).select("doc_id", "_d.*")
+        got = ingest(settle(newest), names, **options)
+        for name, rows in zip(DOCUMENT_TABLES, (got.documents, got.chunks, got.found), strict=True):
+            versioned = rows.withColumn("version", F.lit((generation << 40) + number).cast("bigint"))
+            schemas[name] = versioned.schema
+            (
+                versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("version").parquet(f"{folder}/{name}")
+            )
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -69,4 +88,22 @@ def ingest_documents(stream: DataFrame, names: DataFrame, folder: str, **options
         .start()
     )
     query.awaitTermination()
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("documents", "chunks", "mentions")}
+    if not schemas:
+        store(spark.createDataFrame([], stream.schema), 0)
+    return stored_documents(spark, folder, schemas)
+
+
+def stored_documents(spark: SparkSession, folder: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The newest version of every (tenant, document) in the three tables."""
+    tables = {name: spark.read.schema(schemas[name]).parquet(f"{folder}/{name}") for name in DOCUMENT_TABLES}
+    newest = tables["documents"].groupBy("tenant_id", "doc_id").agg(F.max("version").alias("version"))
+    return {
+        name: rows.join(newest, ["tenant_id", "doc_id", "version"], "left_semi").drop("version")
+        for name, rows in tables.items()
+    }
+
+
+def compact_documents(stored: dict[str, DataFrame], folder: str, generation: int) -> None:
+    """Write what is current to a new folder, as one version; run it off the stream."""
+    for name, rows in stored.items():
+        rows.withColumn("version", F.lit(generation << 40).cast("bigint")).write.partitionBy("version").parquet(f"{folder}/{name}")

@@ -246,3 +246,35 @@ def test_csv_load_errors_are_rows(spark, tmp_path):
         ("odd.txt", "not a .csv file"), ("other", "no declared table has this name"), ("people", "table given twice"),
     }
     assert set(loaded) == {"people"}
+
+
+def test_document_without_chunks_loses_its_old_ones(spark, tmp_path):
+    kind = "tenant_id string, doc_id long, chunk_index int, text string"
+    folder = str(tmp_path / "chunks")
+    first = spark.createDataFrame([("a", 1, 0, "x"), ("a", 2, 0, "y"), ("b", 1, 0, "z")], kind)
+    maintenance.write_chunks(first, folder, buckets=16)
+    written = spark.createDataFrame([("a", 1), ("a", 2)], "tenant_id string, doc_id long")
+    again = spark.createDataFrame([("a", 2, 0, "new")], kind)
+    maintenance.write_chunks(again, folder, buckets=16, documents=written)
+    got = spark.read.parquet(folder).select("tenant_id", "doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [("a", 2, "new"), ("b", 1, "z")]
+
+
+def test_documents_change_fail_and_shrink(spark, tmp_path):
+    names = spark.createDataFrame([("alpha", "Word"), ("beta", "Word")], "name string, label string")
+    kind = "doc_id long, filename string, content string, at long"
+    source = tmp_path / "in"
+    puts = [
+        [(1, "z.txt", "alpha beta", 1), (2, "b.bin", "alpha", 1), (3, "c.txt", "alpha", 1)],
+        [(1, "z.txt", "gone", 3), (1, "a.txt", "beta now", 4), (2, "b.txt", "alpha", 3), (3, "c.txt", "  ", 3)],
+    ]
+    folder, got = str(tmp_path / "out"), None
+    for number, rows in enumerate(puts):
+        part = str(source / str(number))
+        spark.createDataFrame(rows, kind).write.parquet(part)
+        stream = spark.readStream.schema(kind).parquet(part)
+        got = ingest.ingest_documents(stream, names, folder, order=["at"], generation=number, strategy="fixed")
+    rows = {r["doc_id"]: (r["filename"], r["status"]) for r in got["documents"].collect()}
+    assert rows == {1: ("a.txt", "ready"), 2: ("b.txt", "ready"), 3: ("c.txt", "failed")}
+    assert {(r["doc_id"], r["text"]) for r in got["chunks"].collect()} == {(1, "beta now"), (2, "alpha")}
+    assert {(r["doc_id"], r["name"]) for r in got["mentions"].collect()} == {(1, "beta"), (2, "alpha")}
