@@ -60,7 +60,8 @@ def synonyms(col: Column, table: Mapping[str, Sequence[str]]) -> Column:
     out = col
     for canonical, words in table.items():
         for word in words:
-            out = F.regexp_replace(out, r"(?iu)\Q" + word + r"\E", canonical)
+            literal = canonical.replace("\\", "\\\\").replace("$", "\\$")  # no group references
+            out = F.regexp_replace(out, r"(?iu)\Q" + word + r"\E", literal)
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.ranking import top_k_per
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, settle
 from loomgraph.spec import EdgeSpec
 
 CLOSURE_SUFFIX = "_CLOSURE"
@@ -54,6 +54,7 @@ def closure(edges: DataFrame, min_hops: int = 2, max_hops: int = 5) -> DataFrame
             .where(~F.array_contains("_walked", edge))
             .select("src", F.col("_to").alias("dst"), F.concat("_walked", F.array(edge)).alias("_walked"))
         )
+        trails = settle(trails)  # the next length starts here instead of computing all earlier ones again
         if length >= min_hops:
             found.append(trails.select("src", "dst"))
     return union_all(found).where("src <> dst").distinct()

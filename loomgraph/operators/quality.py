@@ -166,19 +166,19 @@ def discover_fks(
     """Foreign keys proposed from containment of distinct values.
 
     A parent column must be unique and not null.  Every column is reduced to
-    its distinct values once; the containment of all column pairs then comes
+    its distinct values in one scan of its table; the containment of all column pairs then comes
     from one aggregation over the values: for each value, the set of columns it
     occurs in (bounded by the number of columns).
     """
     kinds = ("bigint", "int", "smallint") if integer_only else ("bigint", "int", "smallint", "string")
-    columns = [
-        (t, c) for t, df in sorted(tables.items()) for c, kind in df.dtypes if kind in kinds
-    ]
-    values, profile = [], []
-    for table, column in columns:
-        df = tables[table].where(F.col(column).isNotNull())
-        counted = df.groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        values.append(counted.select("v", "n", F.lit(f"{table}.{column}").alias("c")))
+    values = []
+    for table, df in sorted(tables.items()):
+        columns = [c for c, kind in df.dtypes if kind in kinds]
+        if not columns:
+            continue
+        cells = F.array(*(F.struct(F.lit(f"{table}.{c}").alias("c"), F.col(c).cast("string").alias("v")) for c in columns))
+        rows = df.select(F.explode(cells).alias("x")).select("x.c", "x.v").where("v IS NOT NULL")
+        values.append(rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n")))
     every = union_all(values)
     profile = every.groupBy("c").agg(
         F.count(F.lit(1)).alias("distinct_values"), (F.max("n") == 1).alias("is_unique")

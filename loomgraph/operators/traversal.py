@@ -96,6 +96,15 @@ def composite(label: str = "label", key: str = "key") -> Column:
     return F.concat_ws("_", F.col(label), F.col(key))
 
 
+def key_is(df: DataFrame, column: str, key: str) -> Column:
+    """``column`` equals the text ``key``, with the literal cast to the column's type so that scans can prune."""
+    kind = df.schema[column].dataType
+    if kind.simpleString() == "string":
+        return F.col(column) == key
+    value = F.lit(key).try_cast(kind)
+    return (F.col(column) == value) & (value.cast("string") == key)
+
+
 def neighbourhood_nodes(g: PropertyGraph, composite_id: str, depth: int = 1) -> Frontier:
     """Nodes within ``depth`` undirected hops, the anchor included.
 
@@ -107,7 +116,7 @@ def neighbourhood_nodes(g: PropertyGraph, composite_id: str, depth: int = 1) ->
     label, key = split_id(composite_id)
     if label not in g.labels:
         raise KeyError(f"unknown label: {label}")
-    anchor = start_at(g, label, F.col("id").cast("string") == key)
+    anchor = start_at(g, label, key_is(g.nodes(label), "id", key))
     if anchor.rows.isEmpty():
         raise KeyError(f"node not found: {composite_id}")
     level, levels = anchor, []
@@ -274,22 +283,24 @@ def ego_network(g: PropertyGraph, composite_id: str) -> DataFrame:
     label, key = split_id(composite_id)
     frames = []
     for name, source, target in g.edge_keys:
+        if label not in (source, target):
+            continue
+        rows = g.edges(name, source, target)
         touches = F.lit(False)
         if source == label:
-            touches = touches | (F.col("src").cast("string") == key)
+            touches = touches | key_is(rows, "src", key)
         if target == label:
-            touches = touches | (F.col("dst").cast("string") == key)
-        if label in (source, target):
-            frames.append(
-                g.edges(name, source, target).where(touches).select(
-                    node_id(source, F.col("src")).alias("src"),
-                    node_id(target, F.col("dst")).alias("dst"),
-                    F.lit(name).alias("rel_type"),
-                )
+            touches = touches | key_is(rows, "dst", key)
+        frames.append(
+            rows.where(touches).select(
+                node_id(source, F.col("src")).alias("src"),
+                node_id(target, F.col("dst")).alias("dst"),
+                F.lit(name).alias("rel_type"),
             )
+        )
     edges = union_all(frames)
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    centre = start_at(g, label, F.col("id").cast("string") == key).rows.select(composite().alias("id"))
+    centre = start_at(g, label, key_is(g.nodes(label), "id", key)).rows.select(composite().alias("id"))
     nodes = ids.unionByName(centre).distinct()
     return union_all(
         [
