@@ -19,8 +19,10 @@ set sizes.
 Keys (pairs and shingles alike) are sorted in Spark, and each key's members are
 paired with the smallest one whose size allows a link (a star, not all pairs).
 A few rounds verify, for every document, the centre it shares most keys with
-among those of other components, and join components over the links found.
-Then every pair of members of *different* components that share a key is
+among those of other components, and join components over the links found;
+further rounds pair the members of each key that lie outside its largest
+component with one member of that component, as long as this finds links.  Then
+every pair of members of *different* components that share a key is
 verified, so copies never meet pairwise and no link between different components
 is lost.  A position bound discards pairs that cannot overlap enough.
 Verification computes both sets anew from the texts.
@@ -51,6 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.plan import small_side
 from loomgraph.llm import textbytes as tb
 from loomgraph.llm.components import components
 from loomgraph.session import settle
@@ -60,7 +63,8 @@ MAX_FREQUENT = 1 << 20
 SCAN_COST = 3.0
 LARGEST_BOUNDARY = 64
 BLOCK = 64
-ROUNDS = 3
+ROUNDS = 1
+MERGES = 3
 
 
 # --- sets
@@ -139,7 +143,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add((one, two))
                 held.append(s)
                 size += len(s)
-                if size > 3_000_000:
+                if size > 2_000_000:
                     flush()
                     size = 0
         flush()
@@ -158,19 +162,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _offer(batches: Iterator[pa.RecordBatch], frequent, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, size and position) for the light pairs and the heavy lists.
+    """Rows (key, document, size and position, key before it) for the light pairs and the heavy lists.
 
     The lowest bit of a key says whether it is a pair.
     """
     hashes, counts = frequent.value
     seen: set[tuple[int, int, int]] = set()
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def batch_of() -> pa.RecordBatch:
-        keys, docs, places = (np.concatenate(x) for x in zip(*out, strict=True))
+        keys, docs, places, before = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(places)], names=["key", "doc", "place"]
+            [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(places), pa.array(before.view(np.int64))],
+            names=["key", "doc", "place", "before"],
         )
 
     for batch in batches:
@@ -197,7 +202,8 @@ def _offer(batches: Iterator[pa.RecordBatch], frequent, limit: int) -> Iterator[
                 p = heavy_prefix(n)
                 parts.append((s[:p] & ~np.uint64(1), np.arange(p)))
             for keys, pos in parts:
-                out.append((keys, np.full(len(keys), ids[row], dtype=np.int64), (n << 32) | pos.astype(np.int64)))
+                before = np.concatenate([np.zeros(1, dtype=np.uint64), keys[:-1]])
+                out.append((keys, np.full(len(keys), ids[row], dtype=np.int64), (n << 32) | pos.astype(np.int64), before))
                 held += len(keys)
             if held >= 100_000:
                 yield batch_of()
@@ -215,22 +221,21 @@ def may_link(pair_key, n, i, m, j):
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, place): centre and member of a star per key, and the rows of keys with three or more.
 
-    A pair comes as (null, centre, member, how many keys), a row as (key, document, size and position, null).
+    A pair comes as (null, centre, member, how many keys), a row as (key, document, size and position, key before it).
 
     A run may span batches: only its key, its current centre and its length so far are carried over.
     """
     key0, doc0, n0, i0, length0 = None, 0, 0, 0, 0
     pending: tuple | None = None  # rows of an open run that are not yet known to have three members
     for batch in batches:
-        key, doc, place = (batch.column(k).to_numpy() for k in range(3))
+        key, doc, place, before = (batch.column(k).to_numpy() for k in range(4))
         n, i = place >> 32, place & 0xFFFFFFFF
         if not len(key):
             continue
         held = 0
         if pending is not None:
-            pk, pd, pp = pending
-            held = len(pk)
-            key, doc, place = np.concatenate([pk, key]), np.concatenate([pd, doc]), np.concatenate([pp, place])
+            held = len(pending[0])
+            key, doc, place, before = (np.concatenate(x) for x in zip(pending, (key, doc, place, before), strict=True))
             n, i = place >> 32, place & 0xFFFFFFFF
             pending = None
         begins = np.append(True, key[1:] != key[:-1])
@@ -244,8 +249,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = at[-1]
         open_short = not (cont and len(at) == 1) and len(key) - last < 3
         if open_short:
-            pending = (key[last:], doc[last:], place[last:])
-            key, doc, place, n, i, begins, total = (x[:last] for x in (key, doc, place, n, i, begins, total))
+            pending = (key[last:], doc[last:], place[last:], before[last:])
+            key, doc, place, before, n, i, begins, total = (
+                x[:last] for x in (key, doc, place, before, n, i, begins, total)
+            )
             key0 = None
             if not last:
                 continue
@@ -272,27 +279,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc_ok, cd_ok))
         cd_ok, doc_ok = cd_ok[order], doc_ok[order]
         at = np.flatnonzero(np.append(True, (cd_ok[1:] != cd_ok[:-1]) | (doc_ok[1:] != doc_ok[:-1]))[: len(cd_ok)])
-        yield _found(cd_ok[at], doc_ok[at], np.diff(np.append(at, len(cd_ok))), key[many], doc[many], place[many])
+        yield _found(cd_ok[at], doc_ok[at], np.diff(np.append(at, len(cd_ok))), key[many], doc[many], place[many], before[many])
         if not open_short:
             key0, length0 = key[-1], int(total[-1])
             doc0, n0, i0 = int(cd[-1]), int(cn[-1]), int(ci[-1])
     if pending is not None:
-        key, doc, place = pending
+        key, doc, place, _ = pending
         if len(key) == 2 and doc[0] != doc[1]:
             n, i = place >> 32, place & 0xFFFFFFFF
             if may_link(bool(key[0] & 1), n[0], i[0], n[1], i[1]):
                 none = key[:0]
-                yield _found(doc[:1], doc[1:], np.ones(1, dtype=np.int64), none, none, none)
+                yield _found(doc[:1], doc[1:], np.ones(1, dtype=np.int64), none, none, none, none)
 
 
-def _found(centre, member, keys, key, doc, place) -> pa.RecordBatch:
-    k, r = len(centre), len(key)
+def _found(centre, member, keys, key, doc, place, before) -> pa.RecordBatch:
+    k = len(centre)
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key, pa.int64())]),
             pa.array(np.concatenate([centre, doc])),
             pa.array(np.concatenate([member, place])),
-            pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(r, pa.int64())]),
+            pa.array(np.concatenate([keys, before])),
         ],
         names=["key", "a", "b", "c"],
     )
@@ -340,7 +347,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = blocked.select("a", "block", F.col("b").alias("doc"), F.lit(False).alias("centre")).union(
         blocked.select("a", "block").distinct().select("a", "block", F.col("a").alias("doc"), F.lit(True).alias("centre"))
     )
-    rows = members.join(texts, F.col("doc") == F.col("doc_id")).select("a", "block", "doc", "centre", "text")
+    # counted: broadcast up to a fixed number of rows, so only wanted texts move; joined by shuffle beyond
+    rows = texts.join(small_side(members), F.col("doc") == F.col("doc_id")).select("a", "block", "doc", "centre", "text")
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("centre"))
     return sorted_rows.mapInArrow(_check, "a bigint, b bigint")
 
@@ -395,7 +403,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         .join(owner, "_doc").select("a", F.col("_rep").alias("b"))
     )
 
-    offered = texts.mapInArrow(lambda b: _offer(b, frequent, limit), "key bigint, doc bigint, place bigint")
+    offered = texts.mapInArrow(lambda b: _offer(b, frequent, limit), "key bigint, doc bigint, place bigint, before bigint")
     found = settle(
         offered.repartition("key").sortWithinPartitions("key", "place", "doc")
         .mapInArrow(_stars, "key bigint, a bigint, b bigint, c bigint")
@@ -407,32 +415,46 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     stars = named_as(named_as(found.where("key IS NULL").select("a", "b", "c"), "a"), "b")
     stars = settle(stars.where("a <> b").groupBy("a", "b").agg(F.sum("c").alias("c")))
-    tested = None
-    links = bonds
+    frequent.unpersist()
+    links, tested = bonds, spark.createDataFrame([], "a bigint, b bigint")
     roots = settle(components(links, "a", "b"))
-    for _ in range(ROUNDS):
-        best = _apart(stars, roots).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-        if tested is not None:
-            best = best.join(tested, ["a", "b"], "left_anti")
-        best = settle(best)
-        if best.isEmpty():
-            break
-        tested = best if tested is None else tested.union(best)
-        linked = settle(verify(best, texts))
+
+    def attempt(pairs: DataFrame) -> bool:
+        """Verify (b, a) picks not tested before and join components; whether there were links."""
+        nonlocal links, tested, roots
+        picks = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(picks)
+        linked = settle(verify(picks, texts))
+        if linked.isEmpty():
+            return False
         links = links.union(linked)
         roots = settle(components(links, "a", "b"))
-        stars = settle(_apart(stars, roots).join(best, ["a", "b"], "left_anti"))
-
-    rows = named_as(found.where("key IS NOT NULL").select("key", F.col("a").alias("doc"), F.col("b").alias("place")), "doc")
-    rest = _across(rows, roots).union(_apart(stars, roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    if tested is not None:
-        once = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = rest.join(once, ["a", "b"], "left_anti")
-    rest = settle(rest.distinct())
-    if not rest.isEmpty():
-        more = settle(verify(rest, texts))
-        if not more.isEmpty():
-            roots = settle(components(links.union(more), "a", "b"))
+        return True
+
+    for _ in range(ROUNDS):
+        best = _apart(stars, roots).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+        if not attempt(best):
+            break
+        stars = settle(_apart(stars, roots).join(tested, ["a", "b"], "left_anti"))
+    rows = found.where("key IS NOT NULL").select(
+        "key", F.col("a").alias("doc"), F.col("b").alias("place"), F.col("c").alias("before")
+    )
+    live = named_as(rows, "doc")
+    live = settle(live.distinct())
+    for turn in range(MERGES):
+        placed, tops = _split_keys(live, roots, turn)
+        live = placed.select("key", "doc", "place", "before")
+        met = placed.where("root <> _top").join(tops.select("key", "_rep"), "key").where(
+            _fits(F.col("key"), F.col("place"), F.col("_rep.place"))
+        )
+        best = (
+            met.groupBy("doc", F.col("_rep.doc").alias("a")).count().groupBy(F.col("doc").alias("b"))
+            .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+        )
+        if not attempt(best):
+            break
+    rest = _across(live, roots).union(_apart(stars.select("a", "b"), roots))
+    attempt(rest)
     return named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
@@ -448,38 +470,52 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_rx", "a") != F.coalesce("_ry", "b")).select(*pairs.columns)
 
 
+def _fits(key, one, two):
+    """``may_link`` as a column expression over two places (size and position in one long)."""
+    n, i = F.shiftright(one, 32), one.bitwiseAND(0xFFFFFFFF)
+    m, j = F.shiftright(two, 32), two.bitwiseAND(0xFFFFFFFF)
+    most = F.when(key.bitwiseAND(1) == 1, 2).otherwise(1) + F.least(n - 1 - i, m - 1 - j)
+    return (7 * most >= 3 * (n + m)) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
+
+
+def _split_keys(rows: DataFrame, roots: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys that several components hold, with ``root`` and the key's largest component ``_top``.
+
+    Also per key one member (document and place) of that component, another one each turn.
+    """
+    placed = settle(
+        rows.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", "place", "before", F.coalesce("root", "doc").alias("root"))
+    )
+    member = F.min_by(F.struct("doc", "place"), F.xxhash64("doc", F.lit(turn)))
+    tops = settle(
+        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"), member.alias("_rep")).groupBy("key")
+        .agg(F.max_by(F.struct("root", "_rep"), F.struct("_n", "root")).alias("_t"), F.count(F.lit(1)).alias("_k"))
+        .where("_k > 1").select("key", F.col("_t.root").alias("_top"), F.col("_t._rep").alias("_rep"))
+    )
+    return settle(placed.join(tops.select("key", "_top"), "key")), tops
+
+
 def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components on one key; ``rows``: key, doc, place (size and position).
+    """Pairs of different components on one key; ``rows``: key, doc, place (size and position), before.
 
     Of each key the members outside its largest component meet all others, so a
     key held by one component costs nothing and a hot component never meets itself.
+    Two members with the same key before this one meet there already: a pair is
+    formed where its common keys begin, so copies do not meet once per key.
     """
-    placed = settle(
-        rows.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", "place", F.coalesce("root", "doc").alias("root"))
-    )
-    split = settle(
-        placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    )
-    placed = settle(placed.join(split, "key", "left_semi"))
-    largest = settle(
-        placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("_top"))
-    )
-    placed = settle(placed.join(largest, "key"))
-    n, i = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
-    outer = placed.where("root <> _top").select("key", "doc", "root", n.alias("n"), i.alias("i"))
+    placed, _ = _split_keys(rows, roots)
+    outer = placed.where("root <> _top").select("key", "doc", "place", "before", "root")
     other = placed.select(
-        "key", F.col("doc").alias("doc2"), F.col("root").alias("root2"), F.col("_top"), n.alias("m"), i.alias("j")
-    )
-    most = F.when(F.col("key").bitwiseAND(1) == 1, 2).otherwise(1) + F.least(
-        F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")
-    )
+        "key", F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("before").alias("before2"),
+        F.col("root").alias("root2"), "_top",
+    )
     met = outer.join(other, "key").where(
         (F.col("root") != F.col("root2"))
         & ((F.col("root2") == F.col("_top")) | (F.col("doc") < F.col("doc2")))
-        & (7 * most >= 3 * (F.col("n") + F.col("m")))
-        & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
+        & ((F.col("before") != F.col("before2")) | (F.col("before") == 0))
+        & _fits(F.col("key"), F.col("place"), F.col("place2"))
     )
-    return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_stars_do_not_depend_on_batches():
 
     def run(cuts):
         batches = [
-            pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, doc, place)], names=["key", "doc", "place"])
+            pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, doc, place, doc)], names=["key", "doc", "place", "before"])
             for a, b in zip([0, *cuts], [*cuts, 400], strict=True)
         ]
         pairs, kept = Counter(), set()
