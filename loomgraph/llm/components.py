@@ -23,6 +23,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     e = settle(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     )
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _star(both).select("u", F.least("u", "m").alias("m"))
@@ -31,9 +33,9 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         roots = e.select(F.col("v").alias("u")).distinct()
-        moving = e.join(roots, "u", "left_semi").limit(1).count()
-        double = e.groupBy("u").count().where("count > 1").limit(1).count()
-        if not moving and not double:
+        moving = e.join(roots, "u", "left_semi").select("u")
+        double = e.groupBy("u").count().where("count > 1").select("u")
+        if moving.union(double).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 roots.select(F.col("u").alias("node"), F.col("u").alias("root"))
             )

@@ -158,8 +158,8 @@ class LandmarkKernel:
         for n, group in by_length.items():
             idx, weight = _combos(n)
             least = math.sqrt(float((weight**2).sum()))
-            for first in range(0, len(group), 4000):
-                some = group[first : first + 4000]
+            for first in range(0, len(group), 1000):
+                some = group[first : first + 1000]
                 chars = _points(some)
                 local = self._local(chars)
                 slots = self.slots[(local[:, idx[:, 0]] * size + local[:, idx[:, 1]]) * size + local[:, idx[:, 2]]]
@@ -167,10 +167,10 @@ class LandmarkKernel:
                 if not near.size:
                     continue
                 norm = norms(chars[near])
-                for part in range(0, len(near), 200):
-                    rows = near[part : part + 200]
+                for part in range(0, len(near), 64):
+                    rows = near[part : part + 64]
                     shared = np.einsum("wcm,c->wm", self.weights[slots[rows]], weight.astype(np.float32))
-                    value = shared / norm[part : part + 200, None]
+                    value = shared / norm[part : part + 64, None]
                     value = np.where(value >= FLOOR, value, 0.0) ** POWER
                     for r in np.flatnonzero(value.any(axis=1)):
                         found[some[rows[r]]] = value[r]
@@ -306,47 +306,58 @@ def fit_sigmoid(raw: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float
 
 @dataclass
 class Contexts:
-    """Distinct (word before, word) pairs of a class, so that copied passages count once."""
+    """Distinct (word before, word) pairs of some words in a class, so that copied passages count once."""
 
-    pairs: int
+    tokens: int
     count: Counter  # pairs by word
     bringers: Counter  # texts that brought a new pair, by word
 
 
-def contexts(docs: Iterable[list[list[str]]]) -> Contexts:
+def contexts(docs: list[list[list[str]]], only: set[str]) -> Contexts:
     seen: set[int] = set()
-    count, bringers, last = Counter(), Counter(), {}
+    count, bringers, last, tokens = Counter(), Counter(), {}, 1
     for d, sents in enumerate(docs):
         for s in sents:
             before = ""
+            tokens += len(s)
             for t in s:
                 word = forms(t)[0]
                 pair = hash((before, word))
                 before = word
-                if pair in seen or len(word) < 3:
+                if word not in only or pair in seen:
                     continue
                 seen.add(pair)
                 count[word] += 1
                 if last.get(word) != d:
                     last[word] = d
                     bringers[word] += 1
-    return Contexts(max(1, len(seen)), count, bringers)
+    return Contexts(tokens, count, bringers)
 
 
-def choose_landmarks(toxic: Contexts, clean: Contexts) -> tuple[list[str], dict[str, float]]:
+def vocabulary(docs: list[list[list[str]]], least: int) -> set[str]:
+    """Words of three and more characters in at least ``least`` of the texts."""
+    df: Counter = Counter()
+    for sents in docs:
+        df.update({w for s in sents for t in s if len(w := forms(t)[0]) >= 3})
+    return {w for w, k in df.items() if k >= least}
+
+
+def choose_landmarks(toxic_docs: list[list[list[str]]], clean_docs: list[list[list[str]]]) -> tuple[list[str], dict[str, float]]:
     """Landmarks, and how much each of the telling words speaks for a toxic sentence.
 
     A word tells if it follows at least four different words in toxic documents, brought by at least three of
     them, far more often than in clean ones.
     """
+    toxic = contexts(toxic_docs, vocabulary(toxic_docs, 3))
+    clean = contexts(clean_docs, set(toxic.count))
     evidence, strength = {}, {}
     for w, k in toxic.count.items():
         other = clean.count[w]
-        p = (k + other) / (toxic.pairs + clean.pairs)
-        strength[w] = (k / toxic.pairs - other / clean.pairs) / math.sqrt(
-            max(p * (1 - p), 1e-12) * (1 / toxic.pairs + 1 / clean.pairs)
+        p = (k + other) / (toxic.tokens + clean.tokens)
+        strength[w] = (k / toxic.tokens - other / clean.tokens) / math.sqrt(
+            max(p * (1 - p), 1e-12) * (1 / toxic.tokens + 1 / clean.tokens)
         )
-        lift = math.log((k + 0.5) / toxic.pairs) - math.log((other + 0.5) / clean.pairs)
+        lift = math.log((k + 0.5) / toxic.tokens) - math.log((other + 0.5) / clean.tokens)
         if k >= 4 and toxic.bringers[w] >= 3 and strength[w] >= 4 and lift >= 2:
             evidence[w] = lift
     chosen: list[str] = []
@@ -360,9 +371,12 @@ def choose_landmarks(toxic: Contexts, clean: Contexts) -> tuple[list[str], dict[
         evidence = {w: 1.0 for w in chosen}
     if not chosen:
         return [], evidence
-    common = [w for w, k in clean.count.items() if k >= 2 and w not in evidence and w not in chosen]
-    near = LandmarkKernel(chosen).values(common)
-    alike = sorted(near, key=lambda w: (-clean.count[w] * float(near[w].max()), w))
+    kern, near = LandmarkKernel(chosen), {}
+    common = sorted(w for w in vocabulary(clean_docs, 2) if w not in evidence and w not in chosen)
+    for first in range(0, len(common), 20_000):
+        near.update({w: float(v.max()) for w, v in kern.values(common[first : first + 20_000]).items()})
+    often = contexts(clean_docs, set(near)).count
+    alike = sorted(near, key=lambda w: (-often[w] * near[w], w))
     return chosen + alike[:LOOKALIKES], evidence
 
 
@@ -384,47 +398,69 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
     if {toxic for _, toxic, _ in docs} != {True, False}:
         return None
     landmarks, evidence = choose_landmarks(
-        *(contexts(sents for kept, toxic, sents in docs if toxic == c and not kept) for c in (True, False))
+        *([sents for kept, toxic, sents in docs if toxic == c and not kept] for c in (True, False))
     )
     if not landmarks:
         return None
     kern = LandmarkKernel(landmarks)
-    values = token_values(kern, {t for _, _, sents in docs for s in sents for t in s})
+    # (landmark numbers, values) of the tokens that have any: a few each
+    values: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    every = sorted({t for _, _, sents in docs for s in sents for t in s})
+    for first in range(0, len(every), 20_000):
+        for t, v in token_values(kern, every[first : first + 20_000]).items():
+            at = np.flatnonzero(v)
+            values[t] = (at.astype(np.int16), v[at].astype(np.float32))
+    del every
     own = kern.values(landmarks)
     gram = np.array([own.get(z, np.zeros(len(landmarks))) for z in landmarks], dtype=np.float64)
     eig, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(eig, 1e-2))) @ vec.T
 
-    rows, toxic_row, hint = [], [], []
+    # sentences of a class with the same visible words share a row
+    rows, toxic_row, hint, times = [np.zeros(len(landmarks), dtype=np.float32)], [False], [0.0], [0]
+    known: dict[tuple, int] = {}
     for kept, toxic, sents in docs:
-        for s in sents:
-            if kept:
+        for s in sents if not kept else ():
+            have = tuple(sorted(t for t in set(s) if t in values))
+            if not have:
+                # nothing the kernel sees: no witness of a toxic text; clean ones share the first row
+                times[0] += not toxic
+                continue
+            at = known.setdefault((toxic, have), len(rows))
+            if at < len(rows):
+                times[at] += 1
                 continue
-            have = [values[t] for t in set(s) if t in values]
-            if toxic and not have:
-                continue  # nothing the kernel sees: neither a witness nor a negative
-            rows.append(np.sum(have, axis=0) if have else np.zeros(len(landmarks)))
+            row = np.zeros(len(landmarks), dtype=np.float32)
+            for t in have:
+                row[values[t][0]] += values[t][1]
+            rows.append(row)
             toxic_row.append(toxic)
-            hint.append(sum(evidence.get(f, 0.0) for t in set(s) for f in forms(t)[:1]))
+            times.append(1)
+            hint.append(sum(evidence.get(forms(t)[0], 0.0) for t in have))
+    del known
     n_sentences = len(rows)
-    for z, row in zip(landmarks, gram, strict=True):  # landmarks are sentences of one word as well
+    for z, row in zip(landmarks, gram.astype(np.float32), strict=True):  # landmarks are sentences of one word as well
         rows.append(row)
         toxic_row.append(z in evidence)
+        times.append(1)
         hint.append(evidence.get(z, 0.0))
-    x = np.array(rows) @ root
+    x = np.array(rows)
+    rows.clear()
+    x = x @ root
+    often = np.array(times, dtype=np.float64)
     is_toxic, score = np.array(toxic_row), np.array(hint)
     w = np.zeros(len(landmarks) + 1)
-    single = np.arange(len(rows)) >= n_sentences
+    single = np.arange(len(x)) >= n_sentences
     for turn in range(3):
         positive = is_toxic & (single | (score > (0.0 if turn == 0 else -0.5)))
         use = positive | ~is_toxic
-        weight = np.zeros(len(rows))
+        weight = np.zeros(len(x))
         for kind in (positive & single, positive & ~single, ~is_toxic & single, ~is_toxic & ~single):
-            weight[kind] = 0.25 / max(1, kind.sum())
-        w = train_svm(x[use], np.where(positive[use], 1.0, -1.0), weight[use] * use.sum())
+            weight[kind] = 0.25 * often[kind] / max(1.0, often[kind].sum())
+        w = train_svm(x[use], np.where(positive[use], 1.0, -1.0), weight[use] * often[use].sum())
         score = x @ w[:-1] + w[-1]
     model = Model(kern, root @ w[:-1], float(w[-1]), 1.0, 0.0)
-    scores = {t: float(v @ model.per_landmark) for t, v in values.items()}
+    scores = {t: float(v @ model.per_landmark[at]) for t, (at, v) in values.items()}
     judged = [d for d in docs if d[0]]
     if {t for _, t, _ in judged} != {True, False}:
         judged = docs
