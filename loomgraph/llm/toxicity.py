@@ -7,6 +7,10 @@ with "idiot".  The kernel is normalised, values under ``FLOOR`` are taken as
 zero, and the rest is raised to ``POWER``.  The kernel of two sentences is the
 sum over the pairs of their distinct words.
 
+A token is scored in several spellings, of which the nearest to a landmark counts:
+as it is, without inner non-letters, and with runs of one character squeezed.
+Words that clean texts use themselves are scored as they are written.
+
 Landmarks are words that stand out in distinct sentences of toxic documents,
 thinned so that no two are near-equal, and the most frequent words of clean ones
 that the kernel finds near to them.  The Nystroem map of a sentence is its kernel values with the landmarks
@@ -42,6 +46,7 @@ import re
 import string
 import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -62,6 +67,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ ]\w){2,}(?!\w)")
 _EDGE = string.punctuation + "…«»“”„’‘¿¡"
 _INNER = re.compile(r"[\W_]+")
+_RUN, _LONG_RUN = re.compile(r"(.)\1+", re.S), re.compile(r"(.)\1{2,}", re.S)
 
 
 # --- the kernel
@@ -107,6 +113,7 @@ class LandmarkKernel:
     """Kernel values of words with the landmarks."""
 
     landmarks: list[str]
+    as_written: frozenset[str] = frozenset()  # words of clean texts, scored in no changed spelling
     ids: dict[int, int] = field(init=False)
     slots: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
@@ -221,9 +228,18 @@ def forms(token: str) -> list[str]:
     return out
 
 
+def squeezed(word: str) -> list[str]:
+    """The word with runs of one character cut to one, and those above two also to two."""
+    once = _RUN.sub(r"\1", word)
+    return [w for w in dict.fromkeys((once, _LONG_RUN.sub(r"\1\1", word))) if w != word]
+
+
 def token_values(kern: LandmarkKernel, tokens: Iterable[str]) -> dict[str, np.ndarray]:
     """Kernel values of raw tokens; of several forms the one nearest to a landmark counts."""
     by_token = {t: forms(t) for t in tokens}
+    for fs in by_token.values():
+        if fs[0] not in kern.as_written:
+            fs += squeezed(fs[-1])
     values = kern.values(list({f for fs in by_token.values() for f in fs}))
     out = {}
     for t, fs in by_token.items():
@@ -306,58 +322,54 @@ def fit_sigmoid(raw: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float
 
 @dataclass
 class Contexts:
-    """Distinct (word before, word) pairs of some words in a class, so that copied passages count once."""
+    """Distinct (word before, word) pairs of a class, so that copied passages count once."""
 
-    tokens: int
+    pairs: int
     count: Counter  # pairs by word
     bringers: Counter  # texts that brought a new pair, by word
 
 
-def contexts(docs: list[list[list[str]]], only: set[str]) -> Contexts:
-    seen: set[int] = set()
-    count, bringers, last, tokens = Counter(), Counter(), {}, 1
+def contexts(docs: Iterable[list[list[str]]]) -> Contexts:
+    """Pairs whose word has three and more characters, as sorted numbers: 12 bytes each, where a set takes some 100."""
+    number: dict[str, int] = {"": 0}
+    shape: dict[str, int] = {}  # number of a raw token's word
+    codes, texts = array("q"), array("i")
     for d, sents in enumerate(docs):
         for s in sents:
-            before = ""
-            tokens += len(s)
+            before = 0
             for t in s:
-                word = forms(t)[0]
-                pair = hash((before, word))
-                before = word
-                if word not in only or pair in seen:
-                    continue
-                seen.add(pair)
-                count[word] += 1
-                if last.get(word) != d:
-                    last[word] = d
-                    bringers[word] += 1
-    return Contexts(tokens, count, bringers)
-
-
-def vocabulary(docs: list[list[list[str]]], least: int) -> set[str]:
-    """Words of three and more characters in at least ``least`` of the texts."""
-    df: Counter = Counter()
-    for sents in docs:
-        df.update({w for s in sents for t in s if len(w := forms(t)[0]) >= 3})
-    return {w for w, k in df.items() if k >= least}
-
-
-def choose_landmarks(toxic_docs: list[list[list[str]]], clean_docs: list[list[list[str]]]) -> tuple[list[str], dict[str, float]]:
+                at = shape.get(t)
+                if at is None:
+                    at = shape[t] = number.setdefault(forms(t)[0], len(number))
+                codes.append(before << 32 | at)
+                texts.append(d)
+                before = at
+    del shape
+    words = list(number)
+    long = np.fromiter((len(w) >= 3 for w in words), dtype=bool, count=len(words))
+    pair, first = np.unique(np.frombuffer(codes, dtype=np.int64), return_index=True)
+    own = long[pair & 0xFFFFFFFF]
+    word, brought = pair[own] & 0xFFFFFFFF, np.frombuffer(texts, dtype=np.int32)[first[own]]
+    bringers = np.unique(brought.astype(np.int64) << 32 | word) & 0xFFFFFFFF
+    tally = (np.bincount(x, minlength=len(words)).tolist() for x in (word, bringers))
+    count, by = ({w: k for w, k in zip(words, ks, strict=True) if k} for ks in tally)
+    return Contexts(max(1, len(word)), Counter(count), Counter(by))
+
+
+def choose_landmarks(toxic: Contexts, clean: Contexts) -> tuple[list[str], dict[str, float]]:
     """Landmarks, and how much each of the telling words speaks for a toxic sentence.
 
     A word tells if it follows at least four different words in toxic documents, brought by at least three of
     them, far more often than in clean ones.
     """
-    toxic = contexts(toxic_docs, vocabulary(toxic_docs, 3))
-    clean = contexts(clean_docs, set(toxic.count))
     evidence, strength = {}, {}
     for w, k in toxic.count.items():
         other = clean.count[w]
-        p = (k + other) / (toxic.tokens + clean.tokens)
-        strength[w] = (k / toxic.tokens - other / clean.tokens) / math.sqrt(
-            max(p * (1 - p), 1e-12) * (1 / toxic.tokens + 1 / clean.tokens)
+        p = (k + other) / (toxic.pairs + clean.pairs)
+        strength[w] = (k / toxic.pairs - other / clean.pairs) / math.sqrt(
+            max(p * (1 - p), 1e-12) * (1 / toxic.pairs + 1 / clean.pairs)
         )
-        lift = math.log((k + 0.5) / toxic.tokens) - math.log((other + 0.5) / clean.tokens)
+        lift = math.log((k + 0.5) / toxic.pairs) - math.log((other + 0.5) / clean.pairs)
         if k >= 4 and toxic.bringers[w] >= 3 and strength[w] >= 4 and lift >= 2:
             evidence[w] = lift
     chosen: list[str] = []
@@ -372,14 +384,22 @@ def choose_landmarks(toxic_docs: list[list[list[str]]], clean_docs: list[list[li
     if not chosen:
         return [], evidence
     kern, near = LandmarkKernel(chosen), {}
-    common = sorted(w for w in vocabulary(clean_docs, 2) if w not in evidence and w not in chosen)
+    common = sorted(w for w, k in clean.count.items() if k >= 2 and w not in evidence and w not in chosen)
     for first in range(0, len(common), 20_000):
         near.update({w: float(v.max()) for w, v in kern.values(common[first : first + 20_000]).items()})
-    often = contexts(clean_docs, set(near)).count
-    alike = sorted(near, key=lambda w: (-often[w] * near[w], w))
+    alike = sorted(near, key=lambda w: (-clean.count[w] * near[w], w))
     return chosen + alike[:LOOKALIKES], evidence
 
 
+def own_words(kern: LandmarkKernel, toxic: Contexts, clean: Contexts) -> frozenset[str]:
+    """Words at least as usual in clean texts as in toxic ones of which a changed spelling is near a landmark."""
+    usual = sorted(w for w, k in clean.count.items() if k >= 2 and k * toxic.pairs >= toxic.count[w] * clean.pairs)
+    found: set[str] = set()
+    for first in range(0, len(usual), 20_000):
+        found.update(token_values(kern, usual[first : first + 20_000]))
+    return frozenset(found)
+
+
 def distinct(sample: list[tuple[int, bool, list[list[str]]]]) -> Iterator[tuple[int, bool, list[list[str]]]]:
     """Texts with sentences, without those of which a third or more was seen before: copies would outvote the rest."""
     seen: set[str] = set()
@@ -397,12 +417,15 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
         docs = [(False, toxic, sents) for _, toxic, sents in docs]
     if {toxic for _, toxic, _ in docs} != {True, False}:
         return None
-    landmarks, evidence = choose_landmarks(
-        *([sents for kept, toxic, sents in docs if toxic == c and not kept] for c in (True, False))
+    toxic_words, clean_words = (
+        contexts(sents for kept, toxic, sents in docs if toxic == c and not kept) for c in (True, False)
     )
+    landmarks, evidence = choose_landmarks(toxic_words, clean_words)
     if not landmarks:
         return None
     kern = LandmarkKernel(landmarks)
+    kern.as_written = own_words(kern, toxic_words, clean_words)
+    del toxic_words, clean_words
     # (landmark numbers, values) of the tokens that have any: a few each
     values: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     every = sorted({t for _, _, sents in docs for s in sents for t in s})
@@ -416,7 +439,7 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
     eig, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(eig, 1e-2))) @ vec.T
 
-    # sentences of a class with the same visible words share a row
+    # sentences of a class with the same visible words and the same hint share a row; clean ones need no hint
     rows, toxic_row, hint, times = [np.zeros(len(landmarks), dtype=np.float32)], [False], [0.0], [0]
     known: dict[tuple, int] = {}
     for kept, toxic, sents in docs:
@@ -426,7 +449,8 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
                 # nothing the kernel sees: no witness of a toxic text; clean ones share the first row
                 times[0] += not toxic
                 continue
-            at = known.setdefault((toxic, have), len(rows))
+            told = sum(sorted(evidence.get(forms(t)[0], 0.0) for t in set(s))) if toxic else 0.0
+            at = known.setdefault((toxic, have, told), len(rows))
             if at < len(rows):
                 times[at] += 1
                 continue
@@ -436,7 +460,7 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
             rows.append(row)
             toxic_row.append(toxic)
             times.append(1)
-            hint.append(sum(evidence.get(forms(t)[0], 0.0) for t in have))
+            hint.append(told)
     del known
     n_sentences = len(rows)
     for z, row in zip(landmarks, gram.astype(np.float32), strict=True):  # landmarks are sentences of one word as well
