@@ -7,9 +7,12 @@ with "idiot".  The kernel is normalised, values under ``FLOOR`` are taken as
 zero, and the rest is raised to ``POWER``.  The kernel of two sentences is the
 sum over the pairs of their distinct words.
 
-A token is scored in several spellings, of which the nearest to a landmark counts:
-as it is, without inner non-letters, and with runs of one character squeezed.
-Words that clean texts use themselves are scored as they are written.
+A token is scored in several spellings, of which the nearest to a landmark of a
+toxic word counts: as it is, without inner non-letters, with runs of one character
+squeezed, without a padding character, and above ``PART`` characters in parts of a
+landmark's length; long words are searched for the landmark itself, and near ones
+for it with one more character.  Words that clean texts use themselves are scored as they are written.
+Insults split by a space into parts of several letters ("id iot") are not joined.
 
 Landmarks are words that stand out in distinct sentences of toxic documents,
 thinned so that no two are near-equal, and the most frequent words of clean ones
@@ -61,6 +64,7 @@ DECAY, SPAN, FLOOR, POWER = 0.7, 7, 0.4, 3
 LANDMARKS, LOOKALIKES, NEAR = 128, 64, 0.6
 DOCS_PER_CLASS, SENTENCES_PER_DOC = 2000, 100
 WINDOW, WORD_CHARS, CACHED = 32, 32, 400_000
+PART, PARTS = 12, ((8, 3), (14, 4))
 CUT = 0.3
 FOLDS, HELD_OUT = 4, 2
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -114,6 +118,7 @@ class LandmarkKernel:
 
     landmarks: list[str]
     as_written: frozenset[str] = frozenset()  # words of clean texts, scored in no changed spelling
+    telling: int = 0  # the first so many landmarks stand for toxic words
     ids: dict[int, int] = field(init=False)
     slots: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
@@ -228,24 +233,64 @@ def forms(token: str) -> list[str]:
     return out
 
 
-def squeezed(word: str) -> list[str]:
-    """The word with runs of one character cut to one, and those above two also to two."""
-    once = _RUN.sub(r"\1", word)
-    return [w for w in dict.fromkeys((once, _LONG_RUN.sub(r"\1\1", word))) if w != word]
+def spellings(token: str) -> list[str]:
+    """Changed spellings of a raw token's bare word.
+
+    Runs of one character are cut to one, and those above two also to two; a
+    character that makes up a third of the word is left out, as it may be padding
+    ("ixdxixoxt"); words above ``PART`` characters also come in overlapping parts,
+    every six characters in one of 8 and every eleven in one of 14.
+    """
+    word = token.strip(_EDGE)
+    bare = word if word.isalnum() else _INNER.sub("", word)
+    out, n = [bare], len(bare)
+    if _RUN.search(bare):
+        out += [_RUN.sub(r"\1", bare), _LONG_RUN.sub(r"\1\1", bare)]
+    chars = set(bare)
+    if n > 4 and 3 * len(chars) <= 2 * n + 3:
+        out += [bare.replace(c, "") for c in chars if 3 * (k := bare.count(c)) >= n and k >= 3]
+    for w in list(out) if n > PART else ():
+        if len(w) > PART:
+            out += [w[i : i + m] for m, step in PARTS for i in range(0, max(1, len(w) - m + step), step)]
+    return out
 
 
 def token_values(kern: LandmarkKernel, tokens: Iterable[str]) -> dict[str, np.ndarray]:
-    """Kernel values of raw tokens; of several forms the one nearest to a landmark counts."""
-    by_token = {t: forms(t) for t in tokens}
-    for fs in by_token.values():
-        if fs[0] not in kern.as_written:
-            fs += squeezed(fs[-1])
+    """Kernel values of raw tokens; of several spellings the one nearest to a telling landmark counts."""
+    by_token = {}
+    for t in tokens:
+        own = forms(t)
+        if own[0] not in kern.as_written:
+            more = spellings(t)
+            if len(more) > 1 or more[0] not in own:
+                own = list(dict.fromkeys(own + more))
+        by_token[t] = own
     values = kern.values(list({f for fs in by_token.values() for f in fs}))
+
+    def nearness(v: np.ndarray) -> tuple[float, float]:
+        return float(v[: kern.telling].max(initial=0.0)), float(v.max())
+
+    # a landmark that stands free in a long word, or in a near one without one of its characters
+    told = set(kern.landmarks[: kern.telling])
+    free = re.compile("|".join(re.escape(z) for z in sorted(told) if len(z) > 3) or "(?!)")
+    closer: dict[str, list[str]] = {}
+    for t, fs in by_token.items():
+        near = [w for w in fs if w in values]
+        long = len(fs[0]) > PART
+        if not (near or long) or fs[0] in kern.as_written:
+            continue
+        found = [z for w in fs if len(w) > PART for z in free.findall(w)] if long else []
+        for w in near:
+            if 4 < len(w) <= WORD_CHARS and 0 < nearness(values[w])[0] < 0.99:
+                found += told.intersection(w[:i] + w[i + 1 :] for i in range(len(w)))
+        if found:
+            closer[t] = found
+    values.update(kern.values(list({z for zs in closer.values() for z in zs} - values.keys())))
     out = {}
     for t, fs in by_token.items():
-        best = max((values[f] for f in fs if f in values), key=lambda v: float(v.max()), default=None)
-        if best is not None:
-            out[t] = best
+        near = [values[f] for f in itertools.chain(fs, closer.get(t, ())) if f in values]
+        if near:
+            out[t] = near[0] if len(near) == 1 else max(near, key=nearness)
     return out
 
 
@@ -423,7 +468,7 @@ def fit(sample: list[tuple[int, bool, list[list[str]]]], prior: float) -> Model
     landmarks, evidence = choose_landmarks(toxic_words, clean_words)
     if not landmarks:
         return None
-    kern = LandmarkKernel(landmarks)
+    kern = LandmarkKernel(landmarks, telling=sum(z in evidence for z in landmarks))
     kern.as_written = own_words(kern, toxic_words, clean_words)
     del toxic_words, clean_words
     # (landmark numbers, values) of the tokens that have any: a few each

@@ -52,6 +52,18 @@ def test_gapped_and_inserted_characters(model):
     assert p("") < tx.CUT and p("the and of") < tx.CUT
 
 
+def test_hidden_in_long_and_padded_tokens(model):
+    def p(text):
+        text = tx.plain(text)
+        return model.probability(model.raw(text, model.token_scores(set(text.split()))))
+
+    address = "https://example.org/" + "q" * 20 + "/whatanidiotyouare/index.html"
+    for token in ("ixdxixoxt", "idioooooot", "whatanidiotyouare", "isaidwhatanidiotyouarefromhereon", "idxiot", address):
+        assert p(f"that {token} was there") >= tx.CUT, token
+    for token in ("https://example.org/" + "q" * 20 + "/index.html", "internationalization", "x" * 5000):
+        assert p(f"that {token} was there") < tx.CUT, token
+
+
 def test_contexts_by_brute_force():
     rng = random.Random(5)
     docs = [[[rng.choice(["idiot,", "idiot", "the", "of", "a", "moron", "..."]) for _ in range(6)] for _ in range(3)] for _ in range(9)]
