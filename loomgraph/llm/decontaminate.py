@@ -22,7 +22,8 @@ parameter), and every document meets every block.  A task holds one block at a
 time.  Documents are never shuffled.
 
 Defined cases: null and blank texts have no words and no hits; an item without
-words is ignored; items that share a window are all reported; rows that repeat a
+words is ignored; items that share a window are all reported; the windows of an
+item without item_id hit words, but add nothing to ``items``; rows that repeat a
 doc_id are judged row by row; an empty benchmark gives no hits.  Input columns
 with the names of result columns are replaced.
 """
@@ -105,19 +106,21 @@ def patterns_of(text: str, size: int) -> list[tuple[int, bytes]]:
     return [(n, b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
 
 
-def pattern_blocks(rows: Iterator[tuple[int, str]], size: int, max_patterns: int) -> Iterator[list[PatternClass]]:
+def pattern_blocks(rows: Iterator[tuple[int | None, str]], size: int, max_patterns: int) -> Iterator[list[PatternClass]]:
     """Tables for blocks of at most about ``max_patterns`` patterns (an item is never split)."""
     held: dict[int, dict[bytes, set[int]]] = {}
     count = 0
     for item, text in rows:
-        if item is None or text is None:
+        if text is None:
             continue
         found = patterns_of(text, size)
         if count and count + len(found) > max_patterns:
             yield [build_class(n, p) for n, p in sorted(held.items())]
             held, count = {}, 0
         for n, key in found:
-            held.setdefault(n, {}).setdefault(key, set()).add(item)
+            own = held.setdefault(n, {}).setdefault(key, set())
+            if item is not None:
+                own.add(item)
         count += len(found)
     if held:
         yield [build_class(n, p) for n, p in sorted(held.items())]

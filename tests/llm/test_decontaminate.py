@@ -40,6 +40,15 @@ def test_against_brute_force(spark, max_patterns):
     assert sorted((r.doc_id, r.n_words, sum(h.end - h.start for h in r.hits), r["items"]) for r in out) == want
 
 
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two"), (7, "two three"), (None, "three")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a one two b"), (2, "one two three"), (3, "none")], "doc_id bigint, text string")
+    out = {r.doc_id: (sum(h.end - h.start for h in r.hits), r["items"]) for r in dc.find_passages(docs, bench).collect()}
+    assert out == {1: (2, []), 2: (3, [7]), 3: (0, [])}
+    assert {r.doc_id: r.contaminated for r in dc.digests(docs, bench).collect()} == {1: True, 2: True, 3: False}
+    assert [r.doc_id for r in dc.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "one two"), (2, None)], "item_id bigint, text string")
     out = dc.digests(awkward, bench).collect()
