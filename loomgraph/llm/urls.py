@@ -129,17 +129,22 @@ def scores(urls: DataFrame, grams_model: DataFrame) -> DataFrame:
 
 
 def best_cut(histogram: list[tuple[int, int, int]]) -> int:
-    """The lowest bin with the best sum of shares; rows are (bin, accepted, rejected)."""
+    """The cut with the best sum of shares; rows are (bin, accepted, rejected).
+
+    Every cut above one occurring bin and up to the next is equally good: the
+    middle of that gap is taken, of several best gaps the lowest.
+    """
     accepted, rejected = sum(h[1] for h in histogram), sum(h[2] for h in histogram)
     if not accepted or not rejected:
         return 0
-    best, cut, below = -1, 0, 0
+    best, cut, below, previous = -1, 0, 0, None
     at_least = accepted
     for b, a, r in sorted(histogram):
         value = at_least * rejected + below * accepted
         if value > best:
-            best, cut = value, b
-        at_least, below = at_least - a, below + r
+            best = value
+            cut = b if previous is None else previous + 1 + (b - previous - 1) // 2
+        at_least, below, previous = at_least - a, below + r, b
     return cut
 
 
@@ -199,8 +204,8 @@ h AS (SELECT bin, sum(CASE WHEN verdict = 'allow' THEN n ELSE 0 END) AS a, sum(C
       FROM b WHERE verdict IS NOT NULL AND NOT train GROUP BY bin),
 v AS (SELECT bin, (sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) * (sum(r) OVER ())
         + coalesce(sum(r) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (sum(a) OVER ()) AS value,
-        sum(a) OVER () AS na, sum(r) OVER () AS nr FROM h),
-t AS (SELECT coalesce((SELECT bin FROM v WHERE na > 0 AND nr > 0 ORDER BY value DESC, bin LIMIT 1), 0) AS cut)
+        sum(a) OVER () AS na, sum(r) OVER () AS nr, lag(bin) OVER (ORDER BY bin) AS previous FROM h),
+t AS (SELECT coalesce((SELECT coalesce(previous + 1 + (bin - previous - 1) // 2, bin) FROM v WHERE na > 0 AND nr > 0 ORDER BY value DESC, bin LIMIT 1), 0) AS cut)
 SELECT page_id, p.host, p.path, u.rule,
   coalesce(u.verdict, CASE WHEN b.bin >= (SELECT cut FROM t) THEN 'allow' ELSE 'block' END) AS verdict
 FROM p JOIN u ON p.host = u.host AND p.path = u.path JOIN b ON p.host = b.host AND p.path = b.path
