@@ -140,7 +140,7 @@ def test_both_dictionary_paths_agree(spark):
 def test_mentions_are_limited_and_ordered(spark):
     names = spark.createDataFrame([(f"n{i:02d}", "N") for i in range(30)], "name string, label string")
     df = spark.createDataFrame([(1, " ".join(f"N{i:02d}" for i in range(30)))], "id long, text string")
-    rows = mentions.mentions(df, ["id"], names).orderBy("position").collect()
+    rows = mentions.mentions(df, ["id"], names, limit=20).orderBy("position").collect()
     assert [r["name"] for r in rows] == [f"n{i:02d}" for i in range(20)]
 
 
