@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import settle
 
+EDGES_PER_TASK = 50_000
 
-def _star(edges: DataFrame) -> DataFrame:
+
+def _star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every u with its smallest neighbour, stored: joins see its true size and can split a hot u."""
-    return settle(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return settle(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -23,15 +25,17 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     e = settle(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     )
-    if e.isEmpty():
+    known = e.count()
+    tasks = 1 + known // EDGES_PER_TASK  # few edges are handled by few tasks
+    if not known:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _star(both).select("u", F.least("u", "m").alias("m"))
-        large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = _star(large)
+        low = _star(both, tasks).select("u", F.least("u", "m").alias("m"))
+        large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
+        low = _star(large, tasks)
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         roots = e.select(F.col("v").alias("u")).distinct()
         moving = e.join(roots, "u", "left_semi").select("u")
         double = e.groupBy("u").count().where("count > 1").select("u")

@@ -18,14 +18,10 @@ set sizes.
 
 Keys (pairs and shingles alike) are sorted in Spark, and each key's members are
 paired with the smallest one whose size allows a link (a star, not all pairs).
-A few rounds verify, for every document, the centre it shares most keys with
-among those of other components, and join components over the links found;
-further rounds pair the members of each key that lie outside its largest
-component with one member of that component, as long as this finds links.  Then
-every pair of members of *different* components that share a key is
-verified, so copies never meet pairwise and no link between different components
-is lost.  A position bound discards pairs that cannot overlap enough.
-Verification computes both sets anew from the texts.
+``linking.Linker`` verifies from these pairs and keys and joins components, so
+copies never meet pairwise and no link between different components is lost.  A
+position bound discards pairs that cannot overlap enough.  Verification computes
+both sets anew from the texts.
 
 The order only steers the work: shingles repeated within a group of a task's
 texts are counted, and up to ``MAX_FREQUENT`` of them (eight-byte hashes, a fixed
@@ -52,19 +48,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.functions.plan import small_side
+from loomgraph.llm import linking
 from loomgraph.llm import textbytes as tb
-from loomgraph.llm.components import components
+from loomgraph.llm.linking import named_as
 from loomgraph.session import settle
 
 WORDS = 5
 MAX_FREQUENT = 1 << 20
 SCAN_COST = 3.0
 LARGEST_BOUNDARY = 64
-BLOCK = 64
-ROUNDS = 1
-MERGES = 3
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 # --- sets
@@ -72,19 +68,7 @@ MERGES = 3
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text."""
-    for row, _, data, offsets in tb.text_groups(column):
-        low = tb.lowered(data)
-        starts, ends, first = tb.words(low, offsets, tb.SPACED)
-        h = tb.hash_words(low, starts, ends)
-        runs = tb.hash_windows(h, words)
-        for t in range(len(first) - 1):
-            a, b = int(first[t]), int(first[t + 1])
-            if b - a >= words:
-                yield row + t, np.unique(runs[a : b - words + 1])
-            elif b > a:
-                yield row + t, tb.hash_windows(h[a:b], b - a)
-            else:
-                yield row + t, np.zeros(0, dtype=np.uint64)
+    return linking.shingle_sets(column, words)
 
 
 def least_overlap(n: int) -> int:
@@ -305,54 +289,6 @@ def _found(centre, member, keys, key, doc, place, before) -> pa.RecordBatch:
     )
 
 
-# --- verification
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (a, block), the text of a first: the partners that link with a."""
-    current, own = None, None
-    for batch in batches:
-        a, block, doc, centre = (batch.column(k).to_pylist() for k in range(4))
-        left, right = [], []
-        for row, s in shingle_sets(batch.column(4)):
-            if centre[row]:
-                if (a[row], block[row]) != current:
-                    current, own = (a[row], block[row]), []
-                own.append(s)  # a repeated doc_id has several texts
-                continue
-            if (a[row], block[row]) != current:
-                continue
-            for t in own:
-                union = len(s) + len(t)
-                if 4 * min(len(s), len(t)) < 3 * max(len(s), len(t)):
-                    continue
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if shared and 100 * shared >= 75 * (union - shared):
-                    left.append(a[row])
-                    right.append(doc[row])
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; ``texts``: doc_id, text.
-
-    Partners of one centre are compared in blocks, so its text is moved once per
-    block and a centre with very many partners is spread over tasks.
-    """
-    crowded = settle(pairs.groupBy("a").count().where(F.col("count") > BLOCK).select("a", F.ceil(F.col("count") / BLOCK).alias("_k")))
-    blocked = pairs.join(crowded, "a", "left").select(
-        "a", F.pmod(F.xxhash64("b"), F.coalesce("_k", F.lit(1))).cast("int").alias("block"), "b"
-    )
-    members = blocked.select("a", "block", F.col("b").alias("doc"), F.lit(False).alias("centre")).union(
-        blocked.select("a", "block").distinct().select("a", "block", F.col("a").alias("doc"), F.lit(True).alias("centre"))
-    )
-    # counted: broadcast up to a fixed number of rows, so only wanted texts move; joined by shuffle beyond
-    rows = texts.join(small_side(members), F.col("doc") == F.col("doc_id")).select("a", "block", "doc", "centre", "text")
-    sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("centre"))
-    return sorted_rows.mapInArrow(_check, "a bigint, b bigint")
-
-
 # --- the join
 
 
@@ -384,90 +320,25 @@ def link_components(docs: DataFrame) -> DataFrame:
     )
     limit = boundary(sizes)
 
-    # classes of equal sets: only those with several documents are kept, the rest stand for themselves
-    several = settle(
-        profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    )
-    named = settle(
-        profile.join(several, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    )
-    used = named.where("doc_id IS NOT NULL AND n > 0")
-    other = used.where("doc_id <> rep").select(F.col("doc_id").alias("_doc")).distinct()
-    owner = settle(
-        used.join(other, F.col("doc_id") == F.col("_doc"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("rep").alias("_rep")).distinct()
-    )
-    # a doc_id with several texts binds their classes
-    bonds = settle(
-        owner.groupBy("_doc").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_z")).where("a < _z")
-        .join(owner, "_doc").select("a", F.col("_rep").alias("b"))
-    )
-
+    named, owner, bonds = linking.classes(profile)
     offered = texts.mapInArrow(lambda b: _offer(b, frequent, limit), "key bigint, doc bigint, place bigint, before bigint")
     found = settle(
         offered.repartition("key").sortWithinPartitions("key", "place", "doc")
         .mapInArrow(_stars, "key bigint, a bigint, b bigint, c bigint")
     )
 
-    def named_as(df: DataFrame, column: str) -> DataFrame:
-        joined = df.join(owner, F.col(column) == F.col("_doc"), "left")
-        return joined.withColumn(column, F.coalesce("_rep", column)).drop("_doc", "_rep")
-
-    stars = named_as(named_as(found.where("key IS NULL").select("a", "b", "c"), "a"), "b")
+    pairs, rows = found.where("key IS NULL"), found.where("key IS NOT NULL")
+    stars = named_as(named_as(pairs.select("a", "b", "c"), owner, "a"), owner, "b")
     stars = settle(stars.where("a <> b").groupBy("a", "b").agg(F.sum("c").alias("c")))
-    frequent.unpersist()
-    links, tested = bonds, spark.createDataFrame([], "a bigint, b bigint")
-    roots = settle(components(links, "a", "b"))
-
-    def attempt(pairs: DataFrame) -> bool:
-        """Verify (b, a) picks not tested before and join components; whether there were links."""
-        nonlocal links, tested, roots
-        picks = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(picks)
-        linked = settle(verify(picks, texts))
-        if linked.isEmpty():
-            return False
-        links = links.union(linked)
-        roots = settle(components(links, "a", "b"))
-        return True
-
-    for _ in range(ROUNDS):
-        best = _apart(stars, roots).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        if not attempt(best):
-            break
-        stars = settle(_apart(stars, roots).join(tested, ["a", "b"], "left_anti"))
-    rows = found.where("key IS NOT NULL").select(
-        "key", F.col("a").alias("doc"), F.col("b").alias("place"), F.col("c").alias("before")
-    )
-    live = named_as(rows, "doc")
+    live = named_as(rows.select("key", F.col("a").alias("doc"), F.col("b").alias("place"), F.col("c").alias("before")), owner, "doc")
     live = settle(live.distinct())
-    for turn in range(MERGES):
-        placed, tops = _split_keys(live, roots, turn)
-        live = placed.select("key", "doc", "place", "before")
-        met = placed.where("root <> _top").join(tops.select("key", "_rep"), "key").where(
-            _fits(F.col("key"), F.col("place"), F.col("_rep.place"))
-        )
-        best = (
-            met.groupBy("doc", F.col("_rep.doc").alias("a")).count().groupBy(F.col("doc").alias("b"))
-            .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-        )
-        if not attempt(best):
-            break
-    rest = _across(live, roots).union(_apart(stars.select("a", "b"), roots))
-    attempt(rest)
-    return named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
-        .otherwise(F.col("doc_id")).alias("component_id"),
-    )
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose ends lie in different components."""
-    one = roots.select(F.col("node").alias("_x"), F.col("root").alias("_rx"))
-    two = roots.select(F.col("node").alias("_y"), F.col("root").alias("_ry"))
-    joined = pairs.join(one, F.col("a") == F.col("_x"), "left").join(two, F.col("b") == F.col("_y"), "left")
-    return joined.where(F.coalesce("_rx", "a") != F.coalesce("_ry", "b")).select(*pairs.columns)
+    frequent.unpersist()
+    # texts that share a key with another one: few of all, read by every round
+    shared = stars.select("a").union(stars.select("b")).union(live.select("doc")).distinct().toDF("_doc")
+    near = settle(texts.join(small_side(settle(shared)), F.col("doc_id") == F.col("_doc"), "left_semi"))
+    linker = linking.Linker(near, bonds, WORDS, 75, _fits)
+    left = linker.meet_centres(stars)
+    return linking.with_components(named, linker.finish(live, left))
 
 
 def _fits(key, one, two):
@@ -478,53 +349,27 @@ def _fits(key, one, two):
     return (7 * most >= 3 * (n + m)) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
 
 
-def _split_keys(rows: DataFrame, roots: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows of the keys that several components hold, with ``root`` and the key's largest component ``_top``.
-
-    Also per key one member (document and place) of that component, another one each turn.
-    """
-    placed = settle(
-        rows.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", "place", "before", F.coalesce("root", "doc").alias("root"))
-    )
-    member = F.min_by(F.struct("doc", "place"), F.xxhash64("doc", F.lit(turn)))
-    tops = settle(
-        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"), member.alias("_rep")).groupBy("key")
-        .agg(F.max_by(F.struct("root", "_rep"), F.struct("_n", "root")).alias("_t"), F.count(F.lit(1)).alias("_k"))
-        .where("_k > 1").select("key", F.col("_t.root").alias("_top"), F.col("_t._rep").alias("_rep"))
-    )
-    return settle(placed.join(tops.select("key", "_top"), "key")), tops
-
-
-def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components on one key; ``rows``: key, doc, place (size and position), before.
-
-    Of each key the members outside its largest component meet all others, so a
-    key held by one component costs nothing and a hot component never meets itself.
-    Two members with the same key before this one meet there already: a pair is
-    formed where its common keys begin, so copies do not meet once per key.
-    """
-    placed, _ = _split_keys(rows, roots)
-    outer = placed.where("root <> _top").select("key", "doc", "place", "before", "root")
-    other = placed.select(
-        "key", F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("before").alias("before2"),
-        F.col("root").alias("root2"), "_top",
-    )
-    met = outer.join(other, "key").where(
-        (F.col("root") != F.col("root2"))
-        & ((F.col("root2") == F.col("_top")) | (F.col("doc") < F.col("doc2")))
-        & ((F.col("before") != F.col("before2")) | (F.col("before") == 0))
-        & _fits(F.col("key"), F.col("place"), F.col("place2"))
-    )
-    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest doc_id, with the columns of ``docs``.
 
-    Documents without shingles and rows without doc_id stay; rows that repeat the kept doc_id stay.
+    Rows without doc_id are documents of their own and come after all others;
+    of rows that repeat a kept doc_id one stays; texts without words stay.
     """
-    gone = link_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(settle(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    key, rank, gone_key = (linking.fresh(n, docs.columns) for n in ("row_key", "rank", "gone"))
+    nameless = settle(
+        docs.where("doc_id IS NULL").withColumn(key, F.lit(1 << 62) + F.monotonically_increasing_id())
+    )
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.col("doc_id").cast("bigint")).union(nameless)
+    linked = settle(link_components(keyed.select(F.col(key).alias("doc_id"), "text")))
+    gone = settle(linked.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_key)).distinct())
+    kept = keyed.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    repeated = settle(
+        linked.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone_key))
+    )
+    several = kept.where(F.col("text").rlike(NOT_SPACE)).join(repeated, F.col(key) == F.col(gone_key), "left_semi")
+    first = several.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"), "text")))
+    single = kept.join(repeated, (F.col(key) == F.col(gone_key)) & F.col("text").rlike(NOT_SPACE), "left_anti")
+    return single.select(*docs.columns).union(first.where(F.col(rank) == 1).select(*docs.columns))
 
 
 SQL = r"""

@@ -84,6 +84,36 @@ def test_frequent_shingles_and_hubs(spark):
     assert sorted(map(tuple, jaccard.link_components(df).collect())) == brute(rows)
 
 
+def test_large_group_around_the_threshold(spark):
+    """2,000 near copies of which many pairs just link and many just miss."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        near = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])):
+            near[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    m = np.zeros((len(rows), 1 << 17), dtype=np.float32)
+    number = {}
+    for i, (_, t) in enumerate(rows):
+        for s in shingles(t):
+            m[i, number.setdefault(s, len(number))] = 1
+    m = m[:, : len(number)]
+    shared, size = m @ m.T, m.sum(1)
+    near = 100 * shared >= 75 * (size[:, None] + size[None, :] - shared)
+    label = np.arange(len(rows))
+    while True:
+        less = np.where(near, label[None, :], len(rows)).min(1)
+        if (less == label).all():
+            break
+        label = less
+    assert 10 < len(set(label.tolist())) < 1000
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(df).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_stars_do_not_depend_on_batches():
     rng = np.random.default_rng(4)
     key = np.sort(rng.integers(0, 40, 400)) * 2
@@ -146,4 +176,16 @@ def test_awkward_rows(awkward, nothing):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} >= {(1, 0, 1), (2, 0, 2), (3, 0, 3), (5, 1, 5), (None, 1, None), (6, 1, 6)}
     assert jaccard.link_components(nothing).count() == 0
     kept = jaccard.keep_one(awkward)
-    assert kept.columns == awkward.columns and kept.count() == 8
+    # both texts "one two" without doc_id or with a repeated one are copies of document 5
+    assert kept.columns == awkward.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [1, 2, 3, 4, 5, 6]
+    clashing = awkward.selectExpr("*", "1 AS row_key", "2 AS gone", "3 AS rank", "4 AS _gone", "5 AS _doc")
+    assert jaccard.keep_one(clashing).columns == clashing.columns and jaccard.keep_one(clashing).count() == 6
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a), (None, a), (None, b), (7, b), (7, b), (7, ""), (None, None), (None, "c d"), (9, a + " more")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(9, a + " more"), (7, b), (7, ""), (None, None), (None, "c d")]
+    assert sorted(map(repr, kept)) == sorted(repr(type(kept[0])(doc_id=d, text=t)) for d, t in want)
