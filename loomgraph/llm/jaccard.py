@@ -24,7 +24,7 @@ position bound discards pairs that cannot overlap enough.  Verification computes
 both sets anew from the texts.
 
 The order only steers the work: shingles repeated within a group of a task's
-texts are counted, and up to ``MAX_FREQUENT`` of them (eight-byte hashes, a fixed
+texts are counted, and up to ``linking.MAX_FREQUENT`` of them (eight-byte hashes, a fixed
 bound), the most frequent ones, are broadcast.  Any order gives the same links.
 
 Shingles are 64-bit hashes of the words' bytes.  Equal sets form classes by
@@ -57,7 +57,6 @@ from loomgraph.llm.linking import named_as
 from loomgraph.session import settle
 
 WORDS = 5
-MAX_FREQUENT = 1 << 20
 SCAN_COST = 3.0
 LARGEST_BOUNDARY = 64
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -292,21 +291,6 @@ def _found(centre, member, keys, key, doc, place, before) -> pa.RecordBatch:
 # --- the join
 
 
-def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the most frequent rows (d1, c), at most ``MAX_FREQUENT``."""
-    top = 1 << 12
-    histogram = counted.groupBy(F.least("c", F.lit(top)).alias("c")).count().collect()  # one row per count
-    taken, least = 0, top + 1
-    for c, k in sorted(map(tuple, histogram), reverse=True):
-        if taken + k > MAX_FREQUENT:
-            break
-        taken, least = taken + k, c
-    rows = counted.where(F.col("c") >= least).toArrow()
-    hashes = rows.column("d1").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows.column("c").to_numpy()[order]
-
-
 def link_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -314,7 +298,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     mixed = settle(texts.mapInArrow(_profile, "doc_id bigint, n bigint, d1 bigint, d2 bigint"))
     profile = mixed.where("n IS NOT NULL")
     counted = settle(mixed.where("n IS NULL").groupBy("d1").agg(F.sum("d2").alias("c")))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(counted))
+    frequent = spark.sparkContext.broadcast(linking.frequent_shingles(counted))
     sizes = dict(
         profile.where("n > 0").groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY))).agg(F.count(F.lit(1))).collect()
     )

@@ -35,6 +35,7 @@ from loomgraph.llm.components import components
 from loomgraph.session import settle
 
 BLOCK = 64
+MAX_FREQUENT = 1 << 20
 #: Rounds of step 2, which end earlier when one finds fewer than ``FEW`` links; step 3 does the rest.
 MERGES = 6
 FEW = 16
@@ -79,6 +80,21 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent rows (d1, c), at most ``MAX_FREQUENT``."""
+    top = 1 << 12
+    histogram = counted.groupBy(F.least("c", F.lit(top)).alias("c")).count().collect()  # one row per count
+    taken, least = 0, top + 1
+    for c, k in sorted(map(tuple, histogram), reverse=True):
+        if taken + k > MAX_FREQUENT:
+            break
+        taken, least = taken + k, c
+    rows = counted.where(F.col("c") >= least).toArrow()
+    hashes = rows.column("d1").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows.column("c").to_numpy()[order]
+
+
 # --- classes of equal sets
 
 
@@ -243,8 +259,8 @@ class Linker:
         )
         return settle(placed.join(tops.select("key", "_top"), "key")), tops
 
-    def finish(self, rows: DataFrame, left: DataFrame) -> DataFrame:
-        """Steps 2 and 3 over rows (key, doc, place, before) and left-over pairs; returns (node, root)."""
+    def finish(self, rows: DataFrame, left: DataFrame | None = None) -> DataFrame:
+        """Steps 2 and 3 over rows (key, doc, place, before) and pairs without such rows; returns (node, root)."""
         for turn in range(MERGES):
             placed, tops = self.split_keys(rows, turn)
             rows = placed.select("key", "doc", "place", "before")
@@ -257,7 +273,8 @@ class Linker:
             )
             if self.attempt(best) < FEW:
                 break
-        self.attempt(self.across(rows).union(self.apart(left.select("a", "b"))))
+        rest = self.across(rows)
+        self.attempt(rest if left is None else rest.union(self.apart(left.select("a", "b"))))
         return self.roots
 
     def across(self, rows: DataFrame) -> DataFrame:

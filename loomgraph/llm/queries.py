@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, chat, decontaminate, jaccard, licenses, quality, tokens, toxicity, urls, warc
+from loomgraph.llm import bpe, chat, decontaminate, jaccard, licenses, minhash, quality, tokens, toxicity, urls, warc
 from loomgraph.llm.tables import table
 
 
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.digests(table(spark, folder, "pages"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.kept_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_warc": op10_warc,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -74,4 +79,5 @@ SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op10_warc": warc.SQL,
+    "op13_minhash_near_dedup": minhash.SQL,
 }
