@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, chat, decontaminate, jaccard, licenses, minhash, quality, tokens, toxicity, urls, warc
+from loomgraph.llm import bpe, chat, decontaminate, divergence, jaccard, licenses, minhash, quality, tokens, toxicity, urls, warc
 from loomgraph.llm.tables import table
 
 
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.digests(table(spark, folder, "pages"))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 def op13_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.kept_documents(table(spark, folder, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_warc": op10_warc,
+    "op12_source_divergence": op12_source_divergence,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
@@ -79,5 +84,6 @@ SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op10_warc": warc.SQL,
+    "op12_source_divergence": divergence.SQL,
     "op13_minhash_near_dedup": minhash.SQL,
 }
