@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, chat, decontaminate, divergence, jaccard, licenses, minhash, quality, tokens, toxicity, urls, warc
+from loomgraph.llm import bpe, chat, decontaminate, divergence, jaccard, licenses, minhash, quality, tokens, toxicity, urls, variants, warc
 from loomgraph.llm.tables import table
 
 
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.digests(table(spark, folder, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(table(spark, folder, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_source_divergence": op12_source_divergence,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
@@ -84,6 +89,7 @@ SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op10_warc": warc.SQL,
+    "op11_spelling_variants": variants.SQL,
     "op12_source_divergence": divergence.SQL,
     "op13_minhash_near_dedup": minhash.SQL,
 }
