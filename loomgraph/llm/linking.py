@@ -39,7 +39,7 @@ MAX_FREQUENT = 1 << 20
 #: Rounds of step 2, which end earlier when one finds fewer than ``FEW`` links; step 3 does the rest.
 MERGES = 6
 FEW = 16
-ROWS_PER_TASK = 50_000
+PAIRS_PER_TASK = 1_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -67,9 +67,9 @@ def digests(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64)), int(tb.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64))
 
 
-def stored(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, which has at most ``rows`` rows, written by as many tasks as that takes."""
-    return settle(df.coalesce(max(1, -(-rows // ROWS_PER_TASK))))
+def stored(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df``, made from ``rows`` rows, written by as many tasks as that takes."""
+    return settle(df.coalesce(max(1, -(-rows // per_task))))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -210,7 +210,7 @@ class Linker:
         if not wanted:
             return 0
         self.tested = self.tested.union(picks)
-        linked = stored(verify(picks, self.texts, self.words, self.percent), wanted)
+        linked = stored(verify(picks, self.texts, self.words, self.percent), wanted, PAIRS_PER_TASK)
         found = linked.count()
         if found:
             self._join(linked)
