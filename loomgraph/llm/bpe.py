@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.tables import tidy
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CUT_CHARS = 50_000
 ROWS_OUT = 512
@@ -94,7 +96,7 @@ def encode(
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(
@@ -116,7 +118,7 @@ def decode(
                     [*batch.columns[: len(keep)], pa.array(made, type=pa.binary())], names=schema.names
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -130,12 +132,23 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens`` and whether decoding gives the text back."""
-    coded = encode(docs.drop("ids", "n_tokens", "decoded", "round_trip"))
-    back = decode(coded)
-    return back.select(
-        *coded.columns,
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"),
-    )
+def with_tokens(docs: DataFrame, ranks: str = RANKS, cut_chars: int = CUT_CHARS) -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and whether decoding gives the text back, in one pass."""
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    taken = {f.name for f in made}
+    keep = [c for c in docs.columns if c.lower() not in taken]
+    source = docs.select(*keep, F.col("text").alias("_taken"))
+    schema = T.StructType([*(source.schema[c] for c in keep), *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(first, ROWS_OUT)
+                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+                coded = [encode_text(enc, t, cut_chars) for t in texts]
+                same = [enc.decode_bytes(ids) == t.encode() for ids, t in zip(coded, texts, strict=True)]
+                columns = [pa.array(coded, pa.list_(pa.int32())), pa.array(list(map(len, coded)), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
+
+    return source.mapInArrow(tidy(run), schema)

@@ -24,8 +24,9 @@ time.  Documents are never shuffled.
 Defined cases: null and blank texts have no words and no hits; an item without
 words is ignored; items that share a window are all reported; the windows of an
 item without item_id hit words, but add nothing to ``items``; rows that repeat a
-doc_id are judged row by row; an empty benchmark gives no hits.  Input columns
-with the names of result columns are replaced.
+doc_id are judged row by row; very long texts are scanned whole, in segments; an
+empty benchmark gives no hits; item_id may have any type that sorts.  Input
+columns with the names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm import textbytes as tb
+from loomgraph.llm.tables import tidy
 
 SIZE = 10
 MAX_PATTERNS = 500_000
@@ -50,7 +53,6 @@ _HIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 _RESULT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", T.ArrayType(_HIT)),
-    T.StructField("items", T.ArrayType(T.LongType())),
 ]
 
 
@@ -65,7 +67,7 @@ class PatternClass:
     bytes_at: np.ndarray  # where each pattern's bytes lie in ``text``
     text: bytes
     items_at: np.ndarray
-    items: np.ndarray
+    items: list
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -94,7 +96,7 @@ def build_class(length: int, patterns: dict[bytes, set[int]]) -> PatternClass:
     return PatternClass(
         length, block, shift, whole[order],
         np.cumsum([0, *map(len, ordered)]), b"".join(ordered),
-        np.cumsum([0, *map(len, items)]), np.array([i for x in items for i in x], dtype=np.int64),
+        np.cumsum([0, *map(len, items)]), [i for x in items for i in x],
     )
 
 
@@ -106,7 +108,7 @@ def patterns_of(text: str, size: int) -> list[tuple[int, bytes]]:
     return [(n, b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
 
 
-def pattern_blocks(rows: Iterator[tuple[int | None, str]], size: int, max_patterns: int) -> Iterator[list[PatternClass]]:
+def pattern_blocks(rows: Iterator[tuple[object, str | None]], size: int, max_patterns: int) -> Iterator[list[PatternClass]]:
     """Tables for blocks of at most about ``max_patterns`` patterns (an item is never split)."""
     held: dict[int, dict[bytes, set[int]]] = {}
     count = 0
@@ -185,7 +187,7 @@ def _scan(blocks, column: pa.Array):
                 for f, p in search(cls, low, starts, ends, first):
                     t = int(np.searchsorted(first, f, "right")) - 1
                     spans.setdefault(row + t, []).append((f - int(first[t]), f - int(first[t]) + cls.length))
-                    items.setdefault(row + t, set()).update(cls.items[cls.items_at[p] : cls.items_at[p + 1]].tolist())
+                    items.setdefault(row + t, set()).update(cls.items[cls.items_at[p] : cls.items_at[p + 1]])
         if len(blocks) > 1:
             vars(block).pop("_value", None)  # one block in memory at a time
     if not blocks:
@@ -214,12 +216,13 @@ def find_passages(
 ) -> DataFrame:
     """Columns ``keep`` (all by default) plus n_words, hits (disjoint word spans, end exclusive) and items."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator()
+    rows = benchmark.select("item_id", "text").toLocalIterator()
     blocks = [spark.sparkContext.broadcast(b) for b in pattern_blocks(rows, size, max_patterns)]
-    taken = {f.name for f in _RESULT}
+    result = [*_RESULT, T.StructField("items", T.ArrayType(benchmark.schema["item_id"].dataType))]
+    taken = {f.name for f in result}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     source = docs.select(*keep, F.col(text).alias("_scanned"))
-    schema = T.StructType([source.schema[c] for c in keep] + _RESULT)
+    schema = T.StructType([source.schema[c] for c in keep] + result)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +233,11 @@ def find_passages(
                 *batch.columns[: len(keep)],
                 pa.array(counts),
                 pa.array([_union(spans[i]) if i in spans else [] for i in range(n)], type=hit_type),
-                pa.array([sorted(items[i]) if i in items else [] for i in range(n)], type=pa.list_(pa.int64())),
+                pa.array([sorted(items[i]) if i in items else [] for i in range(n)], type=to_arrow_type(result[-1].dataType)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(tidy(scan), schema)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

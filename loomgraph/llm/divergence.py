@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle
 
 MIN_DOCS = 10
@@ -104,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def levels(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, term, n, lang_n, leads) of the kept terms a group has; ``leads`` on one row per (lang, term)."""
     parts = docs.select(_named("lang"), _named("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counted = parts.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint")
+    counted = parts.mapInArrow(tidy(_count), "lang string, source string, term string, n bigint, docs bigint")
     # dealt once: the window's groups hold the aggregate's
     dealt = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
@@ -282,7 +283,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
         heads.union(entries).repartition("lang", "bucket")
         .sortWithinPartitions("lang", "bucket", F.desc_nulls_first("lang_n"), F.asc_nulls_first("term"), "gid")
         .select("lang", "bucket", "term", "gid", "p")
-        .mapInArrow(_products, "lang string, a bigint, b bigint, value bigint")
+        .mapInArrow(tidy(_products), "lang string, a bigint, b bigint, value bigint")
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     )
     both = sums.union(sums.select("lang", "b", "a", "value"))

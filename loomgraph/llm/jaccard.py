@@ -54,6 +54,7 @@ from loomgraph.functions.plan import small_side
 from loomgraph.llm import linking
 from loomgraph.llm import textbytes as tb
 from loomgraph.llm.linking import named_as
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle
 
 WORDS = 5
@@ -295,7 +296,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    mixed = settle(texts.mapInArrow(_profile, "doc_id bigint, n bigint, d1 bigint, d2 bigint"))
+    mixed = settle(texts.mapInArrow(tidy(_profile), "doc_id bigint, n bigint, d1 bigint, d2 bigint"))
     profile = mixed.where("n IS NOT NULL")
     counted = settle(mixed.where("n IS NULL").groupBy("d1").agg(F.sum("d2").alias("c")))
     frequent = spark.sparkContext.broadcast(linking.frequent_shingles(counted))
@@ -305,10 +306,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     limit = boundary(sizes)
 
     named, owner, bonds = linking.classes(profile)
-    offered = texts.mapInArrow(lambda b: _offer(b, frequent, limit), "key bigint, doc bigint, place bigint, before bigint")
+    offered = texts.mapInArrow(tidy(lambda b: _offer(b, frequent, limit)), "key bigint, doc bigint, place bigint, before bigint")
     found = settle(
         offered.repartition("key").sortWithinPartitions("key", "place", "doc")
-        .mapInArrow(_stars, "key bigint, a bigint, b bigint, c bigint")
+        .mapInArrow(tidy(_stars), "key bigint, a bigint, b bigint, c bigint")
     )
 
     pairs, rows = found.where("key IS NULL"), found.where("key IS NOT NULL")

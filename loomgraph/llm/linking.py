@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.plan import small_side
 from loomgraph.llm import textbytes as tb
 from loomgraph.llm.components import components
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle
 
 BLOCK = 64
@@ -182,7 +183,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     # counted: broadcast up to a fixed number of rows, so only wanted texts move; joined by shuffle beyond
     rows = texts.join(small_side(settle(members)), F.col("doc") == F.col("doc_id")).select("a", "block", "doc", "centre", "text")
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("centre"))
-    return sorted_rows.mapInArrow(lambda b: _check(b, words, percent), "a bigint, b bigint")
+    return sorted_rows.mapInArrow(tidy(lambda b: _check(b, words, percent)), "a bigint, b bigint")
 
 
 # --- components

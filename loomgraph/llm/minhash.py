@@ -51,6 +51,7 @@ from loomgraph.functions.plan import small_side
 from loomgraph.llm import linking
 from loomgraph.llm import textbytes as tb
 from loomgraph.llm.linking import named_as
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle
 
 WORDS = 3
@@ -221,9 +222,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Record
 def first_shingles(near: DataFrame, live: DataFrame) -> DataFrame:
     """The rows of ``_prefixes`` for the documents of ``live`` (_doc)."""
     texts = settle(near.join(small_side(live), F.col("doc_id") == F.col("_doc"), "left_semi"))
-    counted = settle(texts.mapInArrow(_repeated, "d1 bigint, c bigint").groupBy("d1").agg(F.sum("c").alias("c")))
+    counted = settle(texts.mapInArrow(tidy(_repeated), "d1 bigint, c bigint").groupBy("d1").agg(F.sum("c").alias("c")))
     frequent = near.sparkSession.sparkContext.broadcast(linking.frequent_shingles(counted))
-    rows = settle(texts.mapInArrow(lambda b: _prefixes(b, frequent), "key bigint, doc bigint, place bigint, before bigint"))
+    rows = settle(texts.mapInArrow(tidy(lambda b: _prefixes(b, frequent)), "key bigint, doc bigint, place bigint, before bigint"))
     frequent.unpersist()
     return rows
 
@@ -242,12 +243,12 @@ def _fits(key, one, two):
 def link_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    mixed = settle(texts.mapInArrow(_offer, "doc_id bigint, n bigint, d1 bigint, d2 bigint, band boolean"), "band")
+    mixed = settle(texts.mapInArrow(tidy(_offer), "doc_id bigint, n bigint, d1 bigint, d2 bigint, band boolean"), "band")
     named, owner, bonds = linking.classes(mixed.where("NOT band").drop("band"))
     offered = mixed.where("band").select(F.col("d1").alias("key"), F.col("doc_id").alias("doc"), F.col("n").alias("place"), F.col("d2").alias("before"))
     met = settle(
         offered.repartition("key").sortWithinPartitions("key", "place", "doc")
-        .mapInArrow(_shared, "key bigint, doc bigint, place bigint, before bigint, centre bigint")
+        .mapInArrow(tidy(_shared), "key bigint, doc bigint, place bigint, before bigint, centre bigint")
     )
     met = settle(named_as(named_as(met, owner, "doc"), owner, "centre").distinct())
     stars = settle(

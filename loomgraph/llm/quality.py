@@ -15,8 +15,9 @@ Everything is DataFrame expressions; no Python runs on the executors.
 
 Defined cases: a null or blank text has no words and fails the base rule; null
 language or source is a group of its own; rows that repeat a doc_id are judged
-row by row; an empty table gives an empty result.  Columns of the input with
-the name of a result column are replaced.
+row by row; a very long text is read whole, in one task; an empty table gives an
+empty result.  In measures and verdicts columns of the input with
+the name of a result column are replaced; ``keep_good`` keeps whatever columns there are.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ FENCES = (
     Fence("mean_word_centis", 60, low=True),
 )
 MIN_DOCS = 200
+PACKED = 4096
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -69,11 +71,10 @@ def bucket_floor(b: Column) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of ``MEASURES`` and ``n_lines``.
 
-    Repeated three-word windows are found inside the row: each window becomes
-    one long, its hash in the high bits and its position in the low bits, so one
-    primitive sort brings equal windows together.  With n words the hash keeps
-    63 - log2(n) bits, so two different windows of a text meet with a chance
-    below n^3 / 2^63.
+    Repeated three-word windows are found inside the row: a sort by hash brings
+    equal windows together.  Up to ``PACKED`` words a window is one long, its hash
+    in the high 51 bits or more and its position in the low ones, which sorts fast;
+    longer texts sort structs of the whole 64-bit hash and the position.
     """
     clean = F.coalesce(F.col(text), F.lit(""))
     first = docs.drop(*(c for c in docs.columns if c.lower() in {*MEASURES, "n_lines"}))
@@ -94,18 +95,25 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "_bits": F.length(F.bin(F.size("_words").cast("bigint"))),
         }
     ).drop("_words", "_lines")
-    windows = F.expr(
-        """transform(slice(_h, 1, greatest(size(_h) - 2, 0)),
-                     (h, i) -> shiftleft(xxhash64(h, get(_h, i + 1), get(_h, i + 2)), _bits) | cast(i as bigint))"""
-    )
-    staged = staged.withColumn("_w", F.sort_array(windows)).drop("_h")
-    repeated = F.expr(
+    window = "xxhash64(h, get(_h, i + 1), get(_h, i + 2))"
+    over = "transform(slice(_h, 1, greatest(size(_h) - 2, 0)), (h, i) ->"
+    long = F.size("_h") > PACKED
+    staged = staged.withColumns(
+        {
+            "_w": F.when(~long, F.sort_array(F.expr(f"{over} shiftleft({window}, _bits) | cast(i as bigint))"))),
+            "_s": F.when(long, F.sort_array(F.expr(f"{over} struct({window} AS k, cast(i as bigint) AS p))"))),
+        }
+    ).drop("_h")
+    packed = F.expr(
         """sort_array(transform(
              filter(_w, (x, j) -> shiftright(x, _bits) <=> shiftright(get(_w, j - 1), _bits)
                                or shiftright(x, _bits) <=> shiftright(get(_w, j + 1), _bits)),
              x -> x & (shiftleft(1L, _bits) - 1)))"""
     )
-    staged = staged.withColumn("_p", repeated).drop("_w", "_bits")
+    whole = F.expr(
+        "sort_array(transform(filter(_s, (x, j) -> x.k <=> get(_s, j - 1).k or x.k <=> get(_s, j + 1).k), x -> x.p))"
+    )
+    staged = staged.withColumn("_p", F.coalesce(packed, whole)).drop("_w", "_s", "_bits")
     covered = F.expr(
         """aggregate(transform(_p, (p, k) -> coalesce(least(get(_p, k + 1) - p, 3L), 3L)), 0L, (s, x) -> s + x)"""
     )
@@ -226,11 +234,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns."""
-    taken = {*MEASURES, "n_lines", "kept"}
-    own = [c for c in docs.columns if c.lower() in taken]
-    aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
-    kept = judge(settle(with_measures(aside))).where("kept")
-    return kept.drop(*taken).withColumnsRenamed({f"_own_{c}": c for c in own}).select(*docs.columns)
+    aside = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    low = {c.lower(): name for c, name in aside.items()}
+    measured = with_measures(docs.toDF(*aside.values()), text=low["text"])
+    kept = judge(settle(measured), lang=low["lang"], source=low["source"]).where("kept")
+    return kept.select(*(F.col(name).alias(c) for c, name in aside.items()))
 
 
 SQL = r"""

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.tables import tidy
+
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 CACHED = 500_000
 GROUP_CHARS = 1 << 20
@@ -156,4 +158,4 @@ def count(
             counts = pa.array(count_texts(texts, table, known), type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes, counts], names=schema.names)
 
-    return source.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return source.mapInArrow(tidy(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

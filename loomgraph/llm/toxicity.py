@@ -60,10 +60,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.tables import tidy
+
 DECAY, SPAN, FLOOR, POWER = 0.7, 7, 0.4, 3
 LANDMARKS, LOOKALIKES, NEAR = 128, 64, 0.6
 DOCS_PER_CLASS, SENTENCES_PER_DOC = 2000, 100
-WINDOW, WORD_CHARS, CACHED = 32, 32, 400_000
+WINDOW, WORD_CHARS, CACHED = 32, 32, 200_000
 PART, PARTS = 12, ((8, 3), (14, 4))
 CUT = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -585,7 +587,7 @@ def train(
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(cut, f"doc_id {kind}, toxic boolean, sentences array<string>").collect()
+    rows = texts.mapInArrow(tidy(cut), f"doc_id {kind}, toxic boolean, sentences array<string>").collect()
     share = sys.intern  # one object per distinct token
     sample = sorted((r.doc_id, r.toxic, [[share(t) for t in s.split(" ")] for s in r.sentences]) for r in rows)
     del rows
@@ -624,7 +626,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, c
                 [*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=schema.names
             )
 
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return source.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle
 
 LENGTH = 7
@@ -99,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def words(docs: DataFrame) -> DataFrame:
     """(word, n, length)."""
     parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    counted = parts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = parts.mapInArrow(tidy(_count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= LEAST).withColumn("length", F.length("word"))
 
 
@@ -363,8 +364,8 @@ def group_variants(docs: DataFrame) -> DataFrame:
     lengths = dict(found.groupBy("length").agg(F.count(F.lit(1))).collect())  # one row per length
     sample = [r.word for r in found.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
     cells = spark.sparkContext.broadcast(Cells(sample, lengths))
-    placed = found.mapInArrow(lambda b: _place(b, cells), "cell bigint, role int, word string, n bigint")
-    pairs = placed.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(_search, "word string, near string, near_n bigint")
+    placed = found.mapInArrow(tidy(lambda b: _place(b, cells)), "cell bigint, role int, word string, n bigint")
+    pairs = placed.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(tidy(_search), "word string, near string, near_n bigint")
     best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     judged = settle(
         found.join(best, "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= RATIO * F.col("n"), -F.col("best.less")))

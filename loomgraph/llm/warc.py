@@ -43,6 +43,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.tables import tidy
 from loomgraph.session import settle, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
@@ -232,7 +233,7 @@ def normalise(spark, source: str, target: str) -> DataFrame:
                 if rows:
                     yield _index_batch(f"{target}/{name}", rows)
 
-    return settle(files.mapInArrow(run, _INDEX))
+    return settle(files.mapInArrow(tidy(run), _INDEX))
 
 
 def _index_batch(file: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -304,7 +305,7 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
         if opened is not None:
             opened.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, wanted)
+    return index.select("file", "offset", "length").mapInArrow(tidy(run), wanted)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -59,3 +59,10 @@ def test_awkward_rows(spark, awkward, nothing):
     assert dc.digests(nothing, bench).count() == 0
     kept = dc.drop_contaminated(awkward, bench)
     assert kept.columns == awkward.columns and kept.count() == 5
+
+
+def test_items_named_by_text(spark, awkward):
+    benchmark = spark.createDataFrame([("b-2", "one two"), ("a-1", "one two"), (None, "word end")], "item_id string, text string")
+    out = {r.doc_id: r for r in dc.find_passages(awkward, benchmark).collect()}
+    assert out[5]["items"] == ["a-1", "b-2"] and out[4]["items"] == [] and [tuple(h) for h in out[4].hits] == [(59_999, 60_001)]
+    assert dc.digests(awkward, benchmark).where("contaminated").count() == 4

@@ -38,6 +38,8 @@ def test_awkward_rows(awkward, nothing):
     assert by_id[6].word_chars == 100_000
     assert quality.verdicts(nothing).count() == 0
     assert quality.keep_good(awkward).columns == awkward.columns
+    clashing = awkward.selectExpr("*", "1 AS _p", "2 AS _hi_x", "3 AS _lang", "4 AS own_1", "5 AS _words", "6 AS base_failed", "7 AS _w")
+    assert quality.keep_good(clashing).columns == clashing.columns and quality.keep_good(clashing).count() == 0
 
 
 def test_repeats_by_brute_force(spark):
@@ -45,6 +47,7 @@ def test_repeats_by_brute_force(spark):
 
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in range(0, 80)]
+    texts += [" ".join(str(rng.randrange(30)) for _ in range(n)) for n in (4095, 4096, 4097, 9000)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
     got = {r.doc_id: r.n_repeat_words for r in quality.with_measures(docs).collect()}
     for i, t in enumerate(texts):
