@@ -65,7 +65,8 @@ from loomgraph.llm.tables import tidy
 DECAY, SPAN, FLOOR, POWER = 0.7, 7, 0.4, 3
 LANDMARKS, LOOKALIKES, NEAR = 128, 64, 0.6
 DOCS_PER_CLASS, SENTENCES_PER_DOC = 2000, 100
-WINDOW, WORD_CHARS, CACHED = 32, 32, 200_000
+WINDOW, WORD_CHARS, CACHED = 32, 32, 400_000
+CACHED_CHARS = 16_000_000
 PART, PARTS = 12, ((8, 3), (14, 4))
 CUT = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -605,16 +606,19 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, c
         model = shared.value
         known: set[str] = set()
         strong: dict[str, float] = {}
+        held = 0
         for batch in batches:
             column = batch.column(len(keep))
             scores: list[float] = []
             for first in range(0, batch.num_rows, 256):
                 texts = [plain(t) for t in column.slice(first, 256).to_pylist()] if model else []
                 bags = [set(t.split()) for t in texts]
-                if len(known) > CACHED:
+                if len(known) > CACHED or held > CACHED_CHARS:
                     known.clear()
                     strong.clear()
+                    held = 0
                 new = set().union(*bags) - known
+                held += sum(map(len, new))
                 known |= new
                 strong.update(model.token_scores(new) if model else {})
                 for text, bag in zip(texts, bags, strict=True):
