@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.ranking import top_k_per
-from loomgraph.session import cut_lineage, settle
+from loomgraph.session import settle
 from loomgraph.spec import EdgeSpec
 
 CLOSURE_SUFFIX = "_CLOSURE"
@@ -35,31 +35,82 @@ class InverseRule:
     inverse: str
 
 
+def _walks(base: DataFrame, longest: int) -> list[DataFrame]:
+    """Distinct (src, dst) joined by a walk of exactly 1, 2, ... edges; every length is stored."""
+    return [base, *_walks_on(base, base, longest - 1)]
+
+
+def _closing(levels: Sequence[DataFrame], longest: int) -> DataFrame:
+    """(src, dst, hops): pairs joined both ways, by the shortest closed walk through both of at most ``longest`` edges.
+
+    A closed walk is met in the middle: only levels up to half of it are needed.
+    """
+    met = []
+    for hops in range(2, longest + 1):
+        there, back = levels[hops // 2 - 1], levels[hops - hops // 2 - 1]
+        reverse = back.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        met.append(there.join(reverse, ["src", "dst"], "left_semi").withColumn("hops", F.lit(hops).cast("long")))
+    if not met:
+        raise ValueError("a closed walk has at least two edges")
+    return union_all(met)
+
+
+def _repeatable(base: DataFrame, levels: Sequence[DataFrame], max_hops: int) -> DataFrame:
+    """Edges a walk of ``max_hops`` edges can use twice: loops, and those whose end reaches their start soon enough."""
+    again = [base.where("src = dst")]
+    for level in levels[: max(0, max_hops - 2)]:
+        reverse = level.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        again.append(base.join(reverse, ["src", "dst"], "left_semi"))
+    return union_all(again).distinct()
+
+
 def closure(edges: DataFrame, min_hops: int = 2, max_hops: int = 5) -> DataFrame:
     """Distinct (src, dst), src <> dst, joined by a trail of min..max edges.
 
-    A trail never uses an edge twice, so the edges walked so far travel along
-    and a repeated one is refused.
+    A trail never uses an edge twice.  Only an edge on a short cycle can be used
+    twice within ``max_hops`` edges, so these are found first.  Where there are
+    none, walks are trails, and a level is its distinct pairs.  Otherwise a trail
+    carries the edges of short cycles it has used, no others: outside of cycles
+    it still folds to its two ends, and inside trails that used the same edges
+    fold to one.
     """
     if not 1 <= min_hops <= max_hops:
         raise ValueError("need 1 <= min_hops <= max_hops")
-    base = edges.select("src", "dst").distinct()
-    nxt = base.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-    trails = base.withColumn("_walked", F.array(F.struct("src", "dst")))
-    found = [trails.select("src", "dst")] if min_hops == 1 else []
-    for length in range(2, max_hops + 1):
-        edge = F.struct(F.col("dst").alias("src"), F.col("_to").alias("dst"))
-        trails = (
-            trails.join(nxt, "dst")
-            .where(~F.array_contains("_walked", edge))
-            .select("src", F.col("_to").alias("dst"), F.concat("_walked", F.array(edge)).alias("_walked"))
-        )
-        trails = settle(trails)  # the next length starts here instead of computing all earlier ones again
+    base = settle(edges.select("src", "dst").distinct())
+    levels = _walks(base, max(1, max_hops - 2))
+    cyclic = settle(_repeatable(base, levels, max_hops))
+    if cyclic.isEmpty():
+        levels += _walks_on(levels[-1], base, max_hops - len(levels))
+        return union_all(levels[min_hops - 1 : max_hops]).where("src <> dst").distinct()
+    step = settle(
+        base.join(cyclic.withColumn("_again", F.lit(True)), ["src", "dst"], "left")
+        .select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.coalesce("_again", F.lit(False)).alias("_again"))
+    )
+    edge = F.struct(F.col("dst").alias("src"), F.col("_to").alias("dst"))
+    used = F.when(F.col("_again"), F.array_sort(F.concat("_walked", F.array(edge)))).otherwise(F.col("_walked"))
+    nothing = F.array().cast(f"array<struct<src:{base.schema['src'].dataType.simpleString()},dst:{base.schema['dst'].dataType.simpleString()}>>")
+    trails = base.select("src", F.col("src").alias("dst")).distinct().withColumn("_walked", nothing)
+    found = []
+    for length in range(1, max_hops + 1):
+        trails = settle(
+            trails.join(step, "dst").where(~F.col("_again") | ~F.array_contains("_walked", edge))
+            .select("src", F.col("_to").alias("dst"), used.alias("_walked")).distinct()
+        )
         if length >= min_hops:
             found.append(trails.select("src", "dst"))
     return union_all(found).where("src <> dst").distinct()
 
 
+def _walks_on(last: DataFrame, base: DataFrame, more: int) -> list[DataFrame]:
+    """The ``more`` levels after ``last``."""
+    step = base.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
+    levels = []
+    for _ in range(more):
+        last = settle(last.join(step, "dst").select("src", F.col("_to").alias("dst")).distinct())
+        levels.append(last)
+    return levels
+
+
 def infer_closure(g: PropertyGraph, rule: ClosureRule) -> PropertyGraph:
     """Add ``{rel}_CLOSURE`` edges of a relation from a label to itself."""
     spec = g.spec.edge(rule.rel)
@@ -143,19 +194,15 @@ def closure_context(g: PropertyGraph, label: str, anchors: DataFrame, per_type:
 
 
 def cyclic_nodes(edges: DataFrame, max_hops: int = 5) -> DataFrame:
-    """Nodes that reach themselves in 2..max_hops hops; self-loops are ignored.
+    """Nodes that reach themselves in 2..max_hops hops, with the fewest; self-loops are ignored.
 
-    Carries only (start, current) pairs, distinct at each length; starts that
-    have closed are still extended because shorter cycles say nothing about
-    other nodes.
+    A closed walk is met in the middle: its first half leads from the node to
+    where its second half returns from, so pairs are followed over half of
+    ``max_hops`` only.
     """
-    base = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
-    nxt = base.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-    level, hits = base, []
-    for length in range(2, max_hops + 1):
-        level = level.join(nxt, "dst").select("src", F.col("_to").alias("dst")).distinct()
-        hits.append(level.where("src = dst").select("src", F.lit(length).cast("long").alias("hops")))
-    return union_all(hits).groupBy("src").agg(F.min("hops").alias("hops"))
+    base = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    hits = _closing(_walks(base, -(-max_hops // 2)), max_hops)
+    return hits.groupBy("src").agg(F.min("hops").alias("hops"))
 
 
 def type_cycles(g: PropertyGraph, max_hops: int = 5) -> DataFrame:

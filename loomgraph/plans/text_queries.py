@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import strings as st
 from loomgraph.functions import text as tx
 from loomgraph.graph import PropertyGraph, union_all
+from loomgraph.operators import cells
 from loomgraph.operators import chunks as ch
 from loomgraph.operators import hybrid, maintenance, mentions, questions, ranking, setops, vectors
 from loomgraph.plans.registry import checked
@@ -591,6 +592,27 @@ def _v4(w):
     return share.join(wrong).join(asked)  # three frames of one row
 
 
+@checked(
+    "v4_learned_cells",
+    """SELECT true AS recall_reached, 0::BIGINT AS wrong_scores, count(*) AS queries, true AS most_spared FROM documents
+       WHERE doc_id % 100 = 0 AND regexp_matches(text, '[\\p{L}\\p{M}\\p{Nd}_]')""",
+)
+def _v4_cells(w):
+    """Every hundredth document against all, by hashed vectors: recall, exact scores, and whether seven tenths are not met."""
+    rows = vectors.hashed_vectors(w.t("documents").select(F.col("doc_id").alias("item_id"), "text"), ["item_id"], "text")
+    corpus = settle(vectors.nonzero(rows).select("item_id", "embedding"))
+    queries = corpus.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    near, met = cells.CellIndex.build(corpus).calibrate(queries, corpus, 10).search(queries, 10)
+    exact, near = settle(vectors.cosine_topk(queries, corpus, 10)), settle(near)
+    share = vectors.recall(near, exact).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    both = near.join(exact.withColumnRenamed("score", "exact_score"), ["query_id", "item_id"])
+    wrong = both.agg(F.count_if(F.col("score") != F.col("exact_score")).alias("wrong_scores"))
+    asked = met.agg(F.count(F.lit(1)).alias("queries"), F.sum("met").alias("met"))
+    total = corpus.agg(F.count(F.lit(1)).alias("n"))
+    spared = asked.join(total).select("queries", (F.col("met") < 0.3 * F.col("n") * F.col("queries")).alias("most_spared"))
+    return share.join(wrong).join(spared)  # frames of one row
+
+
 @checked(
     "y3_pluggable_embedder",
     """SELECT doc_id, length(text)::DOUBLE AS chars, length(regexp_replace(text, '[^aeiou]', '', 'g'))::DOUBLE AS vowels,

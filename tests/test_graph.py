@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -174,3 +175,72 @@ def test_spec_rules():
         NodeSpec("Bad_Label", "t", "id")
     with pytest.raises(KeyError):
         SPEC.edge("NOPE")
+
+
+def _trails(edges, low, high):
+    """(a, b) joined by low..high distinct edges, by brute force."""
+    out, edges = set(), sorted(set(edges))
+
+    def go(start, at, used):
+        if low <= len(used) <= high and start != at:
+            out.add((start, at))
+        if len(used) < high:
+            for e in edges:
+                if e[0] == at and e not in used:
+                    go(start, e[1], used | {e})
+
+    for node in {e[0] for e in edges}:
+        go(node, node, frozenset())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_closure_follows_trails(spark, seed):
+    rng = random.Random(seed)
+    nodes, count = [(9, 12), (12, 14), (6, 12), (30, 30), (4, 8), (15, 20)][seed]
+    edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)]  # loops and repeats included
+    if seed == 3:
+        edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]  # acyclic
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for low, high in ((2, 5), (1, 3), (2, 2), (1, 1)):
+        assert {tuple(r) for r in inference.closure(df, low, high).collect()} == _trails(edges, low, high)
+
+
+def test_closure_of_hubs_is_linear_in_pairs(spark, monkeypatch):
+    """Two layers that meet in hubs: as many stored rows as distinct pairs, however many trails join them."""
+    edges = [(s, 100 + h) for s in range(20) for h in range(30)] + [(100 + h, 200 + t) for h in range(30) for t in range(20)]
+    edges += [(200 + t, 300) for t in range(20)] + [(300, 301), (301, 302)]
+    rows = []
+    settle = inference.settle
+    monkeypatch.setattr(inference, "settle", lambda df, *k: (lambda out: (rows.append(out.count()), out)[1])(settle(df, *k)))
+    found = inference.closure(spark.createDataFrame(edges, "src long, dst long")).count()
+    assert found == len(_pairs(edges)) and sum(rows) <= 3 * (found + len(edges))
+
+
+def _pairs(edges):
+    step, level, out = {}, {(a, a) for a, _ in edges}, set()
+    for a, b in edges:
+        step.setdefault(a, set()).add(b)
+    for hops in range(1, 6):
+        level = {(a, c) for a, b in level for c in step.get(b, ())}
+        if hops > 1:
+            out |= level
+    return out
+
+
+def test_cycles_by_brute_force(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(40)]
+    step, want = {}, {}
+    for a, b in edges:
+        if a != b:
+            step.setdefault(a, set()).add(b)
+    for a in step:
+        here = {a}
+        for hops in range(1, 6):
+            here = {c for b in here for c in step.get(b, ())}
+            if a in here and hops >= 2:
+                want[a] = hops
+                break
+    got = inference.cyclic_nodes(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r.src: r.hops for r in got} == want

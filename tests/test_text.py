@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.functions.plan import number_rows, running_total
-from loomgraph.operators import chunks, hybrid, mentions, vectors
+from loomgraph.operators import cells, chunks, hybrid, mentions, vectors
 from loomgraph.sources.text import decode_text
 
 
@@ -266,3 +266,44 @@ def test_global_numbering(spark):
 
 def test_sentence_pattern():
     assert re.split(chunks.SENTENCE, "A. B\nC") == ["A.", "B\n", "C"]
+
+
+def _groups(spark, tenants=1):
+    """Vectors in 40 well separated groups, of several tenants."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((40, 16))
+    rows = [(i, [float(x) for x in middle[i % 40] + 0.1 * rng.standard_normal(16)], f"t{i % tenants}") for i in range(2000)]
+    return spark.createDataFrame(rows, "item_id long, embedding array<double>, tenant_id string")
+
+
+def test_learned_cells_on_groups(spark):
+    corpus = _groups(spark)
+    queries = corpus.where("item_id % 50 = 7").withColumnRenamed("item_id", "query_id")
+    index = cells.CellIndex.build(corpus, cells=40).calibrate(queries, corpus, 5)
+    near, met = index.search(queries, 5)
+    exact = vectors.cosine_topk(queries, corpus, 5)
+    assert vectors.recall(near, exact).first()["recall"] >= 0.9
+    assert met.agg(F.sum("met")).first()[0] < 0.1 * 2000 * 40
+    assert near.join(exact.withColumnRenamed("score", "x"), ["query_id", "item_id"]).where("score <> x").count() == 0
+    assert [r["rank"] for r in near.where("query_id = 7").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_learned_cells_keep_tenants_apart(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART", 20)  # crowded cells are cut
+    corpus = _groups(spark, tenants=3)
+    queries = corpus.where("item_id < 30").withColumnRenamed("item_id", "query_id")
+    index = cells.CellIndex.build(corpus, within=["tenant_id"], cells=20).calibrate(queries, corpus, 3, share=1.0)
+    near = index.search(queries, 3)[0].collect()
+    exact = vectors.cosine_topk(queries, corpus, 3, within=["tenant_id"]).collect()
+    assert all(r.query_id % 3 == r.item_id % 3 for r in near)
+    assert len({(r.query_id, r.item_id) for r in near} & {(r.query_id, r.item_id) for r in exact}) >= 0.95 * len(exact)
+
+
+def test_learned_cells_without_items(spark):
+    none = spark.createDataFrame([], "item_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, embedding array<double>")
+    near, met = cells.CellIndex.build(none).search(queries, 3)
+    assert near.count() == 0 and met.count() == 0
+    one = spark.createDataFrame([(9, [0.0, 2.0]), (8, None), (7, [0.0, 0.0])], "item_id long, embedding array<double>")
+    near, _ = cells.CellIndex.build(one).search(queries, 3)
+    assert [tuple(r) for r in near.collect()] == [(1, 9, 0.0, 1)]
