@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -95,3 +96,91 @@ def admit_stream(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 60
         .groupBy(key)
         .applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
     )
+
+
+class _Admission(StatefulProcessor):
+    """Verdicts of one key in the order of event time.
+
+    Hits wait in state until the watermark has passed them, so none that could
+    come before them is still accepted.  There is a timer at the first one that
+    waits; it judges all that the watermark has passed and is set anew.  When
+    nothing waits and a whole window has passed, the key leaves no state.
+    """
+
+    def __init__(self, tie: T.DataType, limit: int, width: int):
+        self.tie, self.limit, self.width = tie, limit, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", self.tie)]))
+        self.accepted = handle.getValueState("accepted", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            us = batch["us"].tolist()
+            self.waiting.appendList(list(zip(us, batch["tie"].tolist(), strict=True)))
+            first = min(us) if first is None else min(first, min(us))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        due = [hit for hit in waiting if hit[0] <= passed]
+        held = deque(self.accepted.get()[0] if self.accepted.exists() else [])
+        verdicts = list(_decide((us for us, _ in due), held, self.limit, self.width))
+        if len(due) < len(waiting):
+            self.waiting.put(waiting[len(due) :])
+            self.handle.registerTimer(-(-waiting[len(due)][0] // 1000))
+        else:
+            self.waiting.clear()
+        while held and held[0] <= passed - self.width:
+            held.popleft()
+        if held:
+            self.accepted.update((list(held),))
+            if len(due) == len(waiting):  # nothing else would come back to clear it
+                self.handle.registerTimer(-(-(held[-1] + self.width) // 1000))
+        else:
+            self.accepted.clear()
+        if due:
+            yield pd.DataFrame({"who": [key[0]] * len(due), "us": [us for us, _ in due], "tie": [t for _, t in due], "accepted": verdicts})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def admit_events(
+    stream: DataFrame, key: str, ts: str, tie: str, limit: int = 60, seconds: int = 60, delay: str = "10 minutes"
+) -> DataFrame:
+    """Verdicts on a stream that do not depend on how it is cut into micro-batches.
+
+    Rows of a key are judged in the order of (ts, tie) as the watermark passes them;
+    rows later than ``delay`` fall to the watermark, rows not yet passed are judged
+    in a later batch.  The verdicts are those of ``admit`` over the same rows.  Per
+    key the state holds the hits of about ``delay`` and the accepted ones of a window,
+    and is dropped after a quiet window.  Needs the RocksDB state store, which is set
+    for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    fields = stream.schema
+    schema = T.StructType(
+        [
+            T.StructField("who", fields[key].dataType), T.StructField("us", T.LongType()),
+            T.StructField("tie", fields[tie].dataType), T.StructField("accepted", T.BooleanType()),
+        ]
+    )
+    # the state API hands on plain names only
+    timed = stream.withWatermark(ts, delay).select(
+        F.col(key).alias("who"), F.col(ts).alias("at"), F.col(tie).alias("tie"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")
+    )
+    judged = timed.groupBy("who").transformWithStateInPandas(
+        _Admission(fields[tie].dataType, limit, seconds * 1_000_000), schema, "append", "EventTime"
+    )
+    return judged.select(
+        F.col("who").alias(key), F.timestamp_micros("us").cast(fields[ts].dataType).alias(ts), F.col("tie").alias(tie), "accepted"
+    )

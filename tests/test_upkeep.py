@@ -195,6 +195,22 @@ def test_rate_limit_stream_keeps_state_between_batches(spark, tmp_path):
     assert {r["tie"]: r["accepted"] for r in out.collect()} == _brute_admit(hits, 3, 60)
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_event_time_verdicts_do_not_depend_on_batches(spark, tmp_path, batches):
+    rnd = random.Random(11)
+    hits = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(4)}", rnd.randrange(0, 3000), i) for i in range(400)]
+    df = spark.createDataFrame(hits, "key string, at long, tie long").select("key", F.timestamp_seconds("at").alias("ts"), "tie", "at")
+    folder = str(tmp_path / "in")
+    number = F.floor((F.col("at") + F.pmod(F.xxhash64("tie"), F.lit(250))) * batches / 3250)
+    for k in range(batches):
+        df.where(number == k).drop("at").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("key string, ts timestamp, tie long").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = windows.run_to_table(ratelimit.admit_events(stream, "key", "ts", "tie", 3, 60, "5 minutes"))
+    passed = max(at for _, at, _ in hits) - 300
+    want = {tie: ok for tie, ok in _brute_admit(hits, 3, 60).items() if hits[tie][1] <= passed}
+    assert {r["tie"]: r["accepted"] for r in out.collect()} == want
+
+
 def test_percentile_interpolates(spark):
     log = spark.createDataFrame(
         [("t", v, False, None) for v in (10, 20, 30, 40)], "tenant_id string, latency_ms long, cached boolean, error string"
