@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.plan import spread
+from loomgraph.functions.plan import sized, spread
 from loomgraph.functions.strings import has_hangul
 from loomgraph.functions.text import html_text, markdown_text, strip
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators import vectors
-from loomgraph.operators.chunks import chunk_documents
+from loomgraph.operators.chunks import chunk_documents, chunk_pages
 from loomgraph.operators.mentions import match_dictionary, mentions
 from loomgraph.operators.ranking import top_k_per
 from loomgraph.operators.traversal import Frontier, hop_lists_from, with_names
@@ -72,30 +72,67 @@ def ingest(
     """Parse, chunk, embed and link documents in one flow, without a loop over documents.
 
     ``documents`` ends with status ``ready`` or ``failed`` and the reason.
-    Vectors are hashed token counts, or those of ``embedder``.
+    Vectors are hashed token counts, or those of ``embedder``.  A column tenant_id
+    of ``docs`` is kept, otherwise all belong to ``tenant``.
     """
     # both stages feed several outputs: each is stored once instead of being parsed again
-    parsed = settle(parse_documents(spread(docs, "doc_id")).drop("content"))
-    good = parsed.where("error IS NULL").select("doc_id", "text")
+    parsed = settle(parse_documents(spread(_owned(docs, tenant), "doc_id")).drop("content"))
+    good = parsed.where("error IS NULL").select("doc_id", "tenant_id", "text")
     pieces = settle(chunk_documents(good, "text", strategy, size, overlap))
+    return _ingested(parsed, pieces, names, embedder)
+
+
+def ingest_pages(
+    docs: DataFrame,
+    pages: DataFrame,
+    names: DataFrame,
+    strategy: str = "recursive",
+    size: int = 1000,
+    overlap: int = 200,
+    tenant: str = DEFAULT_TENANT,
+    embedder: vectors.Embedder | None = None,
+) -> Ingested:
+    """The same for documents whose text comes page by page: chunks carry ``page_num``.
+
+    ``docs``: doc_id, filename; ``pages``: doc_id, page_num, text, extracted
+    already.  Chunks never cross a page; their index runs through the document.
+    A document without a page that has text fails.
+    """
+    owned = _owned(docs, tenant)
+    bodies = pages.select("doc_id", "page_num", "text").join(owned.select("doc_id"), "doc_id", "left_semi")
+    read = bodies.where(F.coalesce(strip(F.col("text")), F.lit("")) != "").select("doc_id").distinct().withColumn("_read", F.lit(True))
+    parsed = settle(
+        owned.join(read, "doc_id", "left").select(
+            "doc_id", "tenant_id", "filename", file_type(F.col("filename")).alias("file_type"),
+            F.when(F.col("_read").isNull(), F.lit("No text content extracted")).alias("error"),
+        )
+    )
+    cut = chunk_pages(bodies, strategy=strategy, size=size, overlap=overlap)
+    pieces = settle(cut.join(sized(parsed.where("error IS NULL").select("doc_id", "tenant_id")), "doc_id"))
+    return _ingested(parsed, pieces, names, embedder)
+
+
+def _owned(docs: DataFrame, tenant: str) -> DataFrame:
+    return docs if "tenant_id" in docs.columns else docs.withColumn("tenant_id", F.lit(tenant))
+
+
+def _ingested(parsed: DataFrame, pieces: DataFrame, names: DataFrame, embedder: vectors.Embedder | None) -> Ingested:
+    """Vectors, document status and mentions of chunked documents."""
     if embedder is None:
         embedded = vectors.hashed_vectors(pieces, ["doc_id", "chunk_index"], "text")
     else:
         embedded = vectors.embed_with(pieces, "text", embedder)
-    chunks = embedded.withColumn("tenant_id", F.lit(tenant)).withColumn(
-        "chunk_id", F.concat_ws(":", "doc_id", "chunk_index")
-    )
+    chunks = embedded.withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
     counts = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     documents = (
-        parsed.select("doc_id", "filename", "file_type", "error")
+        parsed.select("doc_id", "filename", "file_type", "error", "tenant_id")
         .join(counts, "doc_id", "left")
         .withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         .withColumn("error", F.coalesce("error", F.when(F.col("chunk_count") == 0, "No chunks generated")))
         .withColumn("status", F.when(F.col("error").isNull(), "ready").otherwise("failed"))
-        .withColumn("tenant_id", F.lit(tenant))
     )
-    found = mentions(pieces.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"], names)
-    return Ingested(documents, chunks, found.withColumn("tenant_id", F.lit(tenant)))
+    keys = ["doc_id", "chunk_index", "tenant_id"]
+    return Ingested(documents, chunks, mentions(pieces.select(*keys, "text"), keys, names))
 
 
 # ---- retrieval -----------------------------------------------------------------------
@@ -117,7 +154,8 @@ def retrieve(
     asked = questions.select("query_id", "question", "tenant_id")
     # k rows per question: text and file name are looked up for these only
     kept = settle(vectors.above(ranked, minimum).join(asked, "query_id"))
-    texts = chunks.select("chunk_id", "doc_id", "tenant_id", "chunk_index", "text").join(kept, ["chunk_id", "tenant_id"])
+    page = ["page_num"] if "page_num" in chunks.columns else []
+    texts = chunks.select("chunk_id", "doc_id", "tenant_id", "chunk_index", *page, "text").join(kept, ["chunk_id", "tenant_id"])
     ready = documents.where("status = 'ready'").select("doc_id", "tenant_id", "filename")
     return texts.join(ready, ["doc_id", "tenant_id"]).drop("tenant_id")
 
@@ -188,7 +226,7 @@ def graph_context(g: PropertyGraph, entities: DataFrame, neighbours: int = NEIGH
 
 def document_context(hits: DataFrame, limit: int = SOURCES) -> DataFrame:
     """One text per question: numbered passages with source and score."""
-    page = F.col("page_num") if "page_num" in hits.columns else F.lit(None).cast("int")
+    page = _page(hits)
     number = F.col("position").cast("string")
     line = F.concat(
         F.lit("\n--- 문서 "), number, F.lit(" [출처: "), F.coalesce("filename", F.lit("unknown")),
@@ -204,6 +242,10 @@ def document_context(hits: DataFrame, limit: int = SOURCES) -> DataFrame:
     return packed.select("query_id", F.concat_ws("\n", F.lit(DOCUMENT_HEADING), body).alias("document_context"))
 
 
+def _page(hits: DataFrame) -> Column:
+    return F.col("page_num").cast("int") if "page_num" in hits.columns else F.lit(None).cast("int")
+
+
 def citations(hits: DataFrame, limit: int = SOURCES) -> DataFrame:
     return hits.where(F.col("position") <= limit).select(
         "query_id",
@@ -213,6 +255,7 @@ def citations(hits: DataFrame, limit: int = SOURCES) -> DataFrame:
         F.col("text").alias("chunk_text"),
         F.round("score", 3).alias("relevance_score"),
         "chunk_index",
+        _page(hits).alias("page_num"),
     )
 
 

@@ -649,14 +649,25 @@ def _y4(w):
 
 # ---- retrieval --------------------------------------------------------------------------------------
 
-_READY = f"""(SELECT c.doc_id, c.chunk_index, c.doc_id || ':' || c.chunk_index AS chunk_id, c.text,
-  p.filename FROM {_sql_fixed(f"(SELECT * FROM {_PARSED} x WHERE body IS NOT NULL)", 1000, 200)} c JOIN {_PARSED} p USING (doc_id))"""
-_HITS = f"""WITH rc AS MATERIALIZED (SELECT * FROM {_READY} r), cv AS MATERIALIZED (SELECT * FROM {_sql_vectors('rc', 'chunk_id')} v),
-  qv AS MATERIALIZED (SELECT * FROM {_sql_vectors('benchmark', 'item_id')} v),
-  sc AS (SELECT qv.item_id AS query_id, cv.chunk_id, round(sum(qv.v * cv.v), 6) AS score FROM qv JOIN cv USING (bucket) GROUP BY 1, 2),
+# every language has a type here, and there are two tenants: documents by source, questions by number
+_NAMED = "source || '/' || doc_id || CASE lang WHEN 'fr' THEN '.Markdown' WHEN 'de' THEN '.html' ELSE '.txt' END"
+_OWNER = "'t' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 2"
+_BODIES = f"""(SELECT doc_id, {_NAMED} AS filename, {_OWNER} AS tenant, CASE lang WHEN 'fr' THEN {_sql_markdown('text')}
+  WHEN 'de' THEN {_sql_html('text')} ELSE {_sql_strip('text')} END AS body FROM documents)"""
+_READY = f"""(SELECT c.doc_id, c.chunk_index, c.doc_id || ':' || c.chunk_index AS chunk_id, c.text, p.filename, p.tenant,
+  NULL::INTEGER AS page_num FROM {_sql_fixed(f"(SELECT * FROM {_BODIES} x)", 1000, 200)} c JOIN {_BODIES} p USING (doc_id))"""
+_ASKED = "(SELECT item_id AS query_id, text, 't' || item_id % 2 AS tenant FROM benchmark)"
+
+
+def _sql_hits(ready: str, asked: str) -> str:
+    """CTEs up to ``cut``: the reranked hits of every question among its tenant's chunks."""
+    return f"""WITH rc AS MATERIALIZED (SELECT * FROM {ready} r), aq AS MATERIALIZED (SELECT * FROM {asked} a),
+  cv AS MATERIALIZED (SELECT * FROM {_sql_vectors('rc', 'chunk_id')} v JOIN (SELECT chunk_id, tenant FROM rc) o USING (chunk_id)),
+  qv AS MATERIALIZED (SELECT * FROM {_sql_vectors('aq', 'query_id')} v JOIN (SELECT query_id, tenant FROM aq) o USING (query_id)),
+  sc AS (SELECT qv.query_id, cv.chunk_id, round(sum(qv.v * cv.v), 6) AS score FROM qv JOIN cv USING (bucket, tenant) GROUP BY 1, 2),
   tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10),
-  kw AS (SELECT item_id AS query_id, text AS question, {_KEYWORDS.format(x='text')} AS words FROM benchmark),
-  ht AS (SELECT tk.*, rc.doc_id, rc.chunk_index, rc.text, rc.filename, kw.words FROM tk JOIN rc USING (chunk_id)
+  kw AS (SELECT query_id, text AS question, {_KEYWORDS.format(x='text')} AS words FROM aq),
+  ht AS (SELECT tk.*, rc.doc_id, rc.chunk_index, rc.text, rc.filename, rc.page_num, kw.words FROM tk JOIN rc USING (chunk_id)
     JOIN kw USING (query_id) WHERE score >= 0.3),
   rr AS (SELECT *, CASE WHEN len(words) = 0 THEN score ELSE round(score * 0.7 + CAST(len(list_filter(words,
     lambda t: contains(lower(ht.text), t))) AS DOUBLE) / len(words) * 0.3, 4) END AS rerank_score FROM ht),
@@ -664,10 +675,21 @@ _HITS = f"""WITH rc AS MATERIALIZED (SELECT * FROM {_READY} r), cv AS MATERIALIZ
     QUALIFY position <= 5)"""
 
 
+_HITS = _sql_hits(_READY, _ASKED)
+
+
 def _ready(w):
-    """Ready chunks with vectors, their documents, and the passages as questions."""
-    got = _ingested(w)
-    asked = w.t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    """Ready chunks with vectors, their documents, and the passages as questions; two tenants."""
+    lang, number = F.col("lang"), F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long")
+    ext = F.when(lang == "fr", ".Markdown").when(lang == "de", ".html").otherwise(".txt")
+    docs = w.t("documents").select(
+        "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("filename"),
+        F.col("text").alias("content"), F.concat(F.lit("t"), F.coalesce(number, F.lit(0)) % 2).alias("tenant_id"),
+    )
+    got = hybrid.ingest(docs, _passages(w), strategy="fixed")
+    asked = w.t("benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.concat(F.lit("t"), F.col("item_id") % 2).alias("tenant_id")
+    )
     embedded = vectors.hashed_vectors(asked, ["query_id"], "question")
     # both are read twice, by the search and by the lookup of the found chunks
     return settle(got.chunks), settle(got.documents), embedded
@@ -786,12 +808,48 @@ def _v10(w):
 @checked(
     "v11_source_citations",
     f"""{_HITS} SELECT query_id, position, doc_id AS document_id, filename, text AS chunk_text,
-          round(score, 3) AS relevance_score, chunk_index FROM cut""",
+          round(score, 3) AS relevance_score, chunk_index, page_num FROM cut""",
 )
 def _v11(w):
     return hybrid.citations(hybrid.rerank(_hits(w)))
 
 
+# conversations as documents of pages: a turn is a page
+_PAGES = f"""(SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_index) - 1 AS INT) AS chunk_index,
+    conv_id || ':' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_index) - 1) AS chunk_id, c.text,
+    'talk/' || conv_id || '.pdf' AS filename, '_default_' AS tenant, CAST(turn + 1 AS INTEGER) AS page_num
+  FROM {_sql_fixed("(SELECT conv_id || '/' || turn AS page_key, text AS body FROM conversations)", 200, 40, "page_key")} c
+  JOIN (SELECT conv_id, turn, conv_id || '/' || turn AS page_key FROM conversations) t USING (page_key))"""
+_OPENINGS = "(SELECT conv_id AS query_id, text, '_default_' AS tenant FROM conversations WHERE turn = 0 AND conv_id % 10 = 0)"
+_PAGED = _sql_hits(_PAGES, _OPENINGS)
+_PAGED_TEXT = _DOCUMENT_TEXT.replace("filename || ',", "filename || ', p.' || page_num || ',")
+
+
+def _paged_hits(w):
+    """What every tenth conversation opens with, searched in the turns of all."""
+    turns = w.t("conversations")
+    docs = turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("talk/"), "conv_id", F.lit(".pdf")).alias("filename")).distinct()
+    pages = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_num"), "text")
+    got = hybrid.ingest_pages(docs, pages, _passages(w), "fixed", 200, 40)
+    asked = turns.where("turn = 0 AND conv_id % 10 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    embedded = vectors.hashed_vectors(asked, ["query_id"], "question")
+    return hybrid.rerank(hybrid.retrieve(embedded, settle(got.chunks), settle(got.documents)))
+
+
+@checked("v10_paged_context", f"{_PAGED} SELECT query_id, {_PAGED_TEXT} AS document_context FROM cut GROUP BY 1")
+def _v10_paged(w):
+    return hybrid.document_context(_paged_hits(w))
+
+
+@checked(
+    "v11_paged_citations",
+    f"""{_PAGED} SELECT query_id, position, doc_id AS document_id, filename, text AS chunk_text,
+          round(score, 3) AS relevance_score, chunk_index, page_num FROM cut""",
+)
+def _v11_paged(w):
+    return hybrid.citations(_paged_hits(w))
+
+
 @checked(
     "v12_hybrid_retrieval",
     f"""{_CONTEXT}, gc AS (SELECT query_id, '[그래프 컨텍스트]' || chr(10) || string_agg(line, chr(10)
