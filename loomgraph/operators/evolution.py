@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, build_edges, build_nodes, union_all
-from loomgraph.spec import GraphSpec
+from loomgraph.spec import EdgeSpec, GraphSpec, NodeSpec
 
 
 def diff_rows(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,39 +192,96 @@ def dangling_references(diff: DataFrame, target_types: DataFrame) -> DataFrame:
     return union_all(frames)
 
 
+def _digest(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def node_fingerprints(spec: NodeSpec, types: Mapping[str, str]) -> tuple[str, str]:
+    """(identity, content) of a label: which nodes there are, and what they hold.
+
+    ``types``: the type of ``id`` and of every property.
+    """
+    identity = [spec.table, spec.key, types.get("id")]
+    content = [identity, dict(spec.props), list(spec.merge_order), spec.unique, spec.name_template, spec.named, {p: types.get(p) for p in spec.props}]
+    return _digest(identity), _digest(content)
+
+
+def edge_fingerprint(spec: EdgeSpec, types: Mapping[str, str]) -> str:
+    return _digest(
+        [spec.table, spec.source_key, spec.target_key, dict(spec.props), list(spec.merge_order), spec.unique,
+         {p: types.get(p) for p in ("src", "dst", *spec.props)}]
+    )
+
+
+def _source_types(table: DataFrame, columns: Mapping[str, str]) -> dict[str, str]:
+    """Types the columns have in the source, by the names they get."""
+    return {name: table.schema[column].dataType.simpleString() for name, column in columns.items()}
+
+
+def migration_plan(base: PropertyGraph, target_spec: GraphSpec, tables: Mapping[str, DataFrame]) -> dict[str, list]:
+    """The types of each step, found by fingerprints.
+
+    Types of columns count: those of the stored frames against those the source
+    tables have now.  An edge type also has to be rebuilt (``edges_dependent``)
+    when the nodes of an end are chosen anew, and goes when the target has no such
+    label, so no edge is left without its ends.
+    """
+    labels = {n.label: n for n in target_spec.nodes}
+    old_edges = {e.key: e for e in base.spec.edges if e.key in base.edge_keys}
+    new_edges = {e.key: e for e in target_spec.edges if e.source in labels and e.target in labels}
+    before, now = {}, {}
+    for n in base.spec.nodes:
+        if n.label in labels and n.label in base.labels:
+            before[n.label] = node_fingerprints(n, dict(base.nodes(n.label).dtypes))
+    for label, n in labels.items():
+        types = _source_types(tables[n.table], {"id": n.key, **n.props})
+        if "name" in types and not n.named:
+            types["name"] = "string"  # as the build makes it
+        now[label] = node_fingerprints(n, types)
+    moved = {label for label in before if before[label][0] != now[label][0]}
+    gone_or_new = (set(now) - set(before)) | ({n.label for n in base.spec.nodes} - set(now))
+    modified, dependent = [], []
+    for key, e in new_edges.items():
+        if key not in old_edges:
+            continue
+        types = _source_types(tables[e.table], {"src": e.source_key, "dst": e.target_key, **e.props})
+        if edge_fingerprint(old_edges[key], dict(base.edges(*key).dtypes)) != edge_fingerprint(e, types):
+            modified.append(key)
+        elif {e.source, e.target} & (moved | gone_or_new):
+            dependent.append(key)
+    return {
+        "edges_removed": [k for k in old_edges if k not in new_edges],
+        "nodes_removed": [n.label for n in base.spec.nodes if n.label not in labels],
+        "nodes_modified": [label for label in labels if label in before and before[label] != now[label]],
+        "nodes_added": [label for label in labels if label not in before],
+        "edges_added": [k for k in new_edges if k not in old_edges],
+        "edges_modified": modified,
+        "edges_dependent": dependent,
+    }
+
+
 def migrate(
     base: PropertyGraph, target_spec: GraphSpec, tables: Mapping[str, DataFrame], dry_run: bool = False
 ) -> tuple[PropertyGraph, dict[str, list]]:
     """Bring a stored graph to ``target_spec``, rebuilding only what changed.
 
-    Untouched types keep their frames.  Changed property lists are rebuilt from
-    the source table, so added properties are filled and removed ones dropped.
-    The second result names the types of each step; ``migration_counts`` counts.
+    Untouched types keep their frames.  What changed by its fingerprint is rebuilt
+    from the source table, with the edge types that depend on it.  The second
+    result names the types of each step; ``migration_counts`` counts.
     """
-    old_nodes = {n.label: n for n in base.spec.nodes}
-    new_nodes = {n.label: n for n in target_spec.nodes}
-    old_edges = {e.key: e for e in base.spec.edges}
-    new_edges = {e.key: e for e in target_spec.edges}
-    plan = {
-        "edges_removed": [k for k in old_edges if k not in new_edges],
-        "nodes_removed": [l for l in old_nodes if l not in new_nodes],
-        "nodes_modified": [l for l in new_nodes if l in old_nodes and dict(new_nodes[l].props) != dict(old_nodes[l].props)],
-        "nodes_added": [l for l in new_nodes if l not in old_nodes],
-        "edges_added": [k for k in new_edges if k not in old_edges],
-        "edges_modified": [k for k in new_edges if k in old_edges and dict(new_edges[k].props) != dict(old_edges[k].props)],
-    }
+    plan = migration_plan(base, target_spec, tables)
     if dry_run or not any(plan.values()):
         return base, plan
     rebuilt = set(plan["nodes_added"]) | set(plan["nodes_modified"])
     nodes = {
-        l: build_nodes(n, tables[n.table]) if l in rebuilt else base.nodes(l) for l, n in new_nodes.items()
+        n.label: build_nodes(n, tables[n.table]) if n.label in rebuilt else base.nodes(n.label) for n in target_spec.nodes
     }
-    remade = set(plan["edges_added"]) | set(plan["edges_modified"])
+    remade = set(plan["edges_added"]) | set(plan["edges_modified"]) | set(plan["edges_dependent"])
+    kept = tuple(e for e in target_spec.edges if e.source in nodes and e.target in nodes)
     edges = {
-        k: build_edges(e, tables[e.table], target_spec, tables) if k in remade else base.edges(*k)
-        for k, e in new_edges.items()
+        e.key: build_edges(e, tables[e.table], target_spec, tables) if e.key in remade else base.edges(*e.key) for e in kept
     }
-    return PropertyGraph(target_spec, nodes, edges), plan
+    return PropertyGraph(GraphSpec(target_spec.nodes, kept), nodes, edges), plan
 
 
 def migration_counts(base: PropertyGraph, migrated: PropertyGraph, plan: Mapping[str, list]) -> DataFrame:
@@ -244,6 +303,8 @@ def migration_counts(base: PropertyGraph, migrated: PropertyGraph, plan: Mapping
         tag("nodes_modified", migrated.nodes(label))
     for key in plan["edges_modified"]:
         tag("relationships_modified", migrated.edges(*key))
+    for key in plan.get("edges_dependent", ()):
+        tag("relationships_rebuilt", migrated.edges(*key))
     return union_all(frames).groupBy("step").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -667,15 +667,15 @@ def _n4(w):
     return anchored.supplier_impact(w.graph, F.col("name") == SUPPLIER_A)
 
 
-@checked(
-    "n5_supplier_alternatives",
-    f"""WITH c AS (SELECT DISTINCT p_brand FROM {q.SUPPLIED} e JOIN supplier ON s_suppkey = dst
-          JOIN part ON p_partkey = src WHERE s_name = '{SUPPLIER_A}'),
-        x AS (SELECT p_brand AS category, s_name, p_name FROM {q.SUPPLIED} e JOIN supplier ON s_suppkey = dst
-          JOIN part ON p_partkey = src WHERE s_name <> '{SUPPLIER_A}' AND p_brand IN (SELECT p_brand FROM c))
-        SELECT DISTINCT '{SUPPLIER_A}' AS supplier, category, 'alternative_supplier' AS kind, s_name AS item FROM x
-        UNION ALL SELECT DISTINCT '{SUPPLIER_A}', category, 'alternative_product', p_name FROM x""",
-)
+_ALTERNATIVES = f"""WITH c AS (SELECT DISTINCT p_brand FROM {q.SUPPLIED} e JOIN supplier ON s_suppkey = dst
+    JOIN part ON p_partkey = src WHERE s_name = '{SUPPLIER_A}'),
+  x AS (SELECT p_brand AS category, s_name, p_name FROM {q.SUPPLIED} e JOIN supplier ON s_suppkey = dst
+    JOIN part ON p_partkey = src WHERE s_name <> '{SUPPLIER_A}' AND p_brand IN (SELECT p_brand FROM c))
+  SELECT DISTINCT '{SUPPLIER_A}' AS supplier, category, 'alternative_supplier' AS kind, s_name AS item FROM x
+  UNION ALL SELECT DISTINCT '{SUPPLIER_A}', category, 'alternative_product', p_name FROM x"""
+
+
+@checked("n5_supplier_alternatives", _ALTERNATIVES)
 def _n5(w):
     return anchored.supplier_alternatives(w.graph, F.col("name") == SUPPLIER_A)
 
@@ -705,14 +705,18 @@ def _n6(w):
         UNION ALL SELECT DISTINCT 'supplier_dependency', s_name FROM {q.SUPPLIED} p
           JOIN supplier ON s_suppkey = dst
         UNION ALL SELECT DISTINCT 'supplier_impact', p_name FROM {q.SUPPLIED} p JOIN supplier ON s_suppkey = dst
-          JOIN part ON p_partkey = src WHERE s_name = '{SUPPLIER_A}'""",
+          JOIN part ON p_partkey = src WHERE s_name = '{SUPPLIER_A}'
+        UNION ALL SELECT 'supplier_alternatives', item FROM ({_ALTERNATIVES})""",
 )
 def _n7(w):
     pack = anchored.intent_pack(w.graph, "what_if", SUPPLIER_A)
     key = {"customer_segments": "customer", "category_distribution": "category", "supplier_dependency": "supplier"}
     frames = [pack[k].select(F.lit(k).alias("query"), F.col(c).alias("item")) for k, c in key.items()]
     impact = pack["supplier_impact"].where("kind = 'product'")
-    return union_all([*frames, impact.select(F.lit("supplier_impact").alias("query"), "item")])
+    others = pack["supplier_alternatives"]
+    return union_all(
+        [*frames, *(df.select(F.lit(k).alias("query"), "item") for k, df in (("supplier_impact", impact), ("supplier_alternatives", others)))]
+    )
 
 
 @checked(

@@ -145,6 +145,52 @@ def test_migration_backfills(spark):
     assert evolution.migrate(migrated, target, data)[0] is migrated
 
 
+def _change(spec, **changed):
+    """The spec with node or edge types replaced by name."""
+    nodes = tuple(replace(n, **changed.get(n.label, {})) for n in spec.nodes)
+    return GraphSpec(nodes, tuple(replace(e, **changed.get(e.name, {})) for e in spec.edges))
+
+
+def test_migration_finds_every_kind_of_change(spark):
+    data = tables(spark)
+    spec = _spec({"name": "name"}, PLACED)
+    base = PropertyGraph.build(spec, data)
+
+    def steps(target, tables=data):
+        return {k: v for k, v in evolution.migrate(base, target, tables, dry_run=True)[1].items() if v}
+
+    key = PLACED.key
+    assert steps(spec) == {}
+    assert steps(_change(spec, Customer={"props": {}})) == {"nodes_modified": ["Customer"]}
+    assert steps(_change(spec, Customer={"name_template": "<{id}>"})) == {"nodes_modified": ["Customer"]}
+    assert steps(_change(spec, Order={"merge_order": ("total",)})) == {"nodes_modified": ["Order"]}
+    assert steps(_change(spec, Order={"props": {"status": "status", "total": "total"}})) == {"nodes_modified": ["Order"]}
+    assert steps(_change(spec, PLACED={"props": {"status": "status"}})) == {"edges_modified": [key]}
+    assert steps(_change(spec, PLACED={"source_key": "coupon_id"})) == {"edges_modified": [key]}
+    # the nodes themselves change: edges depend on them
+    assert steps(_change(spec, Order={"key": "customer_id"})) == {"nodes_modified": ["Order"], "edges_dependent": [key]}
+    wider = {**data, "orders": data["orders"].withColumn("status", F.lit(1))}
+    assert steps(spec, wider) == {"nodes_modified": ["Order"]}
+    other = {**data, "customers": data["customers"].withColumn("id", F.col("id").cast("int"))}
+    assert steps(spec, other) == {"nodes_modified": ["Customer"], "edges_dependent": [key]}
+
+
+def test_migration_leaves_no_edge_without_ends(spark):
+    data = tables(spark)
+    spec = _spec({"name": "name"}, PLACED)
+    base = PropertyGraph.build(spec, data)
+    without = GraphSpec(spec.nodes[:1], spec.edges)  # the edge type is still listed
+    migrated, plan = evolution.migrate(base, without, data)
+    assert plan["edges_removed"] == [PLACED.key] and migrated.edge_keys == []
+    fewer = {**data, "customers": data["customers"].where("id < 3").withColumn("id", F.col("id").cast("int"))}
+    migrated, plan = evolution.migrate(base, spec, fewer)
+    assert plan["edges_dependent"] == [PLACED.key]
+    assert rows_of(migrated.edges("PLACED"), "src", "dst") == [(1, 10), (1, 11), (2, 12)]
+    counted = evolution.migration_counts(base, migrated, plan)
+    assert rows_of(counted, "step", "cnt") == [("nodes_modified", 2), ("relationships_rebuilt", 3)]
+    assert evolution.migrate(migrated, spec, fewer)[0] is migrated
+
+
 def test_answer_scoring(spark):
     golden = spark.createDataFrame(
         [("1", "traverse", ["Pen", "ink"], ["Ann"]), ("2", "unsupported", [], []), ("3", "traverse", ["x"], [])],
