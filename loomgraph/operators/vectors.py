@@ -177,6 +177,7 @@ def _query_blocks(usable: DataFrame, key: str, vector: str) -> Iterator[tuple[li
 
 
 SLICE = 1024
+HELD = 500_000
 
 
 def _block_topk(block: tuple, items: DataFrame, k: int, key_field: T.StructField, item_key: str, vector: str) -> DataFrame:
@@ -189,7 +190,21 @@ def _block_topk(block: tuple, items: DataFrame, k: int, key_field: T.StructField
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, tags, unit = shared.value
         tags = np.array(tags, dtype=object)
-        best = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
+        one_tag = len(set(tags)) == 1
+        # the k-th best score of each query so far: whatever lies below cannot enter
+        floor = np.full(len(names), -np.inf)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Query number, score and key of the k best of each query, ties by key."""
+            q, s, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((np.unique(key, return_inverse=True)[1], -s, q))
+            q, s, key = q[order], s[order], key[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            np.maximum.at(floor, q[place == k - 1], s[place == k - 1])
+            return q[place < k], s[place < k], key[place < k]
+
         for batch in batches:
             for first in range(0, len(batch), SLICE):
                 part = batch.iloc[first : first + SLICE]
@@ -198,24 +213,22 @@ def _block_topk(block: tuple, items: DataFrame, k: int, key_field: T.StructField
                 alive = lengths > 0
                 if not alive.any():
                     continue
-                keys = part[item_key].to_numpy()[alive]
+                keys = part[item_key].to_numpy()[alive].astype(object)
                 scores = np.round(unit @ (matrix[alive] / lengths[alive, None]).T, SCORE_DIGITS)
                 own = part["_tag"].to_numpy()[alive]
-                scores[tags[:, None] != own[None, :]] = -np.inf
-                for q, row in enumerate(scores):
-                    if len(row) > k:  # everything that ties with the k-th stays in
-                        floor = np.partition(row, -k)[-k]
-                        near = np.flatnonzero(row >= floor)
-                    else:
-                        near = np.arange(len(row))
-                    near = near[np.isfinite(row[near])]
-                    s = np.concatenate([best[q][0], row[near]])
-                    i = np.concatenate([best[q][1], keys[near].astype(object)])
-                    order = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k]
-                    best[q] = (s[order], i[order])
-        for q, (s, i) in enumerate(best):
-            if len(s):
-                yield pd.DataFrame({key_field.name: [names[q]] * len(s), item_key: list(i), "score": s})
+                if not one_tag or (own != tags[0]).any():
+                    scores[tags[:, None] != own[None, :]] = -np.inf
+                if len(keys) >= k:
+                    floor = np.maximum(floor, np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k])
+                q, i = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                held.append((q, scores[q, i], keys[i]))
+                size += len(q)
+                if size > HELD:
+                    held = [best()]
+                    size = len(held[0][0])
+        if size:
+            q, s, key = best()
+            yield pd.DataFrame({key_field.name: [names[x] for x in q], item_key: list(key), "score": s})
 
     return items.mapInPandas(search, schema)
 
