@@ -260,15 +260,21 @@ def spellings(token: str) -> list[str]:
 
 def token_values(kern: LandmarkKernel, tokens: Iterable[str]) -> dict[str, np.ndarray]:
     """Kernel values of raw tokens; of several spellings the one nearest to a telling landmark counts."""
-    by_token = {}
+    by_token, simple = {}, {}
     for t in tokens:
+        word = t.strip(_EDGE)
+        n = len(word)
+        if n <= PART and word.isalpha() and not _RUN.search(word) and (n < 5 or 3 * len(set(word)) > 2 * n + 3):
+            simple[t] = word  # the only form and spelling
+            continue
         own = forms(t)
         if own[0] not in kern.as_written:
             more = spellings(t)
             if len(more) > 1 or more[0] not in own:
                 own = list(dict.fromkeys(own + more))
         by_token[t] = own
-    values = kern.values(list({f for fs in by_token.values() for f in fs}))
+    values = kern.values(list({f for fs in by_token.values() for f in fs}.union(simple.values())))
+    by_token |= {t: [word] for t, word in simple.items() if word in values}
 
     def nearness(v: np.ndarray) -> tuple[float, float]:
         return float(v[: kern.telling].max(initial=0.0)), float(v.max())
@@ -315,7 +321,8 @@ class Model:
         """Largest sentence score; ``scores`` holds the tokens that have one."""
         if not scores:
             return self.bias
-        best = max((sum(scores.get(t, 0.0) for t in set(s)) for s in sentences(text)), default=0.0)
+        known = scores.keys()
+        best = max((sum(scores[t] for t in known & set(s)) for s in sentences(text)), default=0.0)
         return self.bias + best
 
     def probability(self, raw: float) -> float:
