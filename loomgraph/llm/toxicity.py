@@ -126,6 +126,7 @@ class LandmarkKernel:
     slots: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
+    bound: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         chars = sorted({ord(c) for z in self.landmarks for c in z})
@@ -148,9 +149,10 @@ class LandmarkKernel:
             self.slots[code] = row
         self.weights = np.array([*rows, np.zeros(len(self.landmarks))], dtype=np.float32)
         self.most = self.weights.max(axis=1)
+        self.bound = self.most[self.slots]  # by code: one lookup for the words that fall under the floor
 
     def _local(self, chars: np.ndarray) -> np.ndarray:
-        table = np.zeros(0x110000, dtype=np.int64)
+        table = np.zeros(0x110000, dtype=np.int32 if len(self.slots) < 1 << 31 else np.int64)
         table[list(self.ids)] = list(self.ids.values())
         self._local = lambda c: table[c]  # built once per process
         return table[chars]
@@ -173,18 +175,19 @@ class LandmarkKernel:
         for n, group in by_length.items():
             idx, weight = _combos(n)
             least = math.sqrt(float((weight**2).sum()))
+            light = weight.astype(np.float32)[None, :]
             for first in range(0, len(group), 1000):
                 some = group[first : first + 1000]
                 chars = _points(some)
                 local = self._local(chars)
-                slots = self.slots[(local[:, idx[:, 0]] * size + local[:, idx[:, 1]]) * size + local[:, idx[:, 2]]]
-                near = np.flatnonzero(self.most[slots] @ weight.astype(np.float32) >= FLOOR * least * 0.999)
+                code = (local[:, idx[:, 0]] * size + local[:, idx[:, 1]]) * size + local[:, idx[:, 2]]
+                near = np.flatnonzero(self.bound[code] @ light[0] >= FLOOR * least * 0.999)
                 if not near.size:
                     continue
                 norm = norms(chars[near])
                 for part in range(0, len(near), 64):
                     rows = near[part : part + 64]
-                    shared = np.einsum("wcm,c->wm", self.weights[slots[rows]], weight.astype(np.float32))
+                    shared = (light @ self.weights[self.slots[code[rows]]])[:, 0]
                     value = shared / norm[part : part + 64, None]
                     value = np.where(value >= FLOOR, value, 0.0) ** POWER
                     for r in np.flatnonzero(value.any(axis=1)):
