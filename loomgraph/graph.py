@@ -161,6 +161,16 @@ class PropertyGraph:
     def edge_keys(self) -> list[tuple[str, str, str]]:
         return list(self._edges)
 
+    @property
+    def tables(self) -> Mapping[str, DataFrame] | None:
+        """The tables the graph was built from; None for a stored one."""
+        return self._tables
+
+    def is_bound(self, key: str | tuple[str, str, str]) -> bool:
+        """True if a label or edge key is built from its table, not given as a frame."""
+        kind = self._nodes if isinstance(key, str) else self._edges
+        return self._tables is not None and not isinstance(kind[key], DataFrame)
+
     def nodes(self, label: str) -> DataFrame:
         return self._frame(self._nodes, label)
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from loomgraph.functions.exact import avg_2dp, avg_whole, cents
 from loomgraph.functions.plan import running_total, small_side
 from loomgraph.graph import PropertyGraph, union_all
+from loomgraph.operators.counting import element_counts
 from loomgraph.operators.patterns import anchor_ids, out, walk
 from loomgraph.operators.ranking import top_k
 from loomgraph.session import settle
@@ -380,13 +381,10 @@ def co_purchase(g: PropertyGraph, limit: int = 10) -> DataFrame:
 
 def graph_stats(g: PropertyGraph) -> DataFrame:
     """Counts by label and by edge type, and both totals, in one job."""
-    rows = [
-        g.nodes(label).select(F.lit("node").alias("kind"), F.lit(label).alias("name")) for label in g.labels
-    ] + [g.edges(*key).select(F.lit("edge").alias("kind"), F.lit(key[0]).alias("name")) for key in g.edge_keys]
     return (
-        union_all(rows)
+        element_counts(g)
         .rollup("kind", "name")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.sum("n").alias("cnt"))
         .where(F.col("kind").isNotNull())
         .select("kind", F.coalesce("name", F.lit("(total)")).alias("name"), "cnt")
     )

@@ -7,37 +7,23 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.graph import PropertyGraph, project_edges, union_all
+from loomgraph.graph import PropertyGraph, union_all
+from loomgraph.operators.counting import element_counts
 from loomgraph.session import settle
 from loomgraph.spec import GraphSpec
 
 
 def load_report(spec: GraphSpec, tables: Mapping[str, DataFrame], g: PropertyGraph) -> DataFrame:
-    """Rows offered and elements stored per type, and the totals, in one job.
+    """Rows offered and elements stored per type, with one scan of each table and one of its keys.
 
     ``offered`` counts source rows (for edges: rows with both endpoints set),
     ``stored`` counts what the upsert keeps.
     """
-    rows = []
-
-    def tag(df: DataFrame, kind: str, name: str, measure: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(measure).alias("measure"))
-
-    for n in spec.nodes:
-        if n.label in g.labels:
-            rows += [tag(tables[n.table], "node", n.label, "offered"), tag(g.nodes(n.label), "node", n.label, "stored")]
-    for e in spec.edges:
-        if e.key in g.edge_keys:
-            rows += [
-                tag(project_edges(e, tables[e.table]), "edge", e.name, "offered"),
-                tag(g.edges(*e.key), "edge", e.name, "stored"),
-            ]
-    # counting per measure keeps the union free of any data column
-    counted = union_all(rows).groupBy("kind", "name", "measure").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("kind", "name").agg(
-        F.coalesce(F.sum(F.when(F.col("measure") == "offered", F.col("n"))), F.lit(0)).alias("offered"),
-        F.coalesce(F.sum(F.when(F.col("measure") == "stored", F.col("n"))), F.lit(0)).alias("stored"),
-    )
+    counted = element_counts(g, tables, offered=True)
+    sums = [
+        F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what) for what in ("offered", "stored")
+    ]
+    return counted.groupBy("kind", "name").agg(*sums)
 
 
 def delete_documents(
