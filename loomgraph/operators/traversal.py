@@ -331,34 +331,60 @@ def shortest_path(
 ) -> DataFrame:
     """One shortest undirected path as node ids; the smallest id sequence on ties.
 
-    Breadth-first, level by level.  Each level keeps one path per newly reached
-    node: the smallest prefix stays smallest when extended by equal steps.
-    Levels are stored as tables; the frontier never visits the driver.
+    Breadth-first from both ends: the smaller frontier is expanded, level by
+    level, until the two meet.  Levels are stored as tables and hold nodes, not
+    paths.  Going back from the meeting nodes leaves the nodes that lie on a
+    shortest path; the smallest one of each step is the path, one row a step.
     """
     if not 1 <= max_depth <= MAX_PATH_DEPTH:
         raise ValueError("max_depth must be between 1 and 10")
-    goal = start_at(g, to_label, to_condition).rows
-    start = start_at(g, from_label, from_condition)
-    level = Frontier(start.rows.withColumn("path", F.array(composite())), start.labels).settled()
-    visited = [level.rows.select("label", "key")]
-    found = level.rows.join(goal, ["label", "key"], "left_semi")
-    for _ in range(max_depth):
-        if not level.labels or (to_label in level.labels and not found.isEmpty()):
+    ahead = [start_at(g, from_label, from_condition).settled()]
+    back = [start_at(g, to_label, to_condition).settled()]
+    common = _common(ahead[-1], back[-1])
+    while common is None and len(ahead) + len(back) - 2 < max_depth:
+        if not ahead[-1].labels or not back[-1].labels:
             break
-        nxt = expand(g, level, ("path",))
-        fresh = (
-            nxt.rows.withColumn("path", F.concat("path", F.array(composite())))
-            .groupBy("label", "key")
-            .agg(F.min("path").alias("path"))
-        )
-        for seen in visited:
-            fresh = fresh.join(seen, ["label", "key"], "left_anti")
-        level = Frontier(fresh.select("label", "key", "path"), nxt.labels).settled()
-        visited.append(level.rows.select("label", "key"))
-        found = level.rows.join(goal, ["label", "key"], "left_semi")
-    return top_k(found, 1, F.size("path").asc(), F.asc("path")).select(
-        "path", (F.size("path") - 1).cast("long").alias("hops")
-    )
+        side = ahead if ahead[-1].rows.count() <= back[-1].rows.count() else back
+        nodes = expand(g, side[-1])
+        fresh = nodes.rows.select("label", "key").distinct()
+        for seen in side:
+            fresh = fresh.join(seen.rows, ["label", "key"], "left_anti")
+        side.append(Frontier(fresh, nodes.labels).settled())
+        common = _common(ahead[-1], back[-1])
+    path: list[str] = []
+    if common is not None:
+        steps = [common]
+        for level in reversed(ahead[:-1]):
+            steps.insert(0, _common(level, _around(g, steps[0])))
+        at, path = _smallest(steps[0])
+        for level in [*steps[1:], *reversed(back[:-1])]:
+            at, found = _smallest(Frontier(_around(g, at).rows.join(level.rows, ["label", "key"], "left_semi"), level.labels))
+            path += found
+    rows = [(path, len(path) - 1)] if path else []
+    return g.nodes(from_label).sparkSession.createDataFrame(rows, "path array<string>, hops long")
+
+
+def _around(g: PropertyGraph, nodes: Frontier) -> Frontier:
+    """The neighbours of ``nodes``, without where they were reached from."""
+    reached = expand(g, nodes)
+    return Frontier(reached.rows.select("label", "key"), reached.labels)
+
+
+def _common(level: Frontier, other: Frontier) -> Frontier | None:
+    """The nodes of ``level`` that are also in ``other``, stored; None if there are none."""
+    labels = level.labels & other.labels
+    if not labels:
+        return None
+    both = Frontier(level.rows.join(other.rows, ["label", "key"], "left_semi"), labels).settled()
+    return both if both.labels else None
+
+
+def _smallest(nodes: Frontier) -> tuple[Frontier, list[str]]:
+    """The node of smallest id as a frontier of one row, and that id."""
+    rows = nodes.rows.select("label", "key", composite().alias("id"))
+    first = top_k(rows, 1, F.asc("id")).first()
+    one = nodes.rows.sparkSession.createDataFrame([(first["label"], first["key"])], "label string, key string")
+    return Frontier(one, frozenset([first["label"]])), [first["id"]]
 
 
 def path_names(g: PropertyGraph, paths: DataFrame) -> DataFrame:

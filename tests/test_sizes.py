@@ -1,9 +1,11 @@
 """What keeps tasks, the driver and the shuffle bounded: results stay, plans change with size."""
 
+import random
 
 from pyspark.sql import functions as F
 
 from loomgraph.operators import mentions
+from loomgraph.operators import traversal as tr
 from tests.shop import graph
 
 
@@ -18,3 +20,46 @@ def test_large_dictionary_is_never_broadcast(spark):
     rows, steps = final_plan(mentions.match_dictionary(texts, ["id"], "text", names, max_rows=5))
     assert len(rows) == 90
     assert "BroadcastHashJoin" not in steps
+
+
+def test_shortest_path_carries_nodes_only(spark, monkeypatch):
+    carried, expand = [], tr.expand
+
+    def watched(g, frontier, carry=()):
+        carried.append(carry)
+        return expand(g, frontier, carry)
+
+    monkeypatch.setattr(tr, "expand", watched)
+    g = graph(spark)
+    found = tr.shortest_path(g, "Customer", F.col("name") == "Ann", "Supplier", F.col("name") == "South").collect()
+    assert found == [(["Customer_1", "Order_11", "Part_102", "Supplier_8"], 3)]
+    assert not any(carried)
+    assert tr.shortest_path(g, "Customer", F.col("name") == "nobody", "Supplier", F.col("name") == "South").count() == 0
+    own = tr.shortest_path(g, "Customer", F.col("id") == 1, "Customer", F.col("name") == "Ann").first()
+    assert (own["path"], own["hops"]) == (["Customer_1"], 0)
+
+
+def test_smallest_of_equal_paths(spark):
+    from loomgraph import EdgeSpec, GraphSpec, NodeSpec, PropertyGraph
+
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(26)})
+    tables = {
+        "n": spark.createDataFrame([(i,) for i in range(14)], "id long"),
+        "e": spark.createDataFrame(pairs, "a long, b long"),
+    }
+    g = PropertyGraph.build(GraphSpec((NodeSpec("N", "n", "id"),), (EdgeSpec("TO", "N", "N", "e", "a", "b"),)), tables)
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(14)}
+
+    def brute(start, goal, depth):
+        paths = [[f"N_{start}"]]
+        for _ in range(depth + 1):
+            done = [p for p in paths if p[-1] == f"N_{goal}"]
+            if done or not paths:
+                return min(done, default=None)
+            paths = [[*p, f"N_{b}"] for p in paths for b in near[int(p[-1][2:])] if f"N_{b}" not in p]
+        return None
+
+    for start, goal in [(0, 9), (3, 11), (12, 1)]:
+        got = tr.shortest_path(g, "N", F.col("id") == start, "N", F.col("id") == goal, 4).first()
+        assert (got and got["path"]) == brute(start, goal, 4)
