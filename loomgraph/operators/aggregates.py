@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions.exact import avg_2dp, avg_whole, cents
-from loomgraph.functions.plan import running_total, small_side
+from loomgraph.functions.plan import dealt, running_total, small_side
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.counting import element_counts
 from loomgraph.operators.patterns import anchor_ids, out, walk
@@ -59,8 +59,25 @@ def sources_per_far_value(
         values = values.where(keep)
     # middle node -> far value: dimension-sized, folded before it meets the edges
     mid = g.edges(rel2).join(small_side(values), "dst").select(F.col("src").alias("mid"), "category").distinct()
-    pairs = g.edges(rel1).select("src", F.col("dst").alias("mid")).join(mid, "mid").select("src", "category")
-    return pairs.distinct().groupBy("category").agg(F.count(F.lit(1)).alias(count_name))
+    pairs = _sources_of_values(g, rel1, mid)
+    return pairs.groupBy("category").agg(F.count(F.lit(1)).alias(count_name))
+
+
+def _sources_of_values(g: PropertyGraph, rel: str, mid: DataFrame) -> DataFrame:
+    """Distinct (src, category) of an edge type whose targets have a category in ``mid``.
+
+    The raw rows are dealt by source, folded there and only then looked up: one
+    shuffle, in tasks of bounded rows.
+    """
+    spec = g.spec.edge(rel)
+    rows, unchecked = g.links(rel)
+    if "dst" in unchecked:
+        mid = mid.join(g.nodes(spec.target).select(F.col("id").alias("mid")), "mid", "left_semi")
+    rows = rows.select("src", F.col("dst").alias("mid")).join(mid, "mid")
+    pairs = dealt(rows.select("src", "category"), g.source_rows(rel), "src").distinct()
+    if "src" in unchecked:
+        pairs = pairs.join(g.nodes(spec.source).select(F.col("id").alias("src")), "src", "left_semi")
+    return pairs
 
 
 def top_far_values(g: PropertyGraph, rel1: str, rel2: str, prop: str, limit: int) -> DataFrame:
@@ -212,7 +229,7 @@ def category_distribution(g: PropertyGraph) -> DataFrame:
     named = prop_of(g, "Brand", "name", "brand", "category")
     mid = mid.join(named, "brand").select("part", "category")
     orders = (
-        pairs.join(mid, "part").select("order", "category").distinct()
+        _sources_of_values(g, "CONTAINS", mid.withColumnRenamed("part", "mid"))
         .groupBy("category").agg(F.count(F.lit(1)).alias("order_count"))
     )
     products = (
@@ -455,12 +472,14 @@ def degrees(g: PropertyGraph) -> DataFrame:
     for key in g.edge_keys:
         _, source, target = key
         for column, label in (("src", source), ("dst", target)):
-            per_id = g.edges(*key).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+            rows = dealt(g.edges(*key).select(column), g.source_rows(*key), column)
+            per_id = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
             frames.append(
                 per_id.select(F.concat(F.lit(f"{label}_"), F.col(column).cast("string")).alias("id"), "n")
             )
     zero = g.vertices().select("id", F.lit(0).cast("long").alias("n"))
-    return union_all([*frames, zero]).groupBy("id").agg(F.sum("n").alias("degree"))
+    every = dealt(union_all([*frames, zero]), sum(g.node_rows(label) for label in g.labels), "id")
+    return every.groupBy("id").agg(F.sum("n").alias("degree"))
 
 
 def hub(g: PropertyGraph) -> DataFrame:

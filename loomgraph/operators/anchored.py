@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.exact import cents
-from loomgraph.functions.plan import number_rows, small_side
+from loomgraph.functions.plan import dealt, number_rows, small_side
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators import aggregates as agg
 from loomgraph.operators.aggregates import prop_of
@@ -37,10 +37,13 @@ def _customer_parts(g: PropertyGraph, condition: Column) -> DataFrame:
     who = small_side(_anchors(g, "Customer", condition, "src", "customer"))
     placed, _ = g.links("PLACED")  # one row per order
     orders = placed.join(who, "src").select(F.col("src").alias("customer_id"), "customer", F.col("dst").alias("order"))
+    few = small_side(orders)
     rows, unchecked = g.links("CONTAINS")
     contains = rows.select(F.col("src").alias("order"), F.col("dst").alias("part"))
     # anchored first, merged after: the fold sees only the anchors' rows
-    found = contains.join(small_side(orders), "order").distinct()
+    if few is orders:  # not known to be few: every order's rows meet in tasks of bounded rows
+        contains = dealt(contains, g.source_rows("CONTAINS"), "order")
+    found = contains.join(few, "order").distinct()
     if "dst" in unchecked:
         found = found.join(g.nodes(unchecked["dst"]).select(F.col("id").alias("part")), "part", "left_semi")
     return found

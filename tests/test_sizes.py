@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import mentions
+from loomgraph.functions import plan
+from loomgraph.operators import aggregates as agg
+from loomgraph.operators import anchored, mentions
 from loomgraph.operators import traversal as tr
 from tests.shop import graph
 
@@ -63,3 +66,28 @@ def test_smallest_of_equal_paths(spark):
     for start, goal in [(0, 9), (3, 11), (12, 1)]:
         got = tr.shortest_path(g, "N", F.col("id") == start, "N", F.col("id") == goal, 4).first()
         assert (got and got["path"]) == brute(start, goal, 4)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        lambda g: agg.sources_per_far_value(g, "CONTAINS", "BELONGS_TO", "name"),
+        lambda g: agg.category_distribution(g),
+        lambda g: agg.degrees(g),
+        lambda g: anchored.customer_orders(g, F.lit(True)),
+    ],
+    ids=["far_value", "distribution", "degrees", "customer_orders"],
+)
+def test_tasks_grow_with_rows(spark, monkeypatch, query):
+    want, small = final_plan(query(graph(spark)))
+    assert "REPARTITION_BY_NUM" not in small
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(plan, "TASK_ROWS", 1)
+    monkeypatch.setattr(anchored, "small_side", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, steps = final_plan(query(graph(spark)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == want
+    assert "REPARTITION_BY_NUM" in steps
