@@ -239,6 +239,9 @@ def category_distribution(g: PropertyGraph) -> DataFrame:
     return orders.join(products, "category")
 
 
+HEAD_BLOCK = 64
+
+
 def supplier_dependency(g: PropertyGraph) -> DataFrame:
     """Products, orders and revenue behind each supplier.
 
@@ -254,12 +257,18 @@ def supplier_dependency(g: PropertyGraph) -> DataFrame:
         .join(suppliers.join(heads, "supplier").select("dst", "head"), "dst")
         .select(F.col("src").alias("part"), "head")
     )
+    supply = dealt(supply, g.source_rows("SUPPLIED_BY"), "part")
     amounts = g.nodes("Order").select(F.col("id").alias("order"), cents("total_amount").alias("c"))
     contains = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
-    # the amount travels with the row: one shuffle on (supplier, order), none after it
+    # rows meet by order, each with its part's suppliers in arrays of at most HEAD_BLOCK; only there are these unfolded
+    slot = F.pmod(F.xxhash64("head"), F.ceil(F.col("k") / HEAD_BLOCK))
+    counted = supply.join(supply.groupBy("part").agg(F.count(F.lit(1)).alias("k")), "part")
+    packed = counted.groupBy("part", slot.alias("slot")).agg(F.sort_array(F.collect_list("head")).alias("heads"))
+    lines = contains.join(packed, "part").select("order", "heads")
+    lines = dealt(lines, HEAD_BLOCK // 2 * g.source_rows("CONTAINS"), "order").join(amounts, "order")
     per_order = (
-        contains.join(amounts, "order").join(supply, "part")
-        .groupBy("head", "order").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
+        lines.select("order", "c", F.explode("heads").alias("head"))
+        .groupBy("order", "head").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
     )
     sums = per_order.groupBy("head").agg(
         F.count(F.lit(1)).alias("orders"),

@@ -74,15 +74,17 @@ def test_smallest_of_equal_paths(spark):
         lambda g: agg.sources_per_far_value(g, "CONTAINS", "BELONGS_TO", "name"),
         lambda g: agg.category_distribution(g),
         lambda g: agg.degrees(g),
+        lambda g: agg.supplier_dependency(g),
         lambda g: anchored.customer_orders(g, F.lit(True)),
     ],
-    ids=["far_value", "distribution", "degrees", "customer_orders"],
+    ids=["far_value", "distribution", "degrees", "dependency", "customer_orders"],
 )
 def test_tasks_grow_with_rows(spark, monkeypatch, query):
     want, small = final_plan(query(graph(spark)))
     assert "REPARTITION_BY_NUM" not in small
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(plan, "TASK_ROWS", 1)
+    monkeypatch.setattr(agg, "HEAD_BLOCK", 2)
     monkeypatch.setattr(anchored, "small_side", lambda df: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
