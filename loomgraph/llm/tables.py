@@ -1,34 +1,11 @@
-"""Input tables of the operators, and what their tasks leave behind."""
+"""Input tables of the operators; ``tidy`` gives back what their tasks leave behind."""
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.session import tidy as tidy
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` that gives memory back at the end of a task.
-
-    Python workers live on between tasks and stages; what Arrow and the allocator
-    keep of one stage would otherwise add up beside the next one's.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from work(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
-
-    return run

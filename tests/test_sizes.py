@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import plan
 from loomgraph.operators import aggregates as agg
-from loomgraph.operators import anchored, mentions
+from loomgraph.operators import anchored, chunks, mentions
 from loomgraph.operators import traversal as tr
 from tests.shop import graph
 
@@ -93,3 +93,25 @@ def test_tasks_grow_with_rows(spark, monkeypatch, query):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == want
     assert "REPARTITION_BY_NUM" in steps
+
+
+@pytest.mark.parametrize("size, overlap", [(25, 5), (7, 0), (10, 9)])
+def test_long_texts_are_cut_in_blocks(spark, monkeypatch, size, overlap):
+    monkeypatch.setattr(chunks, "BLOCK_WINDOWS", 3)
+    stride = size - overlap
+    bodies = {n: "".join(chr(97 + i % 26) for i in range(n)) for n in {1, size, size + 1, 3 * stride, 3 * stride + overlap, 3 * stride + overlap + 1, 400}}
+    df = spark.createDataFrame(list(bodies.items()), "id long, text string")
+    want = {(n, *c, len(c[3])) for n, body in bodies.items() for c in chunks.split_text(body, "fixed", size, overlap)}
+    assert {tuple(r) for r in chunks.fixed_chunks(df, "text", size, overlap).collect()} == {
+        (n, i, s, e, t, k) for n, i, s, e, t, k in want
+    }
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "recursive"])
+def test_chunks_leave_python_in_pieces(spark, monkeypatch, strategy):
+    monkeypatch.setattr(chunks, "PIECE_CHARS", 40)
+    texts = [(i, "x", f"One is {i}. Two is more.\n\nThree ends here. " * i) for i in range(6)] + [(9, None, None)]
+    df = spark.createDataFrame(texts, "id long, tag string, text string")
+    got = chunks.chunk_documents(df, strategy=strategy, size=60, overlap=20)
+    want = [(i, tag, *c, len(c[3])) for i, tag, t in texts for c in chunks.split_text(t, strategy, 60, 20)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
