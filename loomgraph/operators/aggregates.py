@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions.exact import avg_2dp, avg_whole, cents
-from loomgraph.functions.plan import dealt, running_total, small_side
+from loomgraph.functions.plan import auto_broadcast_bytes, counted_side, dealt, estimated_bytes, running_total, sized, small_side
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.counting import element_counts
 from loomgraph.operators.patterns import anchor_ids, out, walk
@@ -57,29 +57,54 @@ def sources_per_far_value(
     values = prop_of(g, far, prop, "dst", "category")
     if keep is not None:
         values = values.where(keep)
-    # middle node -> far value: dimension-sized, folded before it meets the edges
-    mid = g.edges(rel2).join(small_side(values), "dst").select(F.col("src").alias("mid"), "category").distinct()
-    pairs = _sources_of_values(g, rel1, mid)
+    pairs = _sources_of_values(g, rel1, _values_of_middles(g, rel1, rel2, values))
     return pairs.groupBy("category").agg(F.count(F.lit(1)).alias(count_name))
 
 
+def _values_of_middles(g: PropertyGraph, rel1: str, rel2: str, values: DataFrame) -> DataFrame:
+    """Distinct (mid, category): targets of ``rel1`` and the ``values`` (dst, category) they lead to by ``rel2``.
+
+    Folded in tasks of bounded rows before it meets the edges, and stored, so
+    that join is planned on its true size.
+    """
+    rows = g.edges(rel2).join(counted_side(values), "dst").select(F.col("src").alias("mid"), "category")
+    mid = dealt(rows, g.source_rows(rel2), "mid").distinct()
+    _, unchecked = g.links(rel1)
+    if "dst" in unchecked:
+        mid = mid.join(g.nodes(g.spec.edge(rel1).target).select(F.col("id").alias("mid")), "mid", "left_semi")
+    return sized(mid)
+
+
 def _sources_of_values(g: PropertyGraph, rel: str, mid: DataFrame) -> DataFrame:
     """Distinct (src, category) of an edge type whose targets have a category in ``mid``.
 
     The raw rows are dealt by source, folded there and only then looked up: one
-    shuffle, in tasks of bounded rows.
+    shuffle, in tasks of bounded rows.  A ``mid`` too large for a broadcast
+    takes one more, by target.
     """
     spec = g.spec.edge(rel)
     rows, unchecked = g.links(rel)
-    if "dst" in unchecked:
-        mid = mid.join(g.nodes(spec.target).select(F.col("id").alias("mid")), "mid", "left_semi")
-    rows = rows.select("src", F.col("dst").alias("mid")).join(mid, "mid")
+    rows = rows.select("src", F.col("dst").alias("mid"))
+    if estimated_bytes(mid) > auto_broadcast_bytes(mid):
+        rows = dealt(rows, g.source_rows(rel), "mid")
+    rows = rows.join(mid, "mid")
     pairs = dealt(rows.select("src", "category"), g.source_rows(rel), "src").distinct()
     if "src" in unchecked:
         pairs = pairs.join(g.nodes(spec.source).select(F.col("id").alias("src")), "src", "left_semi")
     return pairs
 
 
+def _targets(g: PropertyGraph, rel: str) -> DataFrame:
+    """Distinct targets of an edge type's rows whose source exists; that the targets exist is not checked."""
+    spec = g.spec.edge(rel)
+    rows, unchecked = g.links(rel)
+    rows = rows.select("src", "dst")
+    if "src" in unchecked:
+        # not a semi join: that would be carried out before the rows are dealt
+        rows = dealt(rows, g.source_rows(rel), "src").join(g.nodes(spec.source).select(F.col("id").alias("src")), "src")
+    return rows.select("dst").distinct()
+
+
 def top_far_values(g: PropertyGraph, rel1: str, rel2: str, prop: str, limit: int) -> DataFrame:
     return top_k(sources_per_far_value(g, rel1, rel2, prop), limit, F.desc("order_count"), F.asc("category"))
 
@@ -224,18 +249,10 @@ def category_distribution(g: PropertyGraph) -> DataFrame:
     Each distinct count is its own two-step aggregate; joining the two small
     results avoids expanding every row once per distinct column.
     """
-    mid = g.edges("BELONGS_TO").select(F.col("src").alias("part"), F.col("dst").alias("brand"))
-    pairs = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
-    named = prop_of(g, "Brand", "name", "brand", "category")
-    mid = mid.join(named, "brand").select("part", "category")
-    orders = (
-        _sources_of_values(g, "CONTAINS", mid.withColumnRenamed("part", "mid"))
-        .groupBy("category").agg(F.count(F.lit(1)).alias("order_count"))
-    )
-    products = (
-        mid.distinct().join(pairs.select("part").distinct(), "part", "left_semi")
-        .groupBy("category").agg(F.count(F.lit(1)).alias("product_count"))
-    )
+    mid = _values_of_middles(g, "CONTAINS", "BELONGS_TO", prop_of(g, "Brand", "name", "dst", "category"))
+    orders = _sources_of_values(g, "CONTAINS", mid).groupBy("category").agg(F.count(F.lit(1)).alias("order_count"))
+    parts = _targets(g, "CONTAINS").withColumnRenamed("dst", "mid")
+    products = mid.join(parts, "mid", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("product_count"))
     return orders.join(products, "category")
 
 

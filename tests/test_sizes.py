@@ -95,6 +95,28 @@ def test_tasks_grow_with_rows(spark, monkeypatch, query):
     assert "REPARTITION_BY_NUM" in steps
 
 
+def test_values_of_middles_are_folded_in_many_tasks(spark, monkeypatch):
+    g = graph(spark)
+    monkeypatch.setattr(agg, "sized", lambda df: df)
+    mid = agg._values_of_middles(g, "CONTAINS", "BELONGS_TO", agg.prop_of(g, "Brand", "name", "dst", "category"))
+    # whatever the estimates say, the few values travel, not the many rows that lead to them
+    assert "rightHint=(strategy=broadcast)" in mid._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(plan, "TASK_ROWS", 1)
+    numbers = spark.range(100).withColumnRenamed("id", "src")
+    assert plan.dealt(numbers, 100, "src").rdd.getNumPartitions() == 100
+    # never fewer tasks than a join would deal the rows over once more
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = spark.sparkContext.defaultParallelism + 1
+    spark.conf.set("spark.sql.shuffle.partitions", few + 5)
+    try:
+        assert plan.dealt(numbers, few, "src").rdd.getNumPartitions() == few + 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    # the sources are looked up in the dealt rows, not before
+    steps = agg._targets(g, "CONTAINS")._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.index("Join") < steps.index("RepartitionByExpression")
+
+
 @pytest.mark.parametrize("size, overlap", [(25, 5), (7, 0), (10, 9)])
 def test_long_texts_are_cut_in_blocks(spark, monkeypatch, size, overlap):
     monkeypatch.setattr(chunks, "BLOCK_WINDOWS", 3)
