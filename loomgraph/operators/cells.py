@@ -36,12 +36,13 @@ from pyspark.sql import types as T
 from loomgraph.functions.plan import small_side
 from loomgraph.operators.ranking import top_k_per
 from loomgraph.operators.vectors import SCORE_DIGITS, cosine_topk, nonzero, norm
-from loomgraph.session import settle
+from loomgraph.session import settle, tidy
 
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 64
 PART = 4096
 PROBES = 256
+HELD = 1 << 21  # scores a task computes at once
 
 
 def cells_for(items: int) -> int:
@@ -49,6 +50,13 @@ def cells_for(items: int) -> int:
     return max(1, min(MAX_CELLS, round(4 * items**0.5)))
 
 
+def _slices(rows: int, width: int) -> Iterator[tuple[int, int]]:
+    """Stretches (first, length) of ``rows`` that with ``width`` scores each stay within ``HELD``."""
+    step = max(1, HELD // max(1, width))
+    for first in range(0, rows, step):
+        yield first, min(step, rows - first)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors, one per row."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -94,21 +102,21 @@ class CellIndex:
         )
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                points = _matrix(batch.column(1))
-                cell = (points @ shared.value.T).argmax(axis=1)
-                offset = points - shared.value[cell]
-                scale = np.abs(offset).max(axis=1) / 127
-                code = np.round(offset / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), pa.array(cell.astype(np.int32)), batch.column(0), pa.array(scale),
-                     pa.array([row.tobytes() for row in code], pa.binary())],
-                    names=schema.names,
-                )
-
-        placed = settle(items.mapInArrow(place, schema))
+            for whole in batches:
+                for first, length in _slices(whole.num_rows, len(shared.value)):
+                    batch = whole.slice(first, length)
+                    points = _matrix(batch.column(1))
+                    cell = (points @ shared.value.T).argmax(axis=1)
+                    offset = points - shared.value[cell]
+                    scale = np.abs(offset).max(axis=1) / 127
+                    code = np.round(offset / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(2), pa.array(cell.astype(np.int32)), batch.column(0), pa.array(scale),
+                         pa.array([row.tobytes() for row in code], pa.binary())],
+                        names=schema.names,
+                    )
+
+        placed = settle(items.mapInArrow(tidy(place), schema))
         sizes = placed.groupBy("_tag", "_cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
         part = F.pmod(F.xxhash64(item_key), F.col("_parts")).cast("int")
         parted = placed.join(small_side(settle(sizes)), ["_tag", "_cell"]).withColumn("_part", part)
@@ -123,11 +131,12 @@ class CellIndex:
         @F.pandas_udf(cells)
         def order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                if not len(batch):
-                    yield pd.Series([], dtype=object)
-                    continue
-                points = np.array(batch.tolist(), dtype=np.float64)
-                yield pd.Series(list(np.argsort(-(points @ shared.value.T), axis=1, kind="stable")[:, :visits].astype(np.int32)))
+                nearest = []
+                for first, length in _slices(len(batch), len(shared.value)):
+                    points = np.array(batch.iloc[first : first + length].tolist(), dtype=np.float64)
+                    ranked = np.argsort(-(points @ shared.value.T), axis=1, kind="stable")
+                    nearest.extend(ranked[:, :visits].astype(np.int32))
+                yield pd.Series(nearest, dtype=object)
 
         asked = nonzero(queries, self.vector).select(query_key, self.vector, _tag(self.within).alias("_tag"))
         return asked.select(query_key, self.vector, "_tag", F.posexplode(order(self.vector)).alias("_near", "_cell"))
@@ -177,7 +186,7 @@ class CellIndex:
         shared = queries.sparkSession.sparkContext.broadcast(self.centroids)
         schema = T.StructType([key, item, T.StructField("_about", T.DoubleType())])
         scan = _scan(shared, rescored * k, schema)
-        about = rows.repartition("_tag", "_cell", "_part").sortWithinPartitions("_tag", "_cell", "_part", "_role").mapInArrow(scan, schema)
+        about = rows.repartition("_tag", "_cell", "_part").sortWithinPartitions("_tag", "_cell", "_part", "_role").mapInArrow(tidy(scan), schema)
         best = settle(top_k_per(about, [query_key], rescored * k, [F.desc("_about"), F.asc(self.item_key)]))
         both = best.select(query_key, self.item_key).join(self.items, self.item_key)
         both = both.join(nonzero(queries, self.vector).select(query_key, F.col(self.vector).alias("_asked")), query_key)
@@ -218,14 +227,17 @@ def _scan(shared, wanted: int, schema: T.StructType):
                     continue
                 item, scale, code = pa.concat_arrays(keys), np.concatenate(scales), np.concatenate(codes).astype(np.float32)
                 keys, scales, codes = [item], [scale], [code.astype(np.int8)]
-                asked = rows.column(8).flatten().to_numpy().reshape(len(rows), -1)
-                about = (asked @ shared.value[cell[a]])[:, None] + (asked.astype(np.float32) @ code.T) * scale
-                n = min(wanted, about.shape[1])
-                top = np.argpartition(-about, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(7).take(pa.array(np.repeat(np.arange(len(rows)), n))), item.take(pa.array(top.ravel())),
-                     pa.array(np.take_along_axis(about, top, axis=1).ravel().astype(np.float64))],
-                    names=schema.names,
-                )
+                # the queries of a part are as many as there are, so they are scored in slices
+                by_item, n = code.T, min(wanted, len(item))
+                for first, length in _slices(len(rows), len(item)):
+                    some = rows.slice(first, length)
+                    asked = some.column(8).flatten().to_numpy().reshape(length, -1)
+                    about = (asked @ shared.value[cell[a]])[:, None] + (asked.astype(np.float32) @ by_item) * scale
+                    top = np.argpartition(-about, n - 1, axis=1)[:, :n]
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(7).take(pa.array(np.repeat(np.arange(length), n))), item.take(pa.array(top.ravel())),
+                         pa.array(np.take_along_axis(about, top, axis=1).ravel().astype(np.float64))],
+                        names=schema.names,
+                    )
 
     return run

@@ -1,11 +1,14 @@
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import text as tx
 from loomgraph.functions.plan import number_rows, running_total
@@ -299,6 +302,35 @@ def test_learned_cells_keep_tenants_apart(spark, monkeypatch):
     assert len({(r.query_id, r.item_id) for r in near} & {(r.query_id, r.item_id) for r in exact}) >= 0.95 * len(exact)
 
 
+def test_learned_cells_score_bounded_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    shared = SimpleNamespace(value=rng.standard_normal((1, 8)))
+    codes = rng.integers(-127, 127, (30, 8)).astype(np.int8)
+    asked = rng.standard_normal((50, 8))
+
+    def rows(role, count, keys, code, vectors):
+        same = [pa.array([""] * count), pa.array([0] * count, pa.int32()), pa.array([0] * count, pa.int32()), pa.array([role] * count, pa.int32())]
+        own = [pa.array(keys, pa.int64()), pa.array(np.full(count, 0.01)), pa.array(code, pa.binary()), pa.array(keys, pa.int64())]
+        return pa.RecordBatch.from_arrays([*same, *own, pa.array(vectors, pa.list_(pa.float64()))], names=list("abcdefghi"))
+
+    schema = T.StructType(
+        [T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("_about", T.DoubleType())]
+    )
+    batches = [
+        rows(0, 30, range(30), [c.tobytes() for c in codes], [None] * 30), rows(1, 50, range(100, 150), [b""] * 50, [list(v) for v in asked]),
+    ]
+    monkeypatch.setattr(cells, "HELD", 100)
+    got = list(cells._scan(shared, 4, schema)(iter(batches)))
+    assert max(b.num_rows for b in got) <= 100 * 4 // 30  # three queries at a time
+    found = {}
+    for q, i, _ in (r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        found.setdefault(q, set()).add(i)
+    scores = asked @ (shared.value + codes * 0.01).T
+    assert found == {100 + n: set(np.argsort(-row)[:4]) for n, row in enumerate(scores)}
+    assert list(cells._slices(7, 100)) == [(n, 1) for n in range(7)]
+    assert list(cells._slices(0, 0)) == []
+
+
 def test_learned_cells_without_items(spark):
     none = spark.createDataFrame([], "item_id long, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, embedding array<double>")
