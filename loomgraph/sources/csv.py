@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.text import strip
+from loomgraph.functions.text import strip_column
 from loomgraph.graph import union_all
 from loomgraph.sources.text import decode_text
 from loomgraph.spec import ColumnSpec, TableSpec
@@ -116,36 +117,47 @@ def _converted(text: Column, kind: str) -> Column:
     return text
 
 
-def _cell(column: ColumnSpec) -> tuple[Column, Column]:
-    """(value, error message or null) of one text cell."""
-    text = strip(F.coalesce(F.col(column.name), F.lit("")))
+def _cell(column: ColumnSpec, text: Column) -> tuple[Column, Column, Column | None]:
+    """(value, error message or null, whether there is an error) of one trimmed text cell; no flag if there cannot be one."""
     empty = (text == "") | (F.upper(text) == "NULL")
-    value = F.when(~empty, _converted(text, column.kind))
+    converted = _converted(text, column.kind)
+    value = F.when(~empty, converted)
     problem = F.when(
         empty, F.lit(None if column.nullable else "empty value for non-nullable column")
     ).when(value.isNull(), F.concat(F.lit("cannot convert '"), text, F.lit(f"' to {column.kind}")))
-    return value, problem
+    flags = []
+    if not column.nullable:
+        flags.append(empty)
+    if converted is not text:
+        flags.append(~empty & converted.isNull())
+    return value, problem, reduce(Column.__or__, flags) if flags else None
 
 
 def coerce(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Typed good rows, and one row per bad cell of the rejected ones.
 
-    One bad cell rejects its row.  Both results come from the same projection;
-    persist ``df`` if both are consumed and the scan is expensive.
+    One bad cell rejects its row.  Rows are told apart by flags alone; messages
+    are worded for rejected rows only.  Both results come from the same
+    projection; persist ``df`` if both are consumed and the scan is expensive.
     """
     present = [c for c in spec.columns if c.name in df.columns]
-    values, problems = [], []
-    for column in present:
-        value, problem = _cell(column)
+    values, problems, flags = [], [], []
+    for i, column in enumerate(present):
+        value, problem, flag = _cell(column, F.col(f"_text{i}"))
         values.append(value.alias(column.name))
         problems.append(
             F.when(problem.isNotNull(), F.struct(F.lit(column.name).alias("column"), problem.alias("message")))
         )
-    raw = F.to_json(F.struct(*[F.col(c.name) for c in present]))
-    checked = df.select(*values, raw.alias("_raw"), F.array_compact(F.array(*problems)).alias("_problems"))
-    good = checked.where(F.size("_problems") == 0).select(*[c.name for c in present])
-    bad = checked.where(F.size("_problems") > 0).select(
-        F.lit(spec.name).alias("table"), F.col("_raw").alias("row"), F.explode("_problems").alias("p")
+        if flag is not None:
+            flags.append(flag)
+    # generated columns: a filter on plain ones would be carried out on the expressions behind them, once for every use
+    texts = [F.coalesce(strip_column(c.name), F.lit("")).alias(f"_text{i}") for i, c in enumerate(present)]
+    trimmed = df.select(*[c.name for c in present], F.inline(F.array(F.struct(*texts)))) if present else df
+    rejected = reduce(Column.__or__, flags) if flags else F.lit(False)
+    raw = F.to_json(F.struct(*[F.col(c.name) for c in present])).alias("row")
+    good = trimmed.where(~rejected).select(*values)
+    bad = trimmed.where(rejected).select(
+        F.lit(spec.name).alias("table"), raw, F.explode(F.array_compact(F.array(*problems))).alias("p")
     )
     return good, bad.select("table", "row", "p.column", "p.message")
 

@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import plan
+from loomgraph.functions import text as tx
 from loomgraph.operators import aggregates as agg
 from loomgraph.operators import anchored, chunks, mentions
 from loomgraph.operators import traversal as tr
+from loomgraph.sources import csv
+from loomgraph.spec import ColumnSpec, TableSpec
 from tests.shop import graph
 
 
@@ -117,6 +120,26 @@ def test_values_of_middles_are_folded_in_many_tasks(spark, monkeypatch):
     assert steps.index("Join") < steps.index("RepartitionByExpression")
 
 
+def test_cells_are_trimmed_once(spark):
+    spec = TableSpec("t", (ColumnSpec("a", "BIGINT", nullable=False), ColumnSpec("b", "DECIMAL(12,2)"), ColumnSpec("c", "POINT")))
+    rows = [(" 1 ", "2.5", "x"), ("", "NULL", " "), ("z", "\t", None), ("3", "no", "y"), (None, "1e3\n", "\u2028"), ("4\u00a0", " ", "")]
+    df = spark.createDataFrame(rows, "a string, b string, c string").select(*[F.concat(c, F.lit(" ")).alias(c) for c in "abc"])
+    good, bad = csv.coerce(df, spec)
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5, "x")]
+    assert sorted((r["column"], r["message"]) for r in bad.collect()) == sorted([
+        ("a", "empty value for non-nullable column"), ("a", "cannot convert 'z' to integer"), ("b", "cannot convert 'no' to float"),
+        ("a", "empty value for non-nullable column"), ("a", "cannot convert '4\u00a0' to integer"),
+    ])
+    for frame in (good, bad):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 3
+
+
+def test_columns_are_trimmed_as_texts_are(spark):
+    odd = ["", " ", "a", " a\t", "\n a b \x0b\f\r\n", "a \u2028", "a\u0085", " \u2029 ", "\u2028", "a \u2028\u2028", "\u00a0a\u00a0", "\x1ca\x1c", None]
+    both = spark.createDataFrame([(t,) for t in odd], "t string").select(tx.strip(F.col("t")), tx.strip_column("t"))
+    assert [r[0] for r in both.collect()] == [r[1] for r in both.collect()]
+
+
 @pytest.mark.parametrize("size, overlap", [(25, 5), (7, 0), (10, 9)])
 def test_long_texts_are_cut_in_blocks(spark, monkeypatch, size, overlap):
     monkeypatch.setattr(chunks, "BLOCK_WINDOWS", 3)
