@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.tables import tidy
+from loomgraph.llm.tables import sent_once, tidy
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CUT_CHARS = 50_000
@@ -137,7 +137,7 @@ def with_tokens(docs: DataFrame, ranks: str = RANKS, cut_chars: int = CUT_CHARS)
     made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     taken = {f.name for f in made}
     keep = [c for c in docs.columns if c.lower() not in taken]
-    source = docs.select(*keep, F.col("text").alias("_taken"))
+    source, at = sent_once(docs, keep, "text", "_taken")
     schema = T.StructType([*(source.schema[c] for c in keep), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def with_tokens(docs: DataFrame, ranks: str = RANKS, cut_chars: int = CUT_CHARS)
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(first, ROWS_OUT)
-                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+                texts = [t or "" for t in batch.column(at).to_pylist()]
                 coded = [encode_text(enc, t, cut_chars) for t in texts]
                 same = [enc.decode_bytes(ids) == t.encode() for ids, t in zip(coded, texts, strict=True)]
                 columns = [pa.array(coded, pa.list_(pa.int32())), pa.array(list(map(len, coded)), pa.int64()), pa.array(same, pa.bool_())]

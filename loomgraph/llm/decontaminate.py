@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm import textbytes as tb
-from loomgraph.llm.tables import tidy
+from loomgraph.llm.tables import sent_once, tidy
 
 SIZE = 10
 MAX_PATTERNS = 500_000
@@ -86,7 +86,7 @@ def build_class(length: int, patterns: dict[bytes, set[int]]) -> PatternClass:
     whole = np.array([tb.hash_windows(row, length)[0] for row in word_hash], dtype=np.uint64)
     blocks = np.stack([tb.hash_windows(row, block) for row in word_hash])
     bits = max(12, min(24, int(blocks.size * 16).bit_length()))
-    shift = np.full(1 << bits, length - block + 1, dtype=np.int64)
+    shift = np.full(1 << bits, length - block + 1, dtype=np.min_scalar_type(length))
     cells = (blocks & np.uint64((1 << bits) - 1)).astype(np.int64)
     for j in range(blocks.shape[1]):
         np.minimum.at(shift, cells[:, j], length - block - j)
@@ -221,12 +221,12 @@ def find_passages(
     result = [*_RESULT, T.StructField("items", T.ArrayType(benchmark.schema["item_id"].dataType))]
     taken = {f.name for f in result}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    source = docs.select(*keep, F.col(text).alias("_scanned"))
+    source, at = sent_once(docs, keep, text, "_scanned")
     schema = T.StructType([source.schema[c] for c in keep] + result)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, spans, items = _scan(blocks, batch.column(len(keep)))
+            counts, spans, items = _scan(blocks, batch.column(at))
             n = batch.num_rows
             hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [

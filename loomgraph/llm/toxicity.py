@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.tables import tidy
+from loomgraph.llm.tables import sent_once, tidy
 
 DECAY, SPAN, FLOOR, POWER = 0.7, 7, 0.4, 3
 LANDMARKS, LOOKALIKES, NEAR = 128, 64, 0.6
@@ -605,10 +605,12 @@ def train(
     return fit(sample, counts[True] / (counts[True] + counts[False]))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, cut: float = CUT) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model | None, keep: list[str] | None = None, cut: float = CUT, text: str = "text"
+) -> DataFrame:
     """Columns ``keep`` (all by default) plus score and predicted."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"score", "predicted"}]
-    source = docs.select(*keep, F.col("text").alias("_judged"))
+    source, at = sent_once(docs, keep, text, "_judged")
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -618,7 +620,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, c
         strong: dict[str, float] = {}
         held = 0
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             scores: list[float] = []
             for first in range(0, batch.num_rows, 256):
                 texts = [plain(t) for t in column.slice(first, 256).to_pylist()] if model else []
@@ -650,6 +652,6 @@ def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with its columns."""
-    aside = docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), "text")
-    clean = score(aside, model, keep=[f"_own_{c}" for c in docs.columns]).where("predicted = 0")
+    aside = docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns))
+    clean = score(aside, model, text="_own_text").where("predicted = 0")
     return clean.select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))

@@ -1,7 +1,7 @@
 """The pipeline against a version that decides every stage in plain Python."""
 
 import corpus_pipeline
-from loomgraph.llm import bpe, toxicity
+from loomgraph.llm import bpe, decontaminate, toxicity
 from loomgraph.llm.tables import table
 from tests import oracle
 from tests.llm.test_decontaminate import brute as windows
@@ -38,3 +38,21 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, awkward):
         docs = stage(spark, docs, SF)
         assert docs.columns == awkward.columns
     assert corpus_pipeline.STAGES[4][1](spark, awkward, SF).count() == 8
+
+
+def test_texts_reach_a_worker_once(spark, awkward):
+    """A second copy beside the kept column would double what every batch holds in the executor and its workers."""
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
+    for made in (toxicity.drop_toxic(awkward, None), decontaminate.drop_contaminated(awkward, benchmark), bpe.with_tokens(awkward)):
+        sent = made._jdf.queryExecution().analyzed().collectLeaves().head().output().size()
+        plan = made._jdf.queryExecution().optimizedPlan()
+        while "MapInArrow" not in plan.nodeName():
+            plan = plan.children().head()
+        below = plan.children().head().output()
+        assert below.size() <= sent
+        assert sum(below.apply(i).name().lower().endswith(("text", "judged", "scanned", "taken")) for i in range(below.size())) == 1
+
+
+def test_shift_tables_are_narrow():
+    table = decontaminate.build_class(10, {b" ".join(b"w%d" % k for k in range(10)): {1}}).shift
+    assert table.itemsize == 1 and table.max() == 8 and table.min() == 0
