@@ -339,3 +339,50 @@ def test_learned_cells_without_items(spark):
     one = spark.createDataFrame([(9, [0.0, 2.0]), (8, None), (7, [0.0, 0.0])], "item_id long, embedding array<double>")
     near, _ = cells.CellIndex.build(one).search(queries, 3)
     assert [tuple(r) for r in near.collect()] == [(1, 9, 0.0, 1)]
+
+
+def test_steps_of_ingest_run_their_patterns_once(spark):
+    """Parsing reads its text once for text and reason, chunking trims without patterns, hashing counts texts together."""
+    rows = [(1, "a.md", "# Head *x* "), (2, "b.html", "<p>&lt;</p>"), (3, "c.txt", " \t\n"), (4, "d.pdf", "x"), (5, None, "x"), (6, "e.txt", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, filename string, content string")
+    parsed = hybrid.parse_documents(docs)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?is)<script") == 1
+    assert [(r.text, r.error) for r in parsed.orderBy("doc_id").collect()][:3] == [
+        ("Head x", None), ("<", None), ("", "No text content extracted")
+    ]
+    odd = ["", " \t", "a", "\u0085", " \u0085", "a \u0085", " ", " a\n\n", "x" * 25 + "  ", None]
+    texts = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    want = sorted((i, n, t) for i, body in enumerate(odd) if body for n, _, _, t in _windows(body, 10, 2))
+    cut = chunks.chunk_documents(texts, "text", "fixed", 10, 2)
+    assert sorted((r.doc_id, r.chunk_index, r.text) for r in cut.collect()) == want
+    assert {(r.char_start, r.char_end) for r in cut.where("doc_id = 8").collect()} == {(0, 10), (8, 18), (16, 26), (24, 27)}
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("\\s+$") <= 2
+
+
+def _windows(body, size, overlap):
+    ends = "\u0085  "
+    for i, at in enumerate(range(0, max(len(body) - overlap, 1), size - overlap)):
+        piece = body[at : at + size].lstrip(" \t\n\x0b\f\r")
+        if piece and piece[-1] in ends:
+            piece = piece[:-1].rstrip(" \t\n\x0b\f\r") + piece[-1]
+        else:
+            piece = piece.rstrip(" \t\n\x0b\f\r")
+        if piece:
+            yield i, at, at + size, piece
+
+
+def test_hashed_vectors_of_many_texts(spark):
+    """More texts than are counted together, blank ones among them, against one text at a time."""
+    import hashlib
+    import re
+
+    bodies = [None, "", "!?", "É1_b ×a", *(f"W{i} w{i % 7} x, {'long ' * (i % 5)}" for i in range(1200))]
+    rows = vectors.hashed_vectors(spark.createDataFrame(list(enumerate(bodies)), "i int, t string").coalesce(1), ["i"], "t")
+    for r in rows.collect():
+        counts = [0] * 64
+        for token in re.findall(r"\w+", (r.t or "").lower()):
+            counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 64] += 1
+        length = sum(c * c for c in counts) ** 0.5
+        assert r.embedding == [c / length if c else 0.0 for c in counts]
+    assert vectors._Buckets(8)["a"] == int(hashlib.md5(b"a").hexdigest()[:8], 16) % 8
