@@ -26,7 +26,8 @@ its largest sentence score; a sigmoid fitted on documents kept out of the SVM,
 weighted to the classes' shares, turns it into a probability.
 
 As the decision function is a sum over words, a worker scores each distinct word
-once; a bounded table of known words saves work and never changes a score.
+once, whatever punctuation stands around it; bounded tables of known tokens and
+words save work and never change a score.
 Sentences above ``WINDOW`` words are scored in windows, words above
 ``WORD_CHARS`` characters in overlapping parts, so every text is read whole.
 
@@ -127,6 +128,9 @@ class LandmarkKernel:
     weights: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
     bound: np.ndarray = field(init=False)
+    first: np.ndarray = field(init=False)  # by feature: where its landmarks begin in ``owner`` and ``part``
+    owner: np.ndarray = field(init=False)
+    part: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         chars = sorted({ord(c) for z in self.landmarks for c in z})
@@ -150,6 +154,9 @@ class LandmarkKernel:
         self.weights = np.array([*rows, np.zeros(len(self.landmarks))], dtype=np.float32)
         self.most = self.weights.max(axis=1)
         self.bound = self.most[self.slots]  # by code: one lookup for the words that fall under the floor
+        feature, self.owner = np.nonzero(self.weights)  # a feature belongs to few landmarks
+        self.part = self.weights[feature, self.owner]
+        self.first = np.searchsorted(feature, np.arange(len(self.weights) + 1))
 
     def _local(self, chars: np.ndarray) -> np.ndarray:
         table = np.zeros(0x110000, dtype=np.int32 if len(self.slots) < 1 << 31 else np.int64)
@@ -160,11 +167,22 @@ class LandmarkKernel:
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "_local"}
 
+    def _most_shared(self, slots: np.ndarray, light: np.ndarray) -> np.ndarray:
+        """Per word (a row of feature numbers) the largest weight it shares with one landmark, over the features it has."""
+        word, place = np.nonzero(slots < len(self.weights) - 1)
+        begin = self.first[slots[word, place]]
+        many = self.first[slots[word, place] + 1] - begin
+        at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = np.repeat(word, many) * len(self.landmarks) + self.owner[at]
+        shared = np.bincount(cell, self.part[at] * np.repeat(light[place], many), minlength=len(slots) * len(self.landmarks))
+        return shared.reshape(len(slots), -1).max(axis=1)
+
     def values(self, words: list[str]) -> dict[str, np.ndarray]:
         """For the words with a value above ``FLOOR``: their kernel values with the landmarks.
 
         The weight a word shares with any one landmark is bounded by summing, per
-        feature, the largest weight; most words fall under the floor by that bound.
+        feature, the largest weight; many words fall under the floor by that bound.
+        Of the others most do by the features they really share with one landmark.
         """
         found: dict[str, np.ndarray] = {}
         by_length = defaultdict(list)
@@ -182,6 +200,8 @@ class LandmarkKernel:
                 local = self._local(chars)
                 code = (local[:, idx[:, 0]] * size + local[:, idx[:, 1]]) * size + local[:, idx[:, 2]]
                 near = np.flatnonzero(self.bound[code] @ light[0] >= FLOOR * least * 0.999)
+                if near.size:
+                    near = near[self._most_shared(self.slots[code[near]], light[0]) >= FLOOR * least * 0.999]
                 if not near.size:
                     continue
                 norm = norms(chars[near])
@@ -320,12 +340,20 @@ class Model:
     def token_scores(self, tokens: Iterable[str]) -> dict[str, float]:
         return {t: float(v @ self.per_landmark) for t, v in token_values(self.kern, tokens).items()}
 
+    def new_scores(self, tokens: Iterable[str], seen: set[str], by_word: dict[str, float]) -> dict[str, float]:
+        """``token_scores``, which depend on a token's word only: words not in ``seen`` are scored and noted."""
+        word = {t: t.strip(_EDGE) for t in tokens}
+        fresh = set(word.values()) - seen
+        seen |= fresh
+        by_word.update(self.token_scores(fresh))
+        return {t: by_word[w] for t, w in word.items() if w in by_word}
+
     def raw(self, text: str, scores: dict[str, float]) -> float:
         """Largest sentence score; ``scores`` holds the tokens that have one."""
         if not scores:
             return self.bias
         known = scores.keys()
-        best = max((sum(scores[t] for t in known & set(s)) for s in sentences(text)), default=0.0)
+        best = max((0.0 if known.isdisjoint(s) else sum(scores[t] for t in known & set(s)) for s in sentences(text)), default=0.0)
         return self.bias + best
 
     def probability(self, raw: float) -> float:
@@ -618,6 +646,8 @@ def score(
         model = shared.value
         known: set[str] = set()
         strong: dict[str, float] = {}
+        words: set[str] = set()
+        by_word: dict[str, float] = {}
         held = 0
         for batch in batches:
             column = batch.column(at)
@@ -626,13 +656,13 @@ def score(
                 texts = [plain(t) for t in column.slice(first, 256).to_pylist()] if model else []
                 bags = [set(t.split()) for t in texts]
                 if len(known) > CACHED or held > CACHED_CHARS:
-                    known.clear()
-                    strong.clear()
+                    for table in (known, strong, words, by_word):
+                        table.clear()
                     held = 0
                 new = set().union(*bags) - known
                 held += sum(map(len, new))
                 known |= new
-                strong.update(model.token_scores(new) if model else {})
+                strong.update(model.new_scores(new, words, by_word) if model else {})
                 for text, bag in zip(texts, bags, strict=True):
                     own = {t: strong[t] for t in bag & strong.keys()}
                     scores.append(model.probability(model.raw(text, own)))

@@ -107,3 +107,28 @@ def test_awkward_rows(spark, awkward, nothing, model):
     assert {r.score for r in tx.verdicts(awkward, labels).collect()} == {0.0}
     assert tx.score(nothing, model).count() == 0
     assert tx.drop_toxic(awkward, model).columns == awkward.columns
+
+
+def test_words_are_scored_once_whatever_stands_around_them(model):
+    tokens = ["idiot", "idiot,", "(idiot", "id-iot", "xx…", "table", "table."]
+    seen, by_word = set(), {}
+    got = model.new_scores(tokens, seen, by_word)
+    assert got == model.token_scores(tokens)
+    assert seen == {"idiot", "id-iot", "xx", "table"}
+    assert model.new_scores(["idiot!"], seen, by_word) == model.token_scores(["idiot!"])
+
+
+def test_words_that_share_too_little_with_every_landmark_are_left_early(monkeypatch):
+    marks = ["idiot", "stupid", "moron"]
+    kern = tx.LandmarkKernel(marks, telling=3)
+    normed = []
+    norms = tx.norms
+    monkeypatch.setattr(tx, "norms", lambda chars: normed.append(len(chars)) or norms(chars))
+    words = ["idixot", "stupoid", "idupron", "morid", "stiotu", "table"]
+    got = kern.values(words)
+    wanted = {w: [k if (k := tx.kernel(w, z)) >= tx.FLOOR else 0.0 for z in marks] for w in words}
+    assert got.keys() == {w for w in words if any(wanted[w])}
+    for w in got:
+        assert got[w] == pytest.approx(np.array(wanted[w]) ** tx.POWER, rel=1e-4)
+    # by their largest weights alone more words would be taken for near ones
+    assert sum(normed) == len(got)
