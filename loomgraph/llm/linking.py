@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.functions.plan import small_side
 from loomgraph.llm import textbytes as tb
@@ -241,33 +242,36 @@ class Linker:
             return stars
         return settle(self.apart(stars).join(self.tested, ["a", "b"], "left_anti"))
 
-    def split_keys(self, rows: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    def split_keys(self, rows: DataFrame, turn: int = 0) -> DataFrame:
         """Rows of the keys that several components hold, with ``root`` and the key's largest component ``_top``.
 
-        Also per key one member (document and place) of that component: the one
-        with most room for an overlap, among equals another one each turn.
+        Also one member (document and place) of that component as ``_rep``: the
+        one with most room for an overlap, among equals another one each turn.
+        Rows are dealt by key once; sums per component and per key are windows
+        over that, so nothing is moved again.
         """
-        placed = settle(
-            rows.join(self.roots, F.col("doc") == F.col("node"), "left")
-            .select("key", "doc", "place", "before", F.coalesce("root", "doc").alias("root"))
-        )
-        room = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF), F.xxhash64("doc", F.lit(turn)))
-        member = F.min_by(F.struct("doc", "place"), room)
-        tops = settle(
-            placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"), member.alias("_rep")).groupBy("key")
-            .agg(F.max_by(F.struct("root", "_rep"), F.struct("_n", "root")).alias("_t"), F.count(F.lit(1)).alias("_k"))
-            .where("_k > 1").select("key", F.col("_t.root").alias("_top"), F.col("_t._rep").alias("_rep"))
+        placed = rows.join(self.roots, F.col("doc") == F.col("node"), "left").select(
+            "key", "doc", "place", "before", F.coalesce("root", "doc").alias("root")
+        )
+        room = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF), F.xxhash64("doc", F.lit(turn)), "doc", "place")
+        held, key = Window.partitionBy("key", "root"), Window.partitionBy("key")
+        return settle(
+            placed.repartition("key")
+            .withColumn("_own", F.struct(F.count(F.lit(1)).over(held), F.col("root"), F.min(room).over(held).alias("m")))
+            .withColumn("_t", F.max("_own").over(key)).withColumn("_least", F.min("root").over(key))
+            .withColumn("_most", F.max("root").over(key)).where("_least <> _most")
+            .select(
+                "key", "doc", "place", "before", "root", F.col("_t.root").alias("_top"),
+                F.struct(F.col("_t.m.doc"), F.col("_t.m.place")).alias("_rep"),
+            )
         )
-        return settle(placed.join(tops.select("key", "_top"), "key")), tops
 
     def finish(self, rows: DataFrame, left: DataFrame | None = None) -> DataFrame:
         """Steps 2 and 3 over rows (key, doc, place, before) and pairs without such rows; returns (node, root)."""
         for turn in range(MERGES):
-            placed, tops = self.split_keys(rows, turn)
+            placed = self.split_keys(rows, turn)
             rows = placed.select("key", "doc", "place", "before")
-            met = placed.where("root <> _top").join(tops.select("key", "_rep"), "key").where(
-                self.fits(F.col("key"), F.col("place"), F.col("_rep.place"))
-            )
+            met = placed.where("root <> _top").where(self.fits(F.col("key"), F.col("place"), F.col("_rep.place")))
             best = (
                 met.groupBy("doc", F.col("_rep.doc").alias("a")).count().groupBy(F.col("doc").alias("b"))
                 .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
@@ -286,7 +290,7 @@ class Linker:
         Two members with the same key before this one meet there already: a pair is
         formed where its common keys begin, so copies do not meet once per key.
         """
-        placed, _ = self.split_keys(rows)
+        placed = self.split_keys(rows)
         outer = placed.where("root <> _top").select("key", "doc", "place", "before", "root")
         other = placed.select(
             "key", F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("before").alias("before2"),

@@ -260,7 +260,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     near = settle(texts.join(small_side(candidates), F.col("doc_id") == F.col("_doc"), "left_semi"))
     linker = linking.Linker(near, bonds, WORDS, PERCENT, _fits)
     linker.meet_centres(stars)
-    live = settle(linker.split_keys(rows)[0].select(F.col("doc").alias("_doc")).distinct())
+    live = settle(linker.split_keys(rows).select(F.col("doc").alias("_doc")).distinct())
     return linking.with_components(named, linker.finish(first_shingles(near, live)))
 
 

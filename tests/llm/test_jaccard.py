@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomgraph.llm import jaccard
+from loomgraph.llm import jaccard, linking
 from loomgraph.llm.components import components
+from loomgraph.session import settle
 
 
 def shingles(text):
@@ -189,3 +190,43 @@ def test_rows_without_or_with_repeated_ids(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     want = [(9, a + " more"), (7, b), (7, ""), (None, None), (None, "c d")]
     assert sorted(map(repr, kept)) == sorted(repr(type(kept[0])(doc_id=d, text=t)) for d, t in want)
+
+
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    edges = [(i + 1, i) for i in range(60)] + [(100, 101), (101, 100), (105, 101), (7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    got = {r.node: r.root for r in components(df, "a", "b").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == dict.fromkeys(range(61), 0) | dict.fromkeys([100, 101, 105], 100)
+    assert len(jobs) < 12  # each round takes more than that
+    monkeypatch.setattr("loomgraph.llm.components.EDGES_PER_TASK", 20)
+    assert {r.node: r.root for r in components(df, "a", "b").collect()} == got
+
+
+def test_split_keys_deals_rows_by_key_once(spark, monkeypatch):
+    rows = [(k, d, (8 << 32) + (d % 5), 0) for k in range(20) for d in range(k, k + 1 + k % 7)]
+    df = spark.createDataFrame(rows, "key bigint, doc bigint, place bigint, before bigint")
+    texts = spark.createDataFrame([], "doc_id bigint, text string")
+    linker = linking.Linker(texts, spark.createDataFrame([(0, 1), (1, 2), (4, 5), (5, 6)], "a bigint, b bigint"), 5, 75, jaccard._fits)
+    root = {0: 0, 1: 0, 2: 0, 4: 4, 5: 4, 6: 4}
+    plans = []
+    monkeypatch.setattr(linking, "settle", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or settle(d))
+    got = {(r.key, r.doc): (r.root, r._top, tuple(r._rep)) for r in linker.split_keys(df).collect()}
+    assert sum(p.count("Exchange hashpartitioning(key") for p in plans) == 1
+    wanted = set()
+    for k in range(20):
+        held = {}
+        for _, d, place, _ in (r for r in rows if r[0] == k):
+            held.setdefault(root.get(d, d), []).append((d, place))
+        if len(held) < 2:
+            continue
+        top = max(held, key=lambda r: (len(held[r]), r))
+        least = min(p & 0xFFFFFFFF for _, p in held[top])
+        for r, members in held.items():
+            for d, _ in members:
+                wanted.add((k, d))
+                assert got[k, d][:2] == (r, top)
+                assert got[k, d][2] in held[top] and got[k, d][2][1] & 0xFFFFFFFF == least
+    assert set(got) == wanted
