@@ -28,6 +28,36 @@ def test_large_dictionary_is_never_broadcast(spark):
     assert "BroadcastHashJoin" not in steps
 
 
+def test_texts_send_only_grams_of_names(spark, monkeypatch):
+    stored, real = [], mentions.settle
+
+    def settle(df):
+        stored.append(real(df))
+        return stored[-1]
+
+    monkeypatch.setattr(mentions, "settle", settle)
+    rng = random.Random(2)
+    words = ["needle in hay", "\U0001f600 smile", "한글이름", "zq", "q", "twelve chars"]
+    texts = [(i, "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(40)]
+    texts += [(40 + i, f"aaa {w.upper()} bbb {w} ") for i, w in enumerate(words)] + [(90, None), (91, ""), (None, "zq")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    names = spark.createDataFrame([(w, "W") for w in words], "name string, label string")
+    want = sorted((i, w, t.lower().find(w)) for i, t in texts if t and i is not None for w in words if w in t.lower())
+    found = []
+    for bits in (mentions.FILTER_BITS, 1 << 15):  # the smallest filter lets more pass, and all of it is verified
+        monkeypatch.setattr(mentions, "FILTER_BITS", bits)
+        rows = mentions.match_dictionary(df, ["id"], "text", names, max_rows=0).collect()
+        assert sorted((r["id"], r["name"], r["char_start"]) for r in rows) == want
+        found.append(stored[-1].count())
+    assert found[0] == len(want) + 2 <= found[1]  # both of the text without a key, which no join keeps
+    # blocks of a long text overlap, so none of its grams is missed
+    body = "".join(rng.choice("ab") for _ in range(100))
+    whole = {n: set(mentions.gram_hashes(body, n)) for n in mentions.GRAMS}
+    monkeypatch.setattr(mentions, "GRAM_BLOCK", 7)
+    assert {n: set(mentions.gram_hashes(body, n)) for n in mentions.GRAMS} == whole
+    assert len(whole[8]) == len({body[i : i + 8] for i in range(93)})
+
+
 def test_shortest_path_carries_nodes_only(spark, monkeypatch):
     carried, expand = [], tr.expand
 
