@@ -6,19 +6,23 @@ Groups are formed by property value, so nodes sharing a name merge; pass
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomgraph.functions.exact import avg_2dp, avg_whole, cents
-from loomgraph.functions.plan import auto_broadcast_bytes, counted_side, dealt, estimated_bytes, running_total, sized, small_side
+from loomgraph.functions.lists import distinct, pack, unpack
+from loomgraph.functions.plan import auto_broadcast_bytes, counted_side, dealt, estimated_bytes, number_rows, running_total, sized, small_side
 from loomgraph.graph import PropertyGraph, union_all
 from loomgraph.operators.counting import element_counts
 from loomgraph.operators.patterns import anchor_ids, out, walk
 from loomgraph.operators.ranking import top_k
-from loomgraph.session import settle
+from loomgraph.session import settle, tidy
 
 
 def prop_of(g: PropertyGraph, label: str, prop: str, key: str, alias: str) -> DataFrame:
@@ -257,6 +261,132 @@ def category_distribution(g: PropertyGraph) -> DataFrame:
 
 
 HEAD_BLOCK = 64
+ORDER_TASK_ROWS = 1_600_000
+MAX_HEADS = 1_000_000
+
+
+def _edge_rows(g: PropertyGraph, rel: str, src: str, dst: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of an edge type, dealt by its part and merged there; and the endpoints still to be checked."""
+    spec = g.spec.edge(rel)
+    rows, unchecked = g.links(rel)
+    rows = dealt(rows.select(F.col("src").alias(src), F.col("dst").alias(dst)), g.source_rows(rel), "part")
+    return (rows.distinct() if g.is_bound(spec.key) and not spec.unique else rows), unchecked
+
+
+def _packed(lists: DataFrame) -> DataFrame:
+    """(part, heads) with the heads as bytes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pack(batch.column(1))], ["part", "heads"])
+
+    schema = T.StructType([lists.schema["part"], T.StructField("heads", T.BinaryType())])
+    return lists.select("part", "heads").mapInArrow(tidy(scan), schema)
+
+
+_NONE = np.iinfo(np.int64).min
+_SUMS = ("head", "orders", "known", "hi", "lo", "hi_distinct", "lo_distinct")
+
+
+class _OrderSums:
+    """Sums per head over orders that arrive in order, the rows with their amounts before those with their heads.
+
+    Amounts are added in two halves, so no sum of a task leaves 64 bits.  Up to
+    ``MAX_HEADS`` heads, sums are kept until the end; of more, those of a batch are handed on.
+    """
+
+    def __init__(self, heads: int) -> None:
+        self.kept = np.zeros((len(_SUMS) - 1, heads + 1), np.int64) if heads <= MAX_HEADS else None
+        self.order, self.copies, self.amount, self.seen = None, 0, None, np.empty(0, np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        coded = batch.column(0).dictionary_encode()
+        of_row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = coded.dictionary
+        first, final = keys[0].as_py() == self.order, len(keys) - 1
+        amounts = batch.column(2).fill_null(_NONE).to_numpy(zero_copy_only=False)
+        is_order = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        copies = np.bincount(of_row[is_order], minlength=len(keys))
+        amount = np.full(len(keys), _NONE, np.int64)
+        np.maximum.at(amount, of_row[is_order], amounts[is_order])
+        if first:
+            copies[0] += self.copies
+            amount[0] = max(amount[0], self.amount)
+        row, head = unpack(batch.column(1))
+        of_pair = of_row[row]
+        there = copies[of_pair] > 0
+        of_pair, head = of_pair[there], head[there]
+        # all paths of an order to a head, then the order once
+        pairs = new = _distinct(of_pair, head)
+        if first and len(self.seen):
+            new = [x[(pairs[0] > 0) | ~np.isin(pairs[1], self.seen)] for x in pairs]
+        seen = pairs[1][pairs[0] == final]
+        self.seen = distinct(np.concatenate([self.seen, seen])) if first and final == 0 else seen
+        self.order, self.copies, self.amount = keys[final].as_py(), copies[final], amount[final]
+        yield from self._sum(of_pair, head, *new, copies, amount)
+
+    def _sum(self, of_pair, head, of_new, new, copies, amount) -> Iterator[pa.RecordBatch]:
+        if self.kept is None:
+            ids = distinct(head)
+            at, at_new = np.searchsorted(ids, head), np.searchsorted(ids, new)
+            into = np.zeros((len(_SUMS) - 1, len(ids)), np.int64)
+        else:
+            ids, at, at_new, into = None, head, new, self.kept
+        priced = amount != _NONE
+        hi, lo = np.where(priced, amount >> 31, 0), np.where(priced, amount & 0x7FFFFFFF, 0)
+        for i, where, value in (
+            (0, at_new, np.ones(len(copies), np.int64)[of_new]), (1, at_new, priced[of_new].astype(np.int64)),
+            (2, at, (hi * copies)[of_pair]), (3, at, (lo * copies)[of_pair]), (4, at_new, hi[of_new]), (5, at_new, lo[of_new]),
+        ):
+            np.add.at(into[i], where, value)
+        if ids is not None:
+            yield from self._rows(ids, into)
+
+    def _rows(self, ids: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *sums)], list(_SUMS))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.kept is not None:
+            ids = np.flatnonzero(self.kept[0])
+            yield from self._rows(ids, self.kept[:, ids])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The distinct pairs of two columns of numbers from 0."""
+    width = int(b.max(initial=0)) + 1
+    both = distinct(a * width + b)
+    return [both // width, both % width]
+
+
+def _sums_by_head(lines: DataFrame, orders: DataFrame, heads: int, rows: int) -> DataFrame:
+    """Orders and money of every head, from (order, heads) and (order, c).
+
+    All rows of an order have to meet in one task, so they are dealt here and
+    not by a join, whose large partitions may be split.  A task gives a row per
+    head at most; it takes many orders, so that these are few.
+    """
+    both = union_all([orders.select("order", F.lit(None).cast("binary").alias("heads"), "c"), lines.select("order", "heads")])
+    tasks = -(-rows // ORDER_TASK_ROWS)
+    parallel = lines.sparkSession.sparkContext.defaultParallelism
+    both = both.repartition(tasks, "order") if tasks > parallel else both.repartition("order")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _OrderSums(heads)
+        for batch in batches:
+            if batch.num_rows:
+                yield from sums.add(batch)
+        yield from sums.end()
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in _SUMS])
+    parts = both.sortWithinPartitions("order", F.col("heads").isNotNull()).mapInArrow(tidy(scan), schema)
+
+    def whole(kind: str) -> Column:
+        total = F.sum(f"hi{kind}") * F.lit(1 << 31) + F.sum(f"lo{kind}")
+        return F.when(F.sum("known") > 0, F.round(total / 100))
+
+    return parts.groupBy("head").agg(
+        F.sum("orders").alias("orders"), whole("").alias("revenue"), whole("_distinct").alias("revenue_distinct")
+    )
 
 
 def supplier_dependency(g: PropertyGraph) -> DataFrame:
@@ -264,41 +394,43 @@ def supplier_dependency(g: PropertyGraph) -> DataFrame:
 
     ``revenue`` counts an order once per product of the supplier it contains
     (the fan-out figure); ``revenue_distinct`` counts it once per supplier.
-    Suppliers sharing a name count as one: the smallest key stands for them,
-    so the large intermediate carries numbers instead of names.
+    Suppliers sharing a name count as one and get one number; the numbers are
+    dense, so the suppliers of a part travel to its orders in a few bytes each.
     """
-    suppliers = prop_of(g, "Supplier", "name", "dst", "supplier")
-    heads = suppliers.groupBy("supplier").agg(F.min("dst").alias("head"))
-    supply = (
-        g.edges("SUPPLIED_BY")
-        .join(suppliers.join(heads, "supplier").select("dst", "head"), "dst")
-        .select(F.col("src").alias("part"), "head")
-    )
-    supply = dealt(supply, g.source_rows("SUPPLIED_BY"), "part")
-    amounts = g.nodes("Order").select(F.col("id").alias("order"), cents("total_amount").alias("c"))
-    contains = g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
-    # rows meet by order, each with its part's suppliers in arrays of at most HEAD_BLOCK; only there are these unfolded
+    suppliers = prop_of(g, "Supplier", "name", "dst", "supplier").where("supplier IS NOT NULL")
+    heads = number_rows(suppliers.select("supplier").distinct(), [F.col("supplier")], "head")
+    numbers = counted_side(suppliers.join(heads, "supplier").select("dst", "head"), MAX_HEADS)
+    rows, unchecked = _edge_rows(g, "SUPPLIED_BY", "part", "dst")
+    contains, unsure = _edge_rows(g, "CONTAINS", "order", "part")
+    if "src" in unchecked or "dst" in unsure:
+        parts = g.nodes("Part").select(F.col("id").alias("part"))
+        rows = rows.join(parts, "part", "left_semi")
+    supply = rows.join(numbers, "dst").select("part", "head")
+    # orders get their parts' suppliers in lists of about HEAD_BLOCK; only there are these unfolded
     slot = F.pmod(F.xxhash64("head"), F.ceil(F.col("k") / HEAD_BLOCK))
     counted = supply.join(supply.groupBy("part").agg(F.count(F.lit(1)).alias("k")), "part")
-    packed = counted.groupBy("part", slot.alias("slot")).agg(F.sort_array(F.collect_list("head")).alias("heads"))
-    lines = contains.join(packed, "part").select("order", "heads")
-    lines = dealt(lines, HEAD_BLOCK // 2 * g.source_rows("CONTAINS"), "order").join(amounts, "order")
-    per_order = (
-        lines.select("order", "c", F.explode("heads").alias("head"))
-        .groupBy("order", "head").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
-    )
-    sums = per_order.groupBy("head").agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.round(F.sum(F.col("c") * F.col("n")) / 100).alias("revenue"),
-        F.round(F.sum("c") / 100).alias("revenue_distinct"),
-    )
+    lists = counted.groupBy("part", slot.alias("slot")).agg(F.sort_array(F.collect_list("head")).alias("heads"))
+    lines = contains.join(_packed(lists), "part").select("order", "heads")
+    amounts = g.nodes("Order").select(F.col("id").alias("order"), cents("total_amount").alias("c"))
+    sums = _sums_by_head(lines, amounts, heads.count(), g.source_rows("CONTAINS") + g.node_rows("Order"))
     products = (
-        supply.distinct().join(contains.select("part").distinct(), "part", "left_semi")
+        supply.distinct().join(_contained(g, contains, "src" in unsure), "part", "left_semi")
         .groupBy("head").agg(F.count(F.lit(1)).alias("products"))
     )
     return sums.join(products, "head").join(heads, "head").drop("head")
 
 
+def _contained(g: PropertyGraph, contains: DataFrame, check: bool) -> DataFrame:
+    """Parts of orders that exist.  One order of each part is looked up, the others only where that one is missing."""
+    if not check:
+        return contains.select("part")
+    known = g.nodes("Order").select(F.col("id").alias("order"))
+    one = contains.groupBy("part").agg(F.min("order").alias("order"))
+    missing = one.join(known, "order", "left_anti").select("part")
+    others = contains.join(missing, "part", "left_semi").join(known, "order", "left_semi").select("part")
+    return one.join(known, "order", "left_semi").select("part").unionByName(others)
+
+
 def review_quality(g: PropertyGraph) -> DataFrame:
     """Mean rating and distinct order count per product name.
 

@@ -2,17 +2,20 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from loomgraph.functions import plan
+from loomgraph import EdgeSpec, GraphSpec, PropertyGraph
+from loomgraph.functions import lists, plan
 from loomgraph.functions import text as tx
 from loomgraph.operators import aggregates as agg
 from loomgraph.operators import anchored, chunks, mentions
 from loomgraph.operators import traversal as tr
 from loomgraph.sources import csv
 from loomgraph.spec import ColumnSpec, TableSpec
-from tests.shop import graph
+from tests.shop import SPEC, graph, tables
 
 
 def final_plan(df):
@@ -128,6 +131,65 @@ def test_tasks_grow_with_rows(spark, monkeypatch, query):
     assert "REPARTITION_BY_NUM" in steps
 
 
+def test_lists_are_a_few_bytes():
+    rng = random.Random(4)
+    rows = [[], [1], [5, 5, 5], [1 << 62], [0, 1 << 40], *(sorted(rng.randrange(1, 10**n) for _ in range(30)) for n in range(1, 12))]
+    for part in (rows, rows[:1], [], rows[1:] + rows[:1]):
+        packed = lists.pack(pa.array(part, pa.list_(pa.int64())))
+        at, numbers = lists.unpack(packed)
+        assert [[int(x) for x in numbers[at == i]] for i in range(len(part))] == part
+    dense = lists.pack(pa.array([list(range(1, 3000, 100))], pa.list_(pa.int64())))
+    assert len(dense[0].as_py()) == 30  # 240 as numbers
+    at, numbers = lists.unpack(pa.concat_arrays([dense, pa.nulls(2, pa.binary()), dense]).slice(1))
+    assert set(at) == {2} and len(numbers) == 30
+
+
+def test_sums_of_orders_in_any_batches(monkeypatch):
+    rng = random.Random(6)
+    amounts = {o: [rng.choice([None, 7, -3, 1 << 40]) for _ in range(rng.choice([0, 1, 1, 2]))] for o in range(12)}
+    listed = [(o, sorted(rng.randrange(1, 9) for _ in range(rng.randrange(5)))) for o in range(12) for _ in range(rng.randrange(5))]
+    rows = sorted([(o, None, c) for o, cs in amounts.items() for c in cs] + [(o, h, None) for o, h in listed], key=lambda r: (r[0], r[1] is not None))
+    want = {}
+    for head in range(1, 9):
+        own = [(o, h.count(head)) for o, h in listed if head in h and amounts[o]]
+        if own:
+            c = {o: max((x for x in amounts[o] if x is not None), default=None) for o, _ in own}
+            priced = [x for x in c.values() if x is not None]
+            paths = sum(c[o] * n * len(amounts[o]) for o, n in own if c[o] is not None)
+            want[head] = (len(c), len(priced), paths, sum(priced))
+    for size, most in ((1, 100), (3, 100), (1000, 100), (1, 0), (4, 0)):
+        monkeypatch.setattr(agg, "MAX_HEADS", most)
+        sums, found = agg._OrderSums(8), {}
+        batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+        parts = [x for b in batches for x in sums.add(pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in b]), lists.pack(pa.array([r[1] or [] for r in b], pa.list_(pa.int64()))) if all(r[1] is not None for r in b)
+            else pa.array([None if r[1] is None else lists.pack(pa.array([r[1]], pa.list_(pa.int64())))[0].as_py() for r in b], pa.binary()),
+            pa.array([r[2] for r in b], pa.int64())], ["order", "heads", "c"]))]
+        for part in [*parts, *sums.end()]:
+            for head, orders, known, hi, lo, hi1, lo1 in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                was = found.get(head, (0, 0, 0, 0))
+                found[head] = tuple(a + b for a, b in zip(was, (orders, known, (hi << 31) + lo, (hi1 << 31) + lo1), strict=True))
+        assert {h: v for h, v in found.items() if v[0]} == want
+
+
+def test_suppliers_travel_as_numbers(spark):
+    t = tables(spark)
+    lines = [(1, 10, 100, 7), (2, 10, 101, 7), (3, 11, 100, 8), (4, 99, 102, 8), (5, 11, 999, 7), (6, 12, 103, 9), (7, 12, 103, 55), (8, 13, None, 7), (9, 14, 100, 6)]
+    t["items"] = spark.createDataFrame(lines, "line long, order_id long, product_id long, supplier_id long")
+    t["suppliers"] = spark.createDataFrame([(6, "South"), (7, "North"), (8, "South"), (9, None)], "id long, name string")
+    spec = GraphSpec(SPEC.nodes, tuple(
+        EdgeSpec("SUPPLIED_BY", "Part", "Supplier", "items", "product_id", "supplier_id") if e.name == "SUPPLIED_BY"
+        else EdgeSpec("CONTAINS", "Order", "Part", "items", "order_id", "product_id") if e.name == "CONTAINS" else e for e in SPEC.edges))
+    found, steps = final_plan(agg.supplier_dependency(PropertyGraph.build(spec, t)).select("supplier", "products", "orders", "revenue", "revenue_distinct"))
+    # order 99 does not exist, so part 102 counts for nobody; order 11 has part 100 of both keys of South
+    assert found == [
+        repr(Row(supplier="North", products=2, orders=3, revenue=round(2 * 100 + 50.5 + 5) * 1.0, revenue_distinct=round(100 + 50.5 + 5) * 1.0)),
+        repr(Row(supplier="South", products=1, orders=3, revenue=round(2 * (100 + 50.5 + 5)) * 1.0, revenue_distinct=round(100 + 50.5 + 5) * 1.0)),
+        repr(Row(supplier="Supplier #9", products=1, orders=1, revenue=30.0, revenue_distinct=30.0)),
+    ]
+    assert "MapInArrow" in steps
+
+
 def test_values_of_middles_are_folded_in_many_tasks(spark, monkeypatch):
     g = graph(spark)
     monkeypatch.setattr(agg, "sized", lambda df: df)
