@@ -88,10 +88,10 @@ def _sources_of_values(g: PropertyGraph, rel: str, mid: DataFrame) -> DataFrame:
     """
     spec = g.spec.edge(rel)
     rows, unchecked = g.links(rel)
-    rows = rows.select("src", F.col("dst").alias("mid"))
+    rows = rows.select("src", "dst")
     if estimated_bytes(mid) > auto_broadcast_bytes(mid):
-        rows = dealt(rows, g.source_rows(rel), "mid")
-    rows = rows.join(mid, "mid")
+        rows = dealt(rows, g.source_rows(rel), "dst")
+    rows = rows.withColumnRenamed("dst", "mid").join(mid, "mid")
     pairs = dealt(rows.select("src", "category"), g.source_rows(rel), "src").distinct()
     if "src" in unchecked:
         pairs = pairs.join(g.nodes(spec.source).select(F.col("id").alias("src")), "src", "left_semi")
@@ -255,7 +255,9 @@ def category_distribution(g: PropertyGraph) -> DataFrame:
     """
     mid = _values_of_middles(g, "CONTAINS", "BELONGS_TO", prop_of(g, "Brand", "name", "dst", "category"))
     orders = _sources_of_values(g, "CONTAINS", mid).groupBy("category").agg(F.count(F.lit(1)).alias("order_count"))
-    parts = _targets(g, "CONTAINS").withColumnRenamed("dst", "mid")
+    contains, unchecked = dealt_edges(g, "CONTAINS", "dst")
+    contains = contains.select(F.col("src").alias("order"), F.col("dst").alias("part"))
+    parts = _contained(g, contains, "src" in unchecked).withColumnRenamed("part", "mid")
     products = mid.join(parts, "mid", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("product_count"))
     return orders.join(products, "category")
 
@@ -265,14 +267,24 @@ ORDER_TASK_ROWS = 1_600_000
 MAX_HEADS = 1_000_000
 
 
-def _edge_rows(g: PropertyGraph, rel: str, src: str, dst: str) -> tuple[DataFrame, dict[str, str]]:
-    """The rows of an edge type, dealt by its part and merged there; and the endpoints still to be checked."""
+def dealt_edges(g: PropertyGraph, rel: str, side: str) -> tuple[DataFrame, dict[str, str]]:
+    """(src, dst) of an edge type, dealt by one side and merged there; and the endpoints still to be checked.
+
+    Columns are renamed by the caller: two analyses in one plan then share the shuffle.
+    """
     spec = g.spec.edge(rel)
     rows, unchecked = g.links(rel)
-    rows = dealt(rows.select(F.col("src").alias(src), F.col("dst").alias(dst)), g.source_rows(rel), "part")
+    rows = dealt(rows.select("src", "dst"), g.source_rows(rel), side)
     return (rows.distinct() if g.is_bound(spec.key) and not spec.unique else rows), unchecked
 
 
+def numbered_suppliers(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """(supplier, head): a dense number per name, from 1; (dst, head): that of every supplier with a name."""
+    suppliers = prop_of(g, "Supplier", "name", "dst", "supplier").where("supplier IS NOT NULL")
+    heads = number_rows(suppliers.select("supplier").distinct(), [F.col("supplier")], "head")
+    return heads, counted_side(suppliers.join(heads, "supplier").select("dst", "head"), MAX_HEADS)
+
+
 def _packed(lists: DataFrame) -> DataFrame:
     """(part, heads) with the heads as bytes."""
 
@@ -397,14 +409,15 @@ def supplier_dependency(g: PropertyGraph) -> DataFrame:
     Suppliers sharing a name count as one and get one number; the numbers are
     dense, so the suppliers of a part travel to its orders in a few bytes each.
     """
-    suppliers = prop_of(g, "Supplier", "name", "dst", "supplier").where("supplier IS NOT NULL")
-    heads = number_rows(suppliers.select("supplier").distinct(), [F.col("supplier")], "head")
-    numbers = counted_side(suppliers.join(heads, "supplier").select("dst", "head"), MAX_HEADS)
-    rows, unchecked = _edge_rows(g, "SUPPLIED_BY", "part", "dst")
-    contains, unsure = _edge_rows(g, "CONTAINS", "order", "part")
+    heads, numbers = numbered_suppliers(g)
+    rows, unchecked = dealt_edges(g, "SUPPLIED_BY", "src")
+    rows = rows.withColumnRenamed("src", "part")
+    contains, unsure = dealt_edges(g, "CONTAINS", "dst")
+    contains = contains.select(F.col("src").alias("order"), F.col("dst").alias("part"))
     if "src" in unchecked or "dst" in unsure:
         parts = g.nodes("Part").select(F.col("id").alias("part"))
-        rows = rows.join(parts, "part", "left_semi")
+        # not a semi join: that may be carried out before the rows are dealt
+        rows = rows.join(parts.distinct(), "part")
     supply = rows.join(numbers, "dst").select("part", "head")
     # orders get their parts' suppliers in lists of about HEAD_BLOCK; only there are these unfolded
     slot = F.pmod(F.xxhash64("head"), F.ceil(F.col("k") / HEAD_BLOCK))

@@ -123,10 +123,25 @@ def customer_profile(g: PropertyGraph, condition: Column) -> DataFrame:
     )
 
 
+def _supplied_parts(g: PropertyGraph, who: DataFrame) -> DataFrame:
+    """(part, supplier) of the anchored suppliers ``who`` (dst, supplier)."""
+    few = small_side(who)
+    spec = g.spec.edge("SUPPLIED_BY")
+    rows, unchecked = g.links("SUPPLIED_BY")
+    # anchored first, merged after: the fold sees only the anchors' rows
+    if few is who:  # not known to be few
+        rows = dealt(rows, g.source_rows("SUPPLIED_BY"), "src")
+    rows = rows.select("src", "dst").join(few.select("dst"), "dst", "left_semi")
+    if g.is_bound(spec.key) and not spec.unique:
+        rows = rows.distinct()
+    if "src" in unchecked:
+        rows = rows.join(g.nodes(unchecked["src"]).select(F.col("id").alias("src")), "src", "left_semi")
+    return rows.join(few, "dst").select(F.col("src").alias("part"), "supplier")
+
+
 def supplier_impact(g: PropertyGraph, condition: Column) -> DataFrame:
     """What depends on suppliers: rows (supplier, kind, item, value)."""
-    who = small_side(_anchors(g, "Supplier", condition, "dst", "supplier"))
-    parts = g.edges("SUPPLIED_BY").join(who, "dst").select(F.col("src").alias("part"), "supplier")
+    parts = _supplied_parts(g, _anchors(g, "Supplier", condition, "dst", "supplier"))
     named = parts.join(prop_of(g, "Part", "name", "part", "product"), "part")
     orders = (
         g.edges("CONTAINS").select(F.col("src").alias("order"), F.col("dst").alias("part"))
@@ -157,31 +172,34 @@ def supplier_impact(g: PropertyGraph, condition: Column) -> DataFrame:
 def supplier_alternatives(g: PropertyGraph, condition: Column) -> DataFrame:
     """Other suppliers, and their products, in each category of the anchored suppliers.
 
-    Rows (supplier, category, kind, item).
+    Rows (supplier, category, kind, item).  Suppliers go by the number of their
+    name; a product has another supplier than the anchor unless its smallest and
+    its largest number are both the anchor's.
     """
-    who = small_side(_anchors(g, "Supplier", condition, "dst", "supplier"))
-    supply = g.edges("SUPPLIED_BY").select(F.col("src").alias("part"), "dst")
-    brands = _part_brand(g)
-    categories = supply.join(who, "dst").join(brands, "part").select("supplier", "category").distinct()
-    offers = (
-        supply.join(prop_of(g, "Supplier", "name", "dst", "other"), "dst")
-        .join(brands, "part")
-        .join(prop_of(g, "Part", "name", "part", "product"), "part")
-        .select("category", "other", "product")
-        .distinct()
+    who = _anchors(g, "Supplier", condition, "dst", "supplier")
+    heads, numbers = agg.numbered_suppliers(g)
+    about = _part_brand(g).join(prop_of(g, "Part", "name", "part", "product"), "part")
+    # the anchor's categories are few where the anchor is, and need none of its parts' names
+    categories = _supplied_parts(g, who).join(_part_brand(g), "part").select("supplier", "category").distinct()
+    categories = small_side(categories.join(heads, "supplier").withColumnRenamed("head", "own"))
+    rows, _ = agg.dealt_edges(g, "SUPPLIED_BY", "src")
+    supply = rows.withColumnRenamed("src", "part").join(numbers, "dst").select("part", "head")
+    others = (
+        supply.join(about.select("part", "category"), "part").select("category", "head").distinct()
+        .join(categories, "category").where("head <> own")
+        .join(heads.withColumnRenamed("supplier", "item"), "head")
     )
-    rivals = offers.join(small_side(categories), "category").where(F.col("other") != F.col("supplier"))
-    tagged = rivals.select(
-        "supplier",
-        "category",
-        F.explode(
-            F.array(
-                F.struct(F.lit("alternative_supplier").alias("kind"), F.col("other").alias("item")),
-                F.struct(F.lit("alternative_product").alias("kind"), F.col("product").alias("item")),
-            )
-        ).alias("r"),
+    ends = supply.groupBy("part").agg(F.min("head").alias("low"), F.max("head").alias("high"))
+    products = (
+        ends.join(about, "part").groupBy("category", "product").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .join(categories, "category").where("low <> own OR high <> own")
     )
-    return tagged.select("supplier", "category", "r.*").distinct()
+    return union_all(
+        [
+            others.select("supplier", "category", F.lit("alternative_supplier").alias("kind"), "item"),
+            products.select("supplier", "category", F.lit("alternative_product").alias("kind"), F.col("product").alias("item")),
+        ]
+    ).distinct()
 
 
 def collaborative(g: PropertyGraph, customer: str, limit: int = 5) -> DataFrame:

@@ -190,6 +190,35 @@ def test_suppliers_travel_as_numbers(spark):
     assert "MapInArrow" in steps
 
 
+def test_rivals_are_found_by_numbers(spark):
+    rng = random.Random(8)
+    t = tables(spark)
+    parts = [(100 + i, rng.choice(["pen", "ink", "cup", "mug", "jar"]), 1.0, rng.choice([1, 2, 3, 9])) for i in range(12)]
+    named = {1: "North", 2: "South", 3: "South", 4: "East", 5: "West"}
+    lines = sorted({(rng.randrange(98, 114), rng.choice([1, 1, 2, 3, 4, 5, 77])) for _ in range(16)})
+    t["products"] = spark.createDataFrame(parts, "id long, name string, price double, category_id long")
+    t["suppliers"] = spark.createDataFrame([*named.items(), (4, "East")], "id long, name string")
+    t["offers"] = spark.createDataFrame([(i, 10, p, s) for i, (p, s) in enumerate(lines * 2)], "line long, order_id long, product_id long, supplier_id long")
+    spec = GraphSpec(SPEC.nodes, tuple(
+        EdgeSpec("SUPPLIED_BY", "Part", "Supplier", "offers", "product_id", "supplier_id") if e.name == "SUPPLIED_BY" else e for e in SPEC.edges))
+    brands = {1: "Desk", 2: "Kitchen", 3: "Glass"}
+    about = {i: (brands.get(c), n) for i, n, _, c in parts}
+    offers = {(about[p][0], named[s], about[p][1]) for p, s in lines if p in about and s in named and about[p][0]}
+    want = set()
+    for own in ("North", "South"):
+        for category in {c for c, s, _ in offers if s == own}:
+            rivals = [(s, n) for c, s, n in offers if c == category and s != own]
+            want |= {(own, category, "alternative_supplier", s) for s, _ in rivals} | {(own, category, "alternative_product", n) for _, n in rivals}
+    g = PropertyGraph.build(spec, t)
+    rows = anchored.supplier_alternatives(g, F.col("name").isin("North", "South"))
+    found = [tuple(r) for r in rows.select("supplier", "category", "kind", "item").collect()]
+    assert sorted(found) == sorted(want) and len(want) > 4
+    # a number per part and category travels, not every pair of names
+    assert "min(head" in rows._jdf.queryExecution().optimizedPlan().toString()
+    supplied = {(r["kind"], r["item"]) for r in anchored.supplier_impact(g, F.col("name") == "South").collect() if r["kind"] == "product"}
+    assert supplied == {("product", about[p][1]) for p, s in lines if p in about and named.get(s) == "South"}
+
+
 def test_values_of_middles_are_folded_in_many_tasks(spark, monkeypatch):
     g = graph(spark)
     monkeypatch.setattr(agg, "sized", lambda df: df)
